@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from signpost.functions.text import is_missing
@@ -22,22 +22,18 @@ def join_fetch_log(pages: DataFrame, fetch_log: DataFrame) -> DataFrame:
     )
 
 
-def listing_until_empty(cards: DataFrame, pages: DataFrame, limit: int, keys=("list_id",)) -> DataFrame:
+def listing_until_empty(pages: DataFrame, limit: int, keys=("list_id",)) -> DataFrame:
     """Cards of a paged listing up to the first page without cards, at most ``limit`` pages.
 
-    ``pages(*keys, page_no)`` holds every fetched page, ``cards(*keys, page_no, …)`` their cards.
+    ``pages(*keys, page_no, cards)`` holds the card array of every fetched page. The window sees
+    at most ``limit`` rows per listing.
     """
-    keys = list(keys)
-    counted = pages.join(
-        cards.groupBy(*keys, "page_no").agg(F.count("*").alias("n_cards")), [*keys, "page_no"], "left"
-    )
-    # min over pages without cards: one small row per listing.
-    stop = counted.groupBy(*keys).agg(
-        F.min(F.when(F.col("n_cards").isNull(), F.col("page_no"))).alias("stop_at")
-    )
+    whole = Window.partitionBy(*keys)
+    stop = F.min(F.when(F.coalesce(F.size("cards"), F.lit(0)) == 0, F.col("page_no"))).over(whole)
     return (
-        cards.where(F.col("page_no") <= limit)
-        .join(stop, keys)
-        .where(F.col("stop_at").isNull() | (F.col("page_no") < F.col("stop_at")))
-        .drop("stop_at")
+        pages.where(F.col("page_no") <= limit)
+        .withColumn("_stop", stop)
+        .where(F.col("_stop").isNull() | (F.col("page_no") < F.col("_stop")))
+        .select(*keys, "page_no", F.posexplode("cards").alias("card_no", "card"))
+        .select(*keys, "page_no", "card_no", "card.*")
     )
