@@ -37,3 +37,12 @@ def listing_until_empty(pages: DataFrame, limit: int, keys=("list_id",)) -> Data
         .select(*keys, "page_no", F.posexplode("cards").alias("card_no", "card"))
         .select(*keys, "page_no", "card_no", "card.*")
     )
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a scan that comes in fewer splits than there are cores over all of them.
+
+    A table of many files already has more splits, and is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
