@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +31,7 @@ def useful_records(
     run_ts: Column,
     organisation: str = "",
     stable_hash: bool = False,
+    fragments: Sequence[str] | None = None,
 ) -> DataFrame:
     """A record per spec whose page has meaningful content.
 
@@ -36,7 +39,7 @@ def useful_records(
     pages and the next-step status. The hash covers status and verification date unless
     ``stable_hash`` is set.
     """
-    fragments = V.boilerplate_fragments(organisation)
+    fragments = V.boilerplate_fragments(organisation) if fragments is None else fragments
     pages = specs.join(
         fetches.where(is_missing("error")).select(
             F.col("url").alias("source_url"), F.col("http_status").alias("source_http_status"), "html"),
