@@ -15,7 +15,7 @@ def fetch_log(t: Tables) -> DataFrame:
     """Events as fetches of the page whose id is the user id; an error event is a failed fetch."""
     failed = F.col("event_type") == "error"
     return t.events.select(
-        F.col("user_id").alias("page_id"), F.col("ts").alias("retrieved_at"), "event_id",
+        F.col("user_id").alias("page_id"), F.col("ts").alias("retrieved_at"), "event_id", "event_type",
         F.when(failed, 0).otherwise(200).alias("http_status"),
         F.when(failed, F.concat(F.lit("failed:"), F.col("event_id").cast("string"))).otherwise("").alias("error"))
 
@@ -25,7 +25,7 @@ def latest(t: Tables) -> DataFrame:
 
 
 LATEST_SQL = """latest AS (
-  SELECT user_id AS page_id, ts, event_id, CASE WHEN event_type = 'error' THEN 0 ELSE 200 END AS http_status,
+  SELECT user_id AS page_id, ts, event_id, event_type, CASE WHEN event_type = 'error' THEN 0 ELSE 200 END AS http_status,
     CASE WHEN event_type = 'error' THEN 'failed:' || event_id ELSE '' END AS error
   FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1)"""
 
@@ -36,7 +36,7 @@ SELECT page_id, event_id, http_status, error, strftime(ts, '%Y-%m-%dT%H:%M:%S+00
 def latest_fetch(t: Tables) -> DataFrame:
     from signpost.functions.text import iso_instant
 
-    return latest(t).withColumn("retrieved_at", iso_instant("retrieved_at"))
+    return latest(t).drop("event_type").withColumn("retrieved_at", iso_instant("retrieved_at"))
 
 
 @query("dedupe_last", """
@@ -93,11 +93,11 @@ def ordered_lists(t: Tables) -> DataFrame:
         F.array_join(G.ordered_list(F.col("role"), F.col("turn")), " | ").alias("roles"), F.count("*").alias("turns"))
 
 
-@query("presentation_order", """
+@query("preview_first_rows", """
 SELECT doc_id, CAST(row_number() OVER (ORDER BY lang, source, replace(lower(text), 'ß', 'ss') COLLATE C, doc_id) AS INTEGER) AS position
 FROM documents ORDER BY position LIMIT 100""")
-def presentation_order(t: Tables) -> DataFrame:
-    """First 100 rows of the catalogue's presentation sort, a top-k and not a full sort."""
+def preview_first_rows(t: Tables) -> DataFrame:
+    """The report preview: first 100 rows of the presentation sort, a top-k and not a full sort."""
     from pyspark.sql import Window
 
     top = spread(t.documents).select("doc_id", "lang", "source", casefold("text").alias("folded")).orderBy(

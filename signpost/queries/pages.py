@@ -112,7 +112,7 @@ def extracted(t: Tables) -> DataFrame:
     registry = t.pages.select(
         F.col("page_id").cast("string").alias("source_id"), F.lit("Example").alias("organization"), "url",
         F.lit("services").alias("category"), F.lit("general").alias("authority_level"),
-        (F.col("page_id") % 2 == 0).alias("own_organisation"), F.lit("approved").alias("scope_status"),
+        F.startswith("url", F.lit("https:")).alias("own_organisation"), F.lit("approved").alias("scope_status"),
         F.lit("structured_html").alias("extraction_method"))
     fetches = pages(t).join(latest(t), "page_id").select("url", "http_status", "retrieved_at", "error", "html")
     return navigator.extract_sources(navigator.source_pages(registry, fetches), cap=5, heading_tags=("h1",))
@@ -120,7 +120,7 @@ def extracted(t: Tables) -> DataFrame:
 
 @query("page_candidates", CANDIDATES_SQL + """
 SELECT substr(sha256(concat_ws(chr(31), CAST(i.page_id AS VARCHAR), i.record_type, i.service_name, i.service_url)), 1, 20) AS record_id,
-  CAST(i.page_id AS VARCHAR) AS source_id, i.page_id % 2 = 0 AS own_organisation, i.record_type, i.service_name, i.section,
+  CAST(i.page_id AS VARCHAR) AS source_id, f.url LIKE 'https:%' AS own_organisation, i.record_type, i.service_name, i.section,
   f.page_title AS source_page_title, i.service_url, f.content_hash, '' AS safety_notes, 'pending' AS review_status,
   strftime(f.ts, '%Y-%m-%dT%H:%M:%S+00:00') AS retrieved_at, CAST(i.position - 1 AS INTEGER) AS position
 FROM items i JOIN fetched f USING (page_id)""")
@@ -144,7 +144,7 @@ def page_manifest(t: Tables) -> DataFrame:
 , own AS (
   SELECT i.page_id, i.service_name, row_number() OVER (PARTITION BY CAST(i.page_id AS VARCHAR)
     ORDER BY replace(lower(i.service_name), 'ß', 'ss') COLLATE C, i.position) AS r
-  FROM items i WHERE i.page_id % 2 = 0 AND i.record_type = 'page_section')
+  FROM items i JOIN fetched f USING (page_id) WHERE f.url LIKE 'https:%' AND i.record_type = 'page_section')
 SELECT CAST(page_id AS VARCHAR) AS source_id, service_name, 'structure_verified' AS review_status,
   CAST(row_number() OVER (ORDER BY r, CAST(page_id AS VARCHAR)) AS INTEGER) AS sample_position
 FROM own ORDER BY r, CAST(page_id AS VARCHAR) LIMIT 20""")
@@ -169,7 +169,7 @@ SELECT r.source_id, r.scope_status, r.extraction_method,
     WHEN extraction_method = 'metadata_only' THEN 'metadata_only_by_design' ELSE 'not_executed' END AS execution_status,
   CASE WHEN scope_status = 'candidate' THEN '' WHEN l.page_id IS NOT NULL THEN 'navigator_source_manifest'
     WHEN e.source_id IS NOT NULL THEN e.path WHEN extraction_method = 'metadata_only' THEN r.url ELSE '' END AS evidence_location
-FROM registry r LEFT JOIN latest l ON l.page_id = r.page_id AND r.extraction_method = 'structured_html' AND l.event_id % 3 <> 0
+FROM registry r LEFT JOIN latest l ON l.page_id = r.page_id AND r.extraction_method = 'structured_html' AND l.event_type <> 'signup'
 LEFT JOIN evidence e ON e.source_id = r.source_id"""
 
 
@@ -182,7 +182,7 @@ def source_inventory(t: Tables) -> DataFrame:
         F.when(F.contains(url, F.lit("//m.")), "metadata_only").when(F.contains(url, F.lit("//blog.")), "existing_download")
         .otherwise("structured_html").alias("extraction_method"))
     structured = registry.where("extraction_method = 'structured_html'").select("source_id")
-    manifest = latest(t).where(F.col("event_id") % 3 != 0).select(
+    manifest = latest(t).where(F.col("event_type") != "signup").select(
         F.col("page_id").cast("string").alias("source_id"), "http_status", "retrieved_at").join(structured, "source_id", "left_semi")
     evidence_rows = t.benchmark.select(
         F.col("item_id").cast("string").alias("source_id"),
@@ -209,7 +209,7 @@ sample AS (
 @query("parse_samples", SAMPLE_SQL + f"""
 , {LATEST_SQL},
 joined AS (
-  SELECT g.page_id, g.url, l.http_status, l.error, l.event_id, COALESCE(l.error = '', FALSE) AS ok, l.event_id % 4 <> 0 AS html,
+  SELECT g.page_id, g.url, l.http_status, l.error, COALESCE(l.error = '', FALSE) AS ok, l.event_type <> 'purchase' AS html,
     octet_length(encode(g.html)) AS n_bytes
   FROM pages g LEFT JOIN latest l USING (page_id))
 SELECT CAST(j.page_id AS VARCHAR) AS source_id, j.url, CASE WHEN ok THEN j.http_status ELSE 0 END AS http_status,
@@ -226,7 +226,7 @@ def parse_samples(t: Tables) -> DataFrame:
     inventory = t.pages.select(
         F.col("page_id").cast("string").alias("source_id"), F.lit("approved").alias("scope_status"),
         F.lit("Example").alias("organization"), F.lit("services").alias("category"), "url")
-    html = F.col("event_id") % 4 != 0
+    html = F.col("event_type") != "purchase"
     fetches = pages(t).join(latest(t), "page_id").select(
         "url", F.col("url").alias("final_url"), "http_status",
         F.when(html, "text/html; charset=utf-8").otherwise("application/pdf").alias("content_type"), "retrieved_at", "error",

@@ -83,10 +83,10 @@ def canonical_urls(t: Tables) -> DataFrame:
 @query("page_hosts", r"""
 SELECT page_id, regexp_replace(lower(regexp_extract(url, '//([^/?#]*)', 1)), '^www\.', '') AS host,
   regexp_replace(lower(regexp_extract(url, '//([^/?#]*)', 1)), '^www\.', '') AS agency,
-  CASE WHEN page_id % 2 = 0 THEN 'Gouvernement du Québec' ELSE 'CNESST' END AS listed_agency,
+  CASE WHEN url LIKE 'https:%' THEN 'Gouvernement du Québec' ELSE 'CNESST' END AS listed_agency,
   TRUE AS well_formed, FALSE AS empty_is_valid FROM pages""")
 def page_hosts(t: Tables) -> DataFrame:
-    listed = F.when(F.col("page_id") % 2 == 0, "https://WWW.quebec.ca/x").otherwise("http://cnesst.gouv.qc.ca?a=/b")
+    listed = F.when(F.startswith("url", F.lit("https:")), "https://WWW.quebec.ca/x").otherwise("http://cnesst.gouv.qc.ca?a=/b")
     return t.pages.select(
         "page_id", U.url_host("url").alias("host"), agency_for_url(F.col("url")).alias("agency"),
         agency_for_url(listed).alias("listed_agency"), U.is_http_url("url").alias("well_formed"),
