@@ -1 +1,186 @@
+"""Counts, missingness, duplicates and violations over documents, labels and events."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from signpost.functions.text import digest
+from signpost.operators import quality as Q
+from signpost.queries.ordering import LATEST_SQL, latest
+from signpost.queries.pages import CANDIDATES_SQL, SAMPLE_SQL, extracted, pages
+from signpost.queries.registry import Tables, query
+from signpost.sources.tables import spread
+
+DOCUMENT_FIELDS = ("doc_id", "lang", "source", "quality", "toxic")
+
+
+def labelled(t: Tables) -> DataFrame:
+    """Documents with their review labels; unlabelled documents have none."""
+    return t.documents.select("doc_id", "lang", "source", "n_chars").join(t.labels, "doc_id", "left")
+
+
+@query("category_counts", """
+SELECT 'documents_by_source' AS section, source AS key, count(*) AS value FROM documents GROUP BY source
+UNION ALL SELECT 'documents_by_lang', lang, count(*) FROM documents GROUP BY lang
+UNION ALL SELECT 'labels_by_quality', CAST(quality AS VARCHAR), count(*) FROM labels GROUP BY quality
+UNION ALL SELECT 'events_by_type', event_type, count(*) FROM events GROUP BY event_type""")
+def category_counts(t: Tables) -> DataFrame:
+    return Q.union_all([
+        Q.counts_by(t.documents, "source", "documents_by_source"),
+        Q.counts_by(t.documents, "lang", "documents_by_lang"),
+        Q.counts_by(t.labels, "quality", "labels_by_quality"),
+        Q.counts_by(t.events, "event_type", "events_by_type")])
+
+
+@query("missingness", "WITH l AS (SELECT * FROM documents LEFT JOIN labels USING (doc_id)) " + " UNION ALL ".join(
+    f"SELECT 'missing' AS section, '{f}' AS key, count(CASE WHEN {f} IS NULL OR CAST({f} AS VARCHAR) = '' THEN 1 END) AS value FROM l"
+    for f in DOCUMENT_FIELDS))
+def missingness(t: Tables) -> DataFrame:
+    return Q.missing_values(labelled(t), DOCUMENT_FIELDS, "missing")
+
+
+@query("distinct_counts", """
+SELECT 'events' AS section, 'users' AS key, count(DISTINCT user_id) AS value FROM events
+UNION ALL SELECT 'events', 'users_with_errors', count(DISTINCT user_id) FROM events WHERE event_type = 'error'
+UNION ALL SELECT 'events', 'types', count(DISTINCT event_type) FROM events
+UNION ALL SELECT 'events', 'repeated_users', count(*) - count(DISTINCT user_id) FROM events""")
+def distinct_counts(t: Tables) -> DataFrame:
+    return Q.single_values(t.events, "events", {
+        "users": F.count_distinct("user_id"),
+        "users_with_errors": Q.distinct_when(F.col("event_type") == "error", "user_id"),
+        "types": F.count_distinct("event_type"),
+        "repeated_users": Q.duplicate_count("user_id")})
+
+
+@query("duplicate_ids", """
+SELECT 'text_repeated' AS rule, sha256(text) AS key, CAST(count(*) AS VARCHAR) AS detail FROM documents GROUP BY text HAVING count(*) > 1""")
+def duplicate_ids(t: Tables) -> DataFrame:
+    rows = spread(t.documents).select(digest("text").alias("record_id"))
+    return Q.not_unique(rows, "record_id", "text_repeated")
+
+
+@query("success_ratio", """
+SELECT 'fetches' AS section, 'succeeded' AS key, count(CASE WHEN event_type <> 'error' THEN 1 END) AS value FROM events
+UNION ALL SELECT 'fetches', 'total', count(*) FROM events""")
+def success_ratio(t: Tables) -> DataFrame:
+    status = F.when(F.col("event_type") == "error", 0).otherwise(200)
+    return Q.single_values(t.events.select(status.alias("http_status")), "fetches", Q.success_ratio())
+
+
+@query("sample_lengths", SAMPLE_SQL + """
+SELECT round(avg(length(parsed_sample)), 6) AS mean_chars, min(length(parsed_sample)) AS min_chars, max(length(parsed_sample)) AS max_chars
+FROM sample WHERE parsed_sample <> ''""")
+def sample_lengths(t: Tables) -> DataFrame:
+    from signpost.operators.extract import parse_sample
+    from signpost.operators.pages import parse_pages
+
+    length = F.length(parse_sample()["parsed_sample"])
+    rows = parse_pages(pages(t), ["page_id"]).select(length.cast("bigint").alias("parsed_sample_chars"))
+    rows = rows.withColumn("parseable", F.col("parsed_sample_chars") > 0)
+    return rows.agg(*Q.sample_lengths()).withColumn("mean_chars", F.round("mean_chars", 6))
+
+
+@query("records_per_source", CANDIDATES_SQL + """
+SELECT 'candidate_source' AS section, CAST(page_id AS VARCHAR) AS key, count(*) AS value FROM items GROUP BY page_id""")
+def records_per_source(t: Tables) -> DataFrame:
+    """Records per source after the cap and before the global deduplication."""
+    rows = extracted(t).select("source_id", F.explode("items").alias("item"))
+    return Q.counts_by(rows, "source_id", "candidate_source")
+
+
+@query("category_mismatch", """
+WITH seen AS (SELECT DISTINCT source FROM documents), wanted AS (
+  SELECT DISTINCT source FROM documents JOIN labels USING (doc_id) WHERE toxic = 1 UNION SELECT DISTINCT n_name FROM nation)
+SELECT 'source_mismatch' AS rule, COALESCE(s.source, w.source) AS key,
+  CASE WHEN s.source IS NULL THEN 'expected only' ELSE 'observed only' END AS detail
+FROM seen s FULL JOIN wanted w USING (source) WHERE s.source IS NULL OR w.source IS NULL""")
+def category_mismatch(t: Tables) -> DataFrame:
+    expected = labelled(t).where("toxic = 1").select("source").union(t.nation.select("n_name"))
+    return Q.set_mismatch(t.documents, expected, "source", "source_mismatch")
+
+
+@query("required_missing", """
+SELECT 'label_missing' AS rule, CAST(d.doc_id AS VARCHAR) AS key, 'quality,toxic' AS detail
+FROM documents d LEFT JOIN labels l USING (doc_id) WHERE l.doc_id IS NULL""")
+def required_missing(t: Tables) -> DataFrame:
+    return Q.required_empty(labelled(t), "doc_id", ["lang", "quality", "toxic"], "label_missing")
+
+
+@query("violations", f"""
+WITH {LATEST_SQL}
+SELECT 'text_repeated' AS rule, sha256(text) AS key, CAST(count(*) AS VARCHAR) AS detail FROM documents GROUP BY text HAVING count(*) > 1
+UNION ALL SELECT 'label_missing', CAST(d.doc_id AS VARCHAR), 'quality' FROM documents d LEFT JOIN labels l USING (doc_id) WHERE l.doc_id IS NULL
+UNION ALL SELECT 'source_not_allowed', CAST(doc_id AS VARCHAR), source FROM documents
+  WHERE source NOT IN (SELECT source FROM documents JOIN labels USING (doc_id) WHERE toxic = 1)
+UNION ALL SELECT 'wrong_region', CAST(s_suppkey AS VARCHAR), r_name FROM supplier JOIN nation ON n_nationkey = s_nationkey
+  JOIN region ON r_regionkey = n_regionkey WHERE r_name <> 'ASIA'
+UNION ALL SELECT 'fetch_failed', CAST(page_id AS VARCHAR), error FROM latest WHERE error <> ''
+UNION ALL SELECT 'url_not_parseable', CAST(page_id AS VARCHAR), COALESCE(nullif(error, ''), 'No parseable content found.') FROM latest WHERE http_status <> 200""")
+def violations(t: Tables) -> DataFrame:
+    allowed = labelled(t).where("toxic = 1").select("source").distinct()
+    placed = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).join(
+        t.region, F.col("n_regionkey") == F.col("r_regionkey"))
+    fetches = latest(t)
+    reason = F.coalesce(F.nullif("error", F.lit("")), F.lit("No parseable content found."))
+    return Q.union_all([
+        duplicate_rows(t),
+        Q.required_empty(labelled(t), "doc_id", ["source", "quality"], "label_missing"),
+        Q.not_listed(t.documents, "doc_id", "source", allowed, "source_not_allowed"),
+        Q.not_matching(placed, "s_suppkey", F.col("r_name") == "ASIA", "r_name", "wrong_region"),
+        Q.fetch_failures(fetches, "page_id"),
+        Q.not_matching(fetches, "page_id", F.col("http_status") == 200, reason, "url_not_parseable")])
+
+
+def duplicate_rows(t: Tables) -> DataFrame:
+    return Q.not_unique(spread(t.documents).select(digest("text").alias("record_id")), "record_id", "text_repeated")
+
+
+@query("navigator_violations", CANDIDATES_SQL + """
+SELECT 'source_not_structured' AS rule,
+  substr(sha256(concat_ws(chr(31), CAST(i.page_id AS VARCHAR), i.record_type, i.service_name, i.service_url)), 1, 20) AS key,
+  CAST(i.page_id AS VARCHAR) AS detail
+FROM items i JOIN pages p USING (page_id) WHERE p.url NOT LIKE 'https:%'""")
+def navigator_violations(t: Tables) -> DataFrame:
+    from signpost.plans import navigator, reports
+
+    structured = t.pages.where(F.startswith("url", F.lit("https:"))).select(F.col("page_id").cast("string").alias("source_id"))
+    from signpost.session import cut
+
+    return reports.navigator_violations(cut(navigator.candidates(extracted(t))), structured)
+
+
+@query("navigator_metrics", CANDIDATES_SQL + """
+, cand AS (SELECT i.*, f.url LIKE 'https:%' AS own FROM items i JOIN fetched f USING (page_id)),
+field AS (SELECT unnest(['record_id', 'source_id', 'organization', 'category', 'authority_level', 'own_organisation', 'service_name', 'record_type',
+  'section', 'source_page_title', 'source_url', 'service_url', 'retrieved_at', 'requires_human_review', 'review_status', 'content_hash']) AS f, 0 AS n
+  UNION ALL SELECT unnest(['student_types', 'eligibility_notes', 'location', 'language', 'delivery_format', 'contact_method',
+  'recommended_next_step', 'safety_notes', 'source_last_updated']), (SELECT count(*) FROM cand))
+SELECT 'candidates' AS section, 'records' AS key, count(*) AS value FROM cand
+UNION ALL SELECT 'candidates', 'own_records', count(CASE WHEN own THEN 1 END) FROM cand
+UNION ALL SELECT 'candidates', 'own_sources', count(DISTINCT CASE WHEN own THEN page_id END) FROM cand
+UNION ALL SELECT 'candidates', 'duplicate_ids', 0
+UNION ALL SELECT 'samples', 'records', least(20, count(*)) FROM cand WHERE own AND record_type = 'page_section'
+UNION ALL SELECT 'inventory', 'sources', count(*) FROM pages
+UNION ALL SELECT 'inventory', 'approved', count(*) FROM pages
+UNION ALL SELECT 'inventory', 'candidates', 0
+UNION ALL SELECT 'approved_status', CASE WHEN l.page_id IS NULL THEN 'not_executed' WHEN l.error = '' THEN 'live_extraction_succeeded'
+  ELSE 'live_extraction_failed' END, count(*) FROM pages p LEFT JOIN latest l USING (page_id) GROUP BY ALL
+UNION ALL SELECT 'fetches', 'succeeded', count(CASE WHEN error = '' THEN 1 END) FROM fetched
+UNION ALL SELECT 'fetches', 'total', count(*) FROM fetched
+UNION ALL SELECT 'fetches', 'failed', count(CASE WHEN error <> '' THEN 1 END) FROM fetched
+UNION ALL SELECT 'candidate_category', 'services', count(*) FROM cand
+UNION ALL SELECT 'candidate_source', CAST(page_id AS VARCHAR), count(*) FROM cand GROUP BY page_id
+UNION ALL SELECT 'candidate_missing', f, n FROM field""")
+def navigator_metrics(t: Tables) -> DataFrame:
+    from signpost.plans import navigator, reports
+    from signpost.session import cut
+
+    source = cut(extracted(t))  # candidates and manifest both read it
+    rows, manifest = cut(navigator.candidates(source)), navigator.manifest(source)
+    registry = t.pages.select(
+        F.col("page_id").cast("string").alias("source_id"), "url", F.lit("approved").alias("scope_status"),
+        F.lit("structured_html").alias("extraction_method"))
+    evidence = t.spark.createDataFrame([], "source_id string, evidence_path string, evidence_exists boolean")
+    inventory = navigator.inventory(registry, manifest, evidence)
+    return reports.navigator_metrics(rows, navigator.review_samples(rows), inventory, manifest)

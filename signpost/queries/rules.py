@@ -1 +1,164 @@
+"""Maintenance, conformance, coverage and other specified rules."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from signpost.operators import nearest as N
+from signpost.plans import specified as P
+from signpost.queries.matching import directory
+from signpost.queries.ordering import LATEST_SQL, latest
+from signpost.queries.quality import labelled
+from signpost.queries.registry import Tables, query
+from signpost.sources.tables import spread
+
+RUN_DATE = "2002-01-01"
+
+
+@query("freshness", f"""
+WITH v AS (SELECT p_partkey, max(CAST(l_shipdate AS DATE)) AS verified FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY p_partkey)
+SELECT p_partkey, CAST(DATE '{RUN_DATE}' - verified AS INTEGER) AS age_days FROM v WHERE verified IS NULL OR DATE '{RUN_DATE}' - verified > 365""")
+def freshness(t: Tables) -> DataFrame:
+    verified = t.lineitem.groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.max("l_shipdate").alias("last_verified_date"))
+    records = t.part.select("p_partkey").join(verified, "p_partkey", "left")
+    return P.stale_records(records, F.lit(RUN_DATE).cast("date"), 365, "p_partkey")
+
+
+@query("page_freshness", """
+SELECT doc_id, CASE WHEN lang = 'en' THEN CAST(make_timestamp(doc_id * 86400000000) AS DATE) END AS updated FROM documents""")
+def page_freshness(t: Tables) -> DataFrame:
+    day = F.timestamp_seconds(F.col("doc_id") * 86400)
+    text = F.when(F.col("lang") == "en", F.date_format(day, "MMMM d, yyyy")).otherwise(F.date_format(day, "d/M yyyy"))
+    return t.documents.select("doc_id", P.page_dates(text).alias("updated"))
+
+
+@query("broken_links", f"""
+WITH {LATEST_SQL}
+SELECT g.page_id AS record_id, g.url AS official_source_url, COALESCE(l.http_status, -1) AS http_status
+FROM pages g LEFT JOIN latest l USING (page_id) WHERE COALESCE(l.http_status, -1) <> 200""")
+def broken_links(t: Tables) -> DataFrame:
+    records = t.pages.select(F.col("page_id").alias("record_id"), F.col("url").alias("official_source_url"))
+    fetches = t.pages.select("page_id", "url").join(latest(t), "page_id").select("url", "http_status")
+    return P.broken_links(records, fetches)
+
+
+@query("coverage", """
+WITH taxonomy AS (SELECT DISTINCT p_type AS category_id FROM part UNION SELECT n_name FROM nation)
+SELECT x.category_id, count(p_partkey) AS records, count(CASE WHEN p_size <= 10 THEN 1 END) AS own_records
+FROM taxonomy x LEFT JOIN part ON p_type = x.category_id GROUP BY x.category_id""")
+def coverage(t: Tables) -> DataFrame:
+    taxonomy = t.part.select(F.col("p_type").alias("category_id")).union(t.nation.select("n_name")).distinct()
+    records = t.part.select(F.col("p_type").alias("category_id"), "p_size")
+    return P.category_coverage(records, taxonomy, F.col("p_size") <= 10)
+
+
+@query("directory_targets", """
+WITH m AS (SELECT count(*) AS records, count(DISTINCT p_type) AS categories, count(CASE WHEN p_size <= 10 THEN 1 END) AS own,
+  count(CASE WHEN p_type IN ('PROMO', 'LARGE') THEN 1 END) AS health FROM part)
+SELECT 'records' AS measure, records AS value, CAST(40 AS BIGINT) AS target, records >= 40 AS met FROM m
+UNION ALL SELECT 'categories', categories, 8, categories >= 8 FROM m
+UNION ALL SELECT 'own_records', own, 20, own >= 20 FROM m
+UNION ALL SELECT 'health_records', health, 10, health >= 10 FROM m""")
+def directory_targets(t: Tables) -> DataFrame:
+    return P.directory_targets(directory(t).join(
+        t.part.select(F.col("p_partkey").alias("record_id"), "p_size"), "record_id"), F.col("p_size") <= 10, ("PROMO", "LARGE"))
+
+
+@query("taxonomy_conformance", """
+SELECT source AS category, count(*) AS records FROM documents
+WHERE source NOT IN (SELECT source FROM documents JOIN labels USING (doc_id) WHERE toxic = 1) AND source <> 'src0' GROUP BY source""")
+def taxonomy_conformance(t: Tables) -> DataFrame:
+    taxonomy = labelled(t).where("toxic = 1").select(F.col("source").alias("category_id")).distinct().union(
+        t.region.select(F.lit("mapped").alias("category_id")).distinct())
+    mapping = t.spark.createDataFrame([("src0", "mapped")], "category string, category_id string")
+    return P.outside_taxonomy(t.documents, taxonomy, "source", mapping)
+
+
+@query("missing_by_rule", """
+WITH l AS (SELECT lang, source, quality, toxic FROM documents LEFT JOIN labels USING (doc_id))
+SELECT lang AS record_type, 'source' AS field, 'optional' AS kind, 0 AS missing FROM l GROUP BY lang
+UNION ALL SELECT lang, 'quality', CASE WHEN lang = 'en' THEN 'required' ELSE 'optional' END, count(*) - count(quality) FROM l GROUP BY lang
+UNION ALL SELECT lang, 'toxic', CASE WHEN lang = 'fr' THEN 'not_applicable' ELSE 'optional' END, count(*) - count(toxic) FROM l GROUP BY lang""")
+def missing_by_rule(t: Tables) -> DataFrame:
+    rules = t.spark.createDataFrame(
+        [("en", "quality", "required"), ("fr", "toxic", "not_applicable")], "record_type string, field string, kind string")
+    return P.missing_by_rule(labelled(t), "lang", ["source", "quality", "toxic"], rules)
+
+
+@query("provenance", """
+SELECT s_suppkey AS facility_id, concat_ws(',', CASE WHEN r_name = 'ASIA' THEN 'source_publisher' END,
+  CASE WHEN s_acctbal < 0 THEN 'source_retrieved_at' END) AS missing_fields
+FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey WHERE r_name = 'ASIA' OR s_acctbal < 0""")
+def provenance(t: Tables) -> DataFrame:
+    placed = spread(t.supplier).join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).join(
+        t.region, F.col("n_regionkey") == F.col("r_regionkey"))
+    filled = F.lit("x")
+    return P.incomplete_provenance(placed.select(
+        F.col("s_suppkey").alias("facility_id"), filled.alias("source_name"),
+        F.when(F.col("r_name") != "ASIA", F.col("r_name")).alias("source_publisher"), filled.alias("source_url"),
+        filled.alias("source_license_or_terms"), F.when(F.col("s_acctbal") < 0, "").otherwise("2026").alias("source_retrieved_at"),
+        filled.alias("source_record_id"), filled.alias("last_verified_date")))
+
+
+def _sensitive_sql() -> str:
+    return "\nUNION ALL ".join(
+        f"SELECT source_table, key, part, '{name}' AS rule FROM logged WHERE regexp_matches(text, '{pattern}')"
+        for name, pattern in P.SENSITIVE_PATTERNS)
+
+
+@query("sensitive_scan", f"""
+WITH logged AS (
+  SELECT 'conversations' AS source_table, conv_id AS key, turn AS part, text FROM conversations
+  UNION ALL SELECT 'documents', doc_id, 0, text FROM documents)
+{_sensitive_sql()}""")
+def sensitive_scan(t: Tables) -> DataFrame:
+    logged = spread(t.conversations).select(
+        F.lit("conversations").alias("source_table"), F.col("conv_id").alias("key"), F.col("turn").alias("part"), "text"
+    ).unionByName(spread(t.documents).select(
+        F.lit("documents").alias("source_table"), F.col("doc_id").alias("key"), F.lit(0).cast("bigint").alias("part"), "text"))
+    return P.sensitive_text(logged, ["source_table", "key", "part"], "text")
+
+
+@query("nearest_facilities", f"""
+WITH place AS (SELECT c_custkey AS place_id, 45 + c_nationkey * 0.05 AS lat, -73.5 + c_acctbal / 10000.0 AS lon FROM customer),
+facility AS (SELECT s_suppkey AS facility_id, 45 + s_nationkey * 0.05 + s_acctbal / 100000.0 AS lat, -73 + s_acctbal / 20000.0 AS lon
+  FROM supplier WHERE s_acctbal >= 0),
+d AS (
+  SELECT place_id, facility_id, 2 * 6371.0 * asin(sqrt(least(1.0, pow(sin((radians(f.lat) - radians(p.lat)) / 2), 2)
+    + cos(radians(p.lat)) * cos(radians(f.lat)) * pow(sin((radians(f.lon) - radians(p.lon)) / 2), 2)))) AS km
+  FROM place p CROSS JOIN facility f)
+SELECT place_id, facility_id, round(km, 6) AS distance_km,
+  CAST(row_number() OVER (PARTITION BY place_id ORDER BY km, facility_id) AS INTEGER) AS rank
+FROM d WHERE km <= 30 QUALIFY rank <= 3""")
+def nearest_facilities(t: Tables) -> DataFrame:
+    places = spread(t.customer).select(
+        F.col("c_custkey").alias("place_id"), (45 + F.col("c_nationkey") * F.lit(0.05)).alias("lat"),
+        (F.lit(-73.5) + F.col("c_acctbal") / 10000.0).alias("lon"))
+    located = F.col("s_acctbal") >= 0
+    facilities = t.supplier.select(
+        F.col("s_suppkey").alias("facility_id"),
+        F.when(located, (45 + F.col("s_nationkey") * F.lit(0.05) + F.col("s_acctbal") / 100000.0).cast("string")).otherwise("").alias("latitude"),
+        F.when(located, (F.lit(-73.0) + F.col("s_acctbal") / 20000.0).cast("string")).otherwise("").alias("longitude"))
+    return N.nearest(places, facilities, 3, 30.0).select(
+        "place_id", "facility_id", F.round("distance_km", 6).alias("distance_km"), "rank")
+
+
+@query("conflicts", """
+SELECT p_name, 'brand' AS field, count(DISTINCT p_brand) AS "values", min(p_brand) AS lowest, max(p_brand) AS highest
+FROM part GROUP BY p_name HAVING count(DISTINCT p_brand) > 1
+UNION ALL SELECT p_name, 'type', count(DISTINCT p_type), min(p_type), max(p_type) FROM part GROUP BY p_name HAVING count(DISTINCT p_type) > 1""")
+def conflicts(t: Tables) -> DataFrame:
+    claims = t.part.select("p_name", F.inline(F.array(
+        F.struct(F.lit("brand").alias("field"), F.col("p_brand").alias("value")),
+        F.struct(F.lit("type").alias("field"), F.col("p_type").alias("value")))))
+    return P.conflicting_claims(claims, ["p_name"], "field", "value")
+
+
+@query("facets", """
+WITH r AS (SELECT * FROM part WHERE p_type IN ('PROMO', 'LARGE', 'SMALL'))
+SELECT 'p_type' AS facet, p_type AS value, count(*) AS records FROM r GROUP BY ALL
+UNION ALL SELECT 'p_brand', p_brand, count(*) FROM r GROUP BY ALL
+UNION ALL SELECT 'p_size', CAST(p_size AS VARCHAR), count(*) FROM r GROUP BY ALL""")
+def facets(t: Tables) -> DataFrame:
+    return P.facet_counts(t.part, ["p_type", "p_brand", "p_size"], {"p_type": ["PROMO", "LARGE", "SMALL"]})
