@@ -25,6 +25,15 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def present(value: Column) -> Column:
+    """The value as an array, empty when it is null.
+
+    Exploding it keeps rows with a value and evaluates the value once; a filter on a computed column
+    would evaluate it a second time below the projection.
+    """
+    return F.filter(F.array(value), lambda v: v.isNotNull())
+
+
 def clean_text(value: Column | str) -> Column:
     """Collapse whitespace runs to one space and trim."""
     return F.trim(F.regexp_replace(_col(value), SPACE + "+", " "))
@@ -78,11 +87,26 @@ def _fold_tables() -> tuple[str, str, dict[str, str]]:
 _FOLD_FROM, _FOLD_TO, _FOLD_MULTI = _fold_tables()
 
 
+def _covering_ranges(letters: str, gap: int = 64) -> str:
+    """Character class of a few ranges that cover the letters; long lists match slowly."""
+    spans: list[list[int]] = []
+    for code in sorted(map(ord, letters)):
+        if spans and code - spans[-1][1] <= gap:
+            spans[-1][1] = code
+        else:
+            spans.append([code, code])
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in spans) + "]"
+
+
+_FOLD_SPECIAL = _covering_ranges(_FOLD_FROM + "".join(_FOLD_MULTI))
+_FOLD_RARE = _covering_ranges("".join(ch for ch in _FOLD_MULTI if ch != "ß"))
+
+
 def casefold(value: Column | str) -> Column:
-    """Full case folding: lower case, then the letters whose folding differs from it.
+    """Full case folding: lower case, then the letters whose folding differs from it, if there are any.
 
-    One-to-one letters go through ``translate``. Letters that fold to several characters are rare,
-    so they are only looked up in rows that hold one.
+    One-to-one letters go through ``translate``, the common ß through ``replace``. Other letters that
+    fold to several characters are rare, so they are only looked up in rows that hold one.
     """
     def expand(text: Column) -> Column:
         table = F.create_map(*[F.lit(x) for pair in _FOLD_MULTI.items() for x in pair])
@@ -91,12 +115,11 @@ def casefold(value: Column | str) -> Column:
         )
 
     lowered = F.lower(_col(value))
-    present = "[" + "".join(_FOLD_MULTI) + "]"
     return F.when(
-        lowered.rlike(r"[^\x00-\x7f]"),
+        lowered.rlike(_FOLD_SPECIAL),
         let(
-            F.translate(lowered, _FOLD_FROM, _FOLD_TO),
-            lambda t: F.when(t.rlike(present), expand(t)).otherwise(t),
+            F.replace(F.translate(lowered, _FOLD_FROM, _FOLD_TO), F.lit("ß"), F.lit("ss")),
+            lambda t: F.when(t.rlike(_FOLD_RARE), expand(t)).otherwise(t),
         ),
     ).otherwise(lowered)
 

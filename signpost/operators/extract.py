@@ -30,13 +30,13 @@ def is_link(n: Column) -> Column:
 
 def first_by(items: Column, key, n: int | None = None) -> Column:
     """First item per key in array order, at most ``n`` keys."""
-    def pick(keys: Column) -> Column:
+    def pick(bound: Column, keys: Column) -> Column:
         distinct = F.array_distinct(keys)
         wanted = distinct if n is None else F.slice(distinct, 1, n)
         return F.transform(
-            wanted, lambda k: F.get(items, (F.array_position(keys, k) - 1).cast("int"))
+            wanted, lambda k: F.get(bound, (F.array_position(keys, k) - 1).cast("int"))
         )
-    return let(F.transform(items, key), pick)
+    return let(items, lambda bound: let(F.transform(bound, key), lambda keys: pick(bound, keys)))
 
 
 # -- navigator candidates -------------------------------------------------------------------
@@ -187,7 +187,7 @@ def hub_items(sections: Column, base: Column, vocabulary=V.SECTION_CATEGORIES,
             & F.startswith(text_of(parent), text_of(n))
         )
 
-    def section_items(want: Column) -> Column:
+    def section_items(want: Column, headings: Column) -> Column:
         def items(inner: Column) -> Column:
             actions = F.filter(inner, lambda n: n["tag"].isin("h3", "h4") | leads_parent(n))
             links = F.filter(inner, lambda n: is_link(n) & (n["href"] != ""))
@@ -196,11 +196,11 @@ def hub_items(sections: Column, base: Column, vocabulary=V.SECTION_CATEGORIES,
                 _resource_items(links, want["section"], want["category"], lambda u: u == base),
             )
         heading = F.try_element_at(
-            F.filter(sections, lambda h: h["section"] == want["section"]), F.lit(-1)
+            F.filter(headings, lambda h: h["section"] == want["section"]), F.lit(-1)
         )
         return let(heading, lambda h: F.when(h.isNotNull(), let(_below(h["parent_seq"]), items)))
 
-    found = F.transform(wanted, section_items)
+    found = let(sections, lambda hs: F.transform(wanted, lambda want: section_items(want, hs)))
     return F.flatten(F.filter(found, lambda x: x.isNotNull()))
 
 

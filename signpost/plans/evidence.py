@@ -11,7 +11,7 @@ from signpost import schemas as S
 from signpost import vocabulary as V
 from signpost.functions.text import (
     blank, clean_text, digest, is_missing, iso_date, join_or, looks_like_html, media_type,
-    non_html_summary,
+    non_html_summary, present,
 )
 from signpost.operators import extract as X
 from signpost.operators.pages import parse_pages
@@ -48,8 +48,7 @@ def useful_records(
     keep = [*specs.columns, "source_http_status"]
     content = (
         parse_pages(pages, keep, base="source_url")
-        .withColumn("content", X.first_root_with_paragraphs(fragments))
-        .where(F.col("content").isNotNull())
+        .select("*", F.explode(present(X.first_root_with_paragraphs(fragments))).alias("content"))
         .withColumns({
             "leading": X.leading_paragraphs(F.col("content.paragraphs")),
             "methods": X.access_methods(F.col("content.root")),

@@ -17,7 +17,7 @@ from signpost.functions import safety
 from signpost.functions.text import blank, is_missing
 from signpost.operators import matching as M
 from signpost.operators.ordering import top_per_key
-from signpost.session import broadcast_if_small, cut
+from signpost.session import BROADCAST_ROWS, cut, is_small
 
 SAFETY_CATEGORY = "safety_urgent"
 
@@ -51,7 +51,7 @@ def rank_with_precedence(
 
     Ranked once per distinct profile. Records that agree in everything a profile can look at only
     compete through authority, recency, name and id, so each such group is cut to ``limit`` before
-    any join.
+    any join. ``records`` is read several times and should be a table.
     """
     keyed = intakes.withColumns({
         "_need": M.need_key("main_need"),
@@ -60,6 +60,8 @@ def rank_with_precedence(
         "_location": blank("location"),
     })
     profiles = cut(keyed.select(*PROFILE).distinct())
+    small = is_small(profiles, BROADCAST_ROWS // max(limit, 1))
+    hint = F.broadcast if small else (lambda df: df)
     graded = records.join(F.broadcast(authority), "authority_level", "left").withColumns({
         "_authority": F.coalesce("authority_rank", F.lit(99)),
         "_safety": F.col("category_id") == safety_category,
@@ -74,13 +76,12 @@ def rank_with_precedence(
     columns = ["_need", "record_id", "service_name", "_authority", "last_verified_date", *FIT, "score"]
     equal = cut(M.equal_matches(needs, best).select(*columns))
     filled = equal.groupBy("_need").count().where(F.col("count") >= limit).select("_need")
-    short = cut(
-        needs.where("_any_emergency").select("_need")
-        .union(needs.join(filled, "_need", "left_anti").select("_need"))
-        .distinct().where(F.col("_need") != ""))
+    short = needs.join(filled.withColumn("_filled", F.lit(True)), "_need", "left").where(
+        (F.col("_filled").isNull() | F.col("_any_emergency")) & (F.col("_need") != "")).select("_need")
+    sizes = M.gram_sizes(short)
     found = equal
-    if not short.isEmpty():
-        found = found.unionByName(M.containment_matches(short, narrow).select(*columns))
+    if sizes:
+        found = found.unionByName(M.containment_matches(short, narrow, sizes, small).select(*columns))
     # Safety records reach every need that occurs in an emergency, matched or not.
     pool = top_per_key(narrow.where("_safety"), list(FIT), inner, limit)
     urgent = needs.where("_any_emergency").select("_need", F.lit(True).alias("_safety"))
@@ -88,7 +89,7 @@ def rank_with_precedence(
         F.when(F.col("_category") == F.col("_need"), 2).otherwise(0)
         + F.when((F.col("_need") != "") & F.contains("_haystack", "_need"), 1).otherwise(0)
     )
-    routed = pool.join(broadcast_if_small(urgent), "_safety").withColumn("score", strength).select(*columns)
+    routed = pool.join(hint(urgent), "_safety").withColumn("score", strength).select(*columns)
     pairs = found.unionByName(routed).dropDuplicates(["_need", "record_id"])
     pairs = top_per_key(pairs, ["_need", *FIT], [F.desc("score"), *inner], limit)
     fit = profiles.join(pairs, "_need").where((F.col("score") > 0) | F.col("_emergency")).withColumns({
@@ -104,8 +105,8 @@ def rank_with_precedence(
         *PROFILE, "record_id", "score", "urgency_fit", F.col("_authority").alias("authority_rank"),
         "eligibility_fit", "place_fit", "rank")
     kept = records.drop("student_type", "location")
-    detail = cut(kept.join(broadcast_if_small(cut(ranked)), "record_id"))
-    return keyed.join(broadcast_if_small(detail), list(PROFILE)).drop(*PROFILE).withColumns({
+    detail = kept.join(hint(ranked), "record_id")
+    return keyed.join(hint(detail), list(PROFILE)).drop(*PROFILE).withColumns({
         "match_reason": safety.match_reason("main_need"),
         "limitation_required": safety.limitation_required("category_id", high_risk),
     })

@@ -253,12 +253,12 @@ def useful_paragraphs(t: Tables) -> DataFrame:
     """Every distinct meaningful paragraph of each page's first root that has one, in reading order."""
     from pyspark.sql import Window
 
-    from signpost.functions.text import contains_any
+    from signpost.functions.text import contains_any, present
 
-    parsed = parse_pages(pages(t), ["page_id"]).withColumn("content", X.first_root_with_paragraphs(FRAGMENTS))
-    root = F.col("content.root")
-    rows = parsed.where(F.col("content").isNotNull()).select(
-        "page_id", "text", root.alias("root"), F.explode("nodes").alias("n")
+    content = X.first_root_with_paragraphs(FRAGMENTS)
+    parsed = parse_pages(pages(t), ["page_id"]).select("*", F.explode(present(content)).alias("content"))
+    rows = parsed.select(
+        "page_id", "text", F.col("content.root").alias("root"), F.explode("nodes").alias("n")
     ).where(
         F.col("n.seq").between(F.col("root.seq") + 1, F.col("root.end_seq"))
         & F.col("n.tag").isin("p", "li") & F.col("n.text_len").between(55, 900)
