@@ -15,6 +15,7 @@ from signpost.functions.text import (
 )
 from signpost.operators import extract as X
 from signpost.operators.pages import parse_pages
+from signpost.sources.tables import only_urls, with_fetch_outcome
 
 USEFUL_STATUS = "content_verified_for_proposal"
 HASH_FIELDS = tuple(f for f in S.USEFUL_RECORD_FIELDS if f != "content_hash")
@@ -28,6 +29,7 @@ SAMPLE_SOURCE = ("source_id", "scope_status", "organization", "category", "url")
 def useful_records(
     specs: DataFrame,
     fetches: DataFrame,
+    pages: DataFrame,
     run_ts: Column,
     organisation: str = "",
     stable_hash: bool = False,
@@ -35,29 +37,27 @@ def useful_records(
 ) -> DataFrame:
     """A record per spec whose page has meaningful content.
 
-    ``fetches(url, http_status, error, html)`` holds one row per URL and serves both the source
-    pages and the next-step status. The hash covers status and verification date unless
-    ``stable_hash`` is set.
+    ``fetches(url, http_status, error)`` and ``pages(url, html)`` hold one row per URL; fetches serve
+    both the source pages and the next-step status. The hash covers status and verification date
+    unless ``stable_hash`` is set. Only the excerpts read from a page are joined, never its markup.
     """
     fragments = V.boilerplate_fragments(organisation) if fragments is None else fragments
-    pages = specs.join(
-        fetches.where(is_missing("error")).select(
-            F.col("url").alias("source_url"), F.col("http_status").alias("source_http_status"), "html"),
-        "source_url",
-    )
-    keep = [*specs.columns, "source_http_status"]
+    wanted = only_urls(pages, specs.select(F.col("source_url").alias("url")))
     content = (
-        parse_pages(pages, keep, base="source_url")
-        .select("*", F.explode(present(X.first_root_with_paragraphs(fragments))).alias("content"))
-        .withColumns({
-            "leading": X.leading_paragraphs(F.col("content.paragraphs")),
-            "methods": X.access_methods(F.col("content.root")),
-        })
-        .drop("nodes", "text", "raw_text", "content")
+        parse_pages(wanted, ["url"])
+        .select("url", "text", "nodes", F.explode(present(X.first_root_with_paragraphs(fragments))).alias("content"))
+        .select(
+            F.col("url").alias("source_url"),
+            X.leading_paragraphs(F.col("content.paragraphs")).alias("leading"),
+            X.access_methods(F.col("content.root")).alias("methods"),
+        )
     )
+    reached = fetches.where(is_missing("error")).select(
+        F.col("url").alias("source_url"), F.col("http_status").alias("source_http_status"))
     status = fetches.select(
         F.col("url").alias("next_step_url"), F.col("http_status").alias("next_step_http_status"))
-    rows = content.join(status, "next_step_url", "left").withColumns({
+    found = specs.join(reached, "source_url").join(content, "source_url").join(status, "next_step_url", "left")
+    rows = found.withColumns({
         "service_description": F.substring(F.array_join("leading", " "), 1, 900),
         "source_evidence_excerpt": F.substring(F.get("leading", F.lit(0)), 1, 500),
         "contact_or_access_methods": join_or(F.col("methods"), "next_step_url"),
@@ -76,38 +76,49 @@ def specs_without_content(specs: DataFrame, records: DataFrame) -> DataFrame:
     return specs.join(records.select("service_id"), "service_id", "left_anti")
 
 
-def url_parse_samples(inventory: DataFrame, fetches: DataFrame) -> DataFrame:
+def read_samples(bodies: DataFrame) -> DataFrame:
+    """Sample of each body ``(url, content_type, body, n_bytes)``; only HTML bodies are parsed."""
+    flagged = bodies.withColumn("is_html", looks_like_html("content_type", "body")).withColumn(
+        "html", F.when(F.col("is_html"), F.col("body")))
+    parsed = parse_pages(flagged, ["url", "content_type", "n_bytes", "is_html"])
+    other = F.struct(
+        F.lit("non_html_metadata").alias("sample_type"),
+        non_html_summary(media_type("content_type"), "n_bytes").alias("parsed_sample"))
+    return parsed.select(
+        "url", media_type("content_type").alias("content_type"),
+        F.when(F.col("is_html"), X.parse_sample()).otherwise(other).alias("sample"),
+        F.when(F.col("is_html"), X.title_tag()).otherwise("").alias("page_title"),
+        F.when(F.col("is_html"), X.headings_found()).otherwise(0).alias("headings_found"),
+        F.when(F.col("is_html"), X.links_found()).otherwise(0).alias("links_found"),
+    )
+
+
+def url_parse_samples(inventory: DataFrame, fetches: DataFrame, bodies: DataFrame) -> DataFrame:
     """One parse sample per inventoried URL, a failure row where the fetch failed.
 
-    ``fetches(url, final_url, http_status, content_type, retrieved_at, error, body, n_bytes)``;
-    only HTML bodies are parsed.
+    ``fetches(url, final_url, http_status, retrieved_at, error)`` and
+    ``bodies(url, content_type, body, n_bytes)`` hold one row per URL.
     """
-    joined = inventory.select(*SAMPLE_SOURCE).join(fetches, "url", "left")
+    facts = ("content_type", "sample", "page_title", "headings_found", "links_found")
+    read = read_samples(only_urls(bodies, inventory))
+    listed = inventory.select(*SAMPLE_SOURCE).join(fetches, "url", "left")
     ok = F.col("http_status").isNotNull() & is_missing("error")
-    keep = [*SAMPLE_SOURCE, "final_url", "http_status", "content_type", "retrieved_at", "error",
-            "n_bytes", "fetched", "is_html"]
-    flagged = joined.withColumns({
-        "fetched": ok, "is_html": ok & looks_like_html("content_type", "body"),
-    }).withColumn("html", F.when(F.col("is_html"), F.col("body")))
-    parsed = parse_pages(flagged, keep)
-    kind = media_type("content_type")
-    sampled = parsed.withColumns({
-        "sample": F.when(F.col("is_html"), X.parse_sample())
-        .when(F.col("fetched"), F.struct(
-            F.lit("non_html_metadata").alias("sample_type"),
-            non_html_summary(kind, "n_bytes").alias("parsed_sample"))),
-        "page_title": F.when(F.col("is_html"), X.title_tag()).otherwise(""),
-        "headings_found": F.when(F.col("is_html"), X.headings_found()).otherwise(0),
-        "links_found": F.when(F.col("is_html"), X.links_found()).otherwise(0),
-    })
-    sample = blank(F.col("sample.parsed_sample"))
-    return sampled.select(
+    rows = with_fetch_outcome(listed, read, facts)
+    sample = F.when(ok, blank(F.col("sample.parsed_sample"))).otherwise("")
+
+    def fetched(value: Column, default) -> Column:
+        return F.when(ok, F.coalesce(value, F.lit(default))).otherwise(F.lit(default))
+
+    return rows.select(
         *SAMPLE_SOURCE,
-        F.when(F.col("fetched"), blank("final_url")).otherwise("").alias("final_url"),
-        F.when(F.col("fetched"), F.col("http_status")).otherwise(0).cast("int").alias("http_status"),
-        F.when(F.col("fetched"), kind).otherwise("").alias("content_type"),
-        "page_title", blank(F.col("sample.sample_type")).alias("sample_type"),
+        fetched(F.col("final_url"), "").alias("final_url"),
+        fetched(F.col("http_status"), 0).cast("int").alias("http_status"),
+        fetched(F.col("content_type"), "").alias("content_type"),
+        fetched(F.col("page_title"), "").alias("page_title"),
+        fetched(F.col("sample.sample_type"), "").alias("sample_type"),
         sample.alias("parsed_sample"), F.length(sample).alias("parsed_sample_chars"),
-        "headings_found", "links_found", (sample != "").alias("parseable"), "retrieved_at",
+        fetched(F.col("headings_found"), 0).alias("headings_found"),
+        fetched(F.col("links_found"), 0).alias("links_found"),
+        (sample != "").alias("parseable"), "retrieved_at",
         clean_text(blank("error")).alias("error"),
     )

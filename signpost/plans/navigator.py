@@ -15,12 +15,14 @@ from signpost.operators.ordering import last_per_key, round_robin
 from signpost.operators.pages import (
     NAVIGATOR_ROOT, NAVIGATOR_UPDATED, Test, parse_pages, with_page_facts,
 )
+from signpost.sources.tables import only_urls, with_fetch_outcome
 
 CAP = 30
 SOURCE_COLUMNS = (
     "source_id", "organization", "category", "authority_level", "own_organisation", "url",
     "http_status", "retrieved_at", "error",
 )
+PAGE_FACTS = ("page_title", "source_last_updated", "content_hash", "items")
 
 
 def candidate_order() -> list[Column]:
@@ -35,30 +37,17 @@ def structured_sources(registry: DataFrame) -> DataFrame:
     )
 
 
-def source_pages(registry: DataFrame, fetches: DataFrame) -> DataFrame:
-    """One row per fetched source: registry columns with ``http_status, retrieved_at, error, html``.
-
-    ``fetches(url, http_status, retrieved_at, error, html)`` is filtered by the join, ahead of
-    parsing.
-    """
-    return structured_sources(registry).join(fetches, "url").select(
-        *SOURCE_COLUMNS, F.when(is_missing("error"), F.col("html")).alias("html")
-    )
-
-
-def extract_sources(
-    sources: DataFrame,
+def extract_items(
+    pages: DataFrame,
+    keep: Sequence[str] = ("url",),
     organisation: str = "",
     cap: int = CAP,
     heading_tags: Sequence[str] = X.HEADINGS,
     root: Sequence[Test] = NAVIGATOR_ROOT,
 ) -> DataFrame:
-    """Page facts and the capped ``items`` of each source page; one row per fetch, no shuffle.
-
-    Manifest and candidates both read this frame; write or persist it when both are wanted.
-    """
+    """Page facts and the capped ``items`` of each page ``(url, html, …)``; one row per page, no shuffle."""
     skip = V.skip_titles(organisation)
-    facts = with_page_facts(parse_pages(sources, SOURCE_COLUMNS), root, NAVIGATOR_UPDATED)
+    facts = with_page_facts(parse_pages(pages, keep), root, NAVIGATOR_UPDATED)
     title, url = F.col("page_title"), F.col("url")
     picked = facts.withColumns({
         "headings": X.accepted_headings(F.col("root"), skip, heading_tags),
@@ -72,11 +61,25 @@ def extract_sources(
         ), 1, cap,
     )
     return picked.select(
-        *SOURCE_COLUMNS, "page_title", "source_last_updated", "content_hash", "parse_error",
+        *keep, "page_title", "source_last_updated", "content_hash", "parse_error",
         F.when(F.col("root").isNotNull(), items).alias("items"),
     )
 
 
+def extract_sources(registry: DataFrame, fetches: DataFrame, pages: DataFrame, **options) -> DataFrame:
+    """One row per fetch of an approved structured source, with its page facts and capped ``items``.
+
+    ``fetches(url, http_status, retrieved_at, error)``, ``pages(url, html)`` with one page per URL;
+    ``options`` as for ``extract_items``. Pages are read where they lie, and only what was read from
+    them is joined to registry and fetches. Manifest and candidates both read this frame; write or
+    persist it when both are wanted.
+    """
+    sources = structured_sources(registry)
+    read = extract_items(only_urls(pages, sources), **options)
+    fetched = sources.join(fetches, "url").select(*SOURCE_COLUMNS)
+    return with_fetch_outcome(fetched, read, PAGE_FACTS)
+
+
 def candidates(extracted: DataFrame) -> DataFrame:
     """Service candidates, one per record id, with ``position`` = place on the page."""
     rows = extracted.select("*", F.posexplode("items").alias("position", "item")).select("*", "item.*")
@@ -98,7 +101,7 @@ def manifest(extracted: DataFrame) -> DataFrame:
     ok = is_missing("error")
 
     def or_empty(name: str):
-        return F.when(ok, F.col(name)).otherwise(F.lit("")).alias(name)
+        return F.when(ok, blank(name)).otherwise(F.lit("")).alias(name)
 
     return extracted.select(
         "source_id", "url",

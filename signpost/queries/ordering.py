@@ -86,13 +86,6 @@ def listing_pages(t: Tables) -> DataFrame:
     return listing_until_empty(pages, 3)
 
 
-@query("ordered_lists", """
-SELECT conv_id, string_agg(role, ' | ' ORDER BY turn) AS roles, count(*) AS turns FROM conversations GROUP BY conv_id""")
-def ordered_lists(t: Tables) -> DataFrame:
-    return t.conversations.groupBy("conv_id").agg(
-        F.array_join(G.ordered_list(F.col("role"), F.col("turn")), " | ").alias("roles"), F.count("*").alias("turns"))
-
-
 @query("preview_first_rows", """
 SELECT doc_id, CAST(row_number() OVER (ORDER BY lang, source, replace(lower(text), 'ß', 'ss') COLLATE C, doc_id) AS INTEGER) AS position
 FROM documents ORDER BY position LIMIT 100""")

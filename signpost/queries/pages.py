@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from signpost.functions.text import casefold, iso_instant
 from signpost.operators import extract as X
-from signpost.operators.ordering import carry_forward, first_per_key
+from signpost.operators.ordering import carry_forward, first_per_key, ordered_list
 from signpost.operators.pages import (
-    node_table, parse_pages, text_of, with_page_facts,
+    node_table, parse_pages, tagged, text_of, with_page_facts,
 )
 from signpost.plans import evidence, navigator
 from signpost.queries.markup_sql import NODES
@@ -51,6 +51,15 @@ def structural_counts(t: Tables) -> DataFrame:
         "page_id", X.headings_found().alias("headings"), X.links_found().alias("links"), F.size("nodes").alias("elements"))
 
 
+@query("ordered_lists", NODES + """
+SELECT page_id, string_agg(node_text, ' | ' ORDER BY seq) AS list_items, count(*) AS n_items FROM nodes WHERE tag = 'li' GROUP BY page_id""")
+def ordered_lists(t: Tables) -> DataFrame:
+    """List items of each page in document order (a group is one page)."""
+    rows = node_table(parse_pages(pages(t), ["page_id"]), ["page_id"], tagged("li"))
+    return rows.groupBy("page_id").agg(
+        F.array_join(ordered_list(F.col("node_text"), F.col("seq")), " | ").alias("list_items"), F.count("*").alias("n_items"))
+
+
 @query("page_links", NODES + r"""
 , l AS (
   SELECT n.page_id, n.seq, rtrim(n.node_text, ':') AS title,
@@ -107,6 +116,12 @@ items AS (
   FROM (SELECT * FROM heads UNION ALL SELECT * FROM linked) QUALIFY position <= 5)"""
 
 
+def page_fetches(t: Tables) -> DataFrame:
+    """Latest fetch of each page by URL (narrow columns only)."""
+    urls = t.pages.select("page_id", "url")
+    return urls.join(latest(t), "page_id").select("url", "http_status", "retrieved_at", "error", "event_type")
+
+
 def extracted(t: Tables) -> DataFrame:
     """Each fetched page as an approved source of its own; five records per page."""
     registry = t.pages.select(
@@ -114,8 +129,7 @@ def extracted(t: Tables) -> DataFrame:
         F.lit("services").alias("category"), F.lit("general").alias("authority_level"),
         F.startswith("url", F.lit("https:")).alias("own_organisation"), F.lit("approved").alias("scope_status"),
         F.lit("structured_html").alias("extraction_method"))
-    fetches = pages(t).join(latest(t), "page_id").select("url", "http_status", "retrieved_at", "error", "html")
-    return navigator.extract_sources(navigator.source_pages(registry, fetches), cap=5, heading_tags=("h1",))
+    return navigator.extract_sources(registry, page_fetches(t), pages(t), cap=5, heading_tags=("h1",))
 
 
 @query("page_candidates", CANDIDATES_SQL + """
@@ -209,7 +223,7 @@ sample AS (
 @query("parse_samples", SAMPLE_SQL + f"""
 , {LATEST_SQL},
 joined AS (
-  SELECT g.page_id, g.url, l.http_status, l.error, COALESCE(l.error = '', FALSE) AS ok, l.event_type <> 'purchase' AS html,
+  SELECT g.page_id, g.url, l.http_status, l.error, COALESCE(l.error = '', FALSE) AS ok, NOT contains(g.url, '//blog.') AS html,
     octet_length(encode(g.html)) AS n_bytes
   FROM pages g LEFT JOIN latest l USING (page_id))
 SELECT CAST(j.page_id AS VARCHAR) AS source_id, j.url, CASE WHEN ok THEN j.http_status ELSE 0 END AS http_status,
@@ -226,12 +240,12 @@ def parse_samples(t: Tables) -> DataFrame:
     inventory = t.pages.select(
         F.col("page_id").cast("string").alias("source_id"), F.lit("approved").alias("scope_status"),
         F.lit("Example").alias("organization"), F.lit("services").alias("category"), "url")
-    html = F.col("event_type") != "purchase"
-    fetches = pages(t).join(latest(t), "page_id").select(
-        "url", F.col("url").alias("final_url"), "http_status",
-        F.when(html, "text/html; charset=utf-8").otherwise("application/pdf").alias("content_type"), "retrieved_at", "error",
+    html = ~F.contains("url", F.lit("//blog."))
+    bodies = pages(t).select(
+        "url", F.when(html, "text/html; charset=utf-8").otherwise("application/pdf").alias("content_type"),
         F.when(html, F.col("html")).otherwise("%PDF").alias("body"), F.octet_length("html").alias("n_bytes"))
-    return evidence.url_parse_samples(inventory, fetches).select(
+    fetches = page_fetches(t).withColumn("final_url", F.col("url"))
+    return evidence.url_parse_samples(inventory, fetches, bodies).select(
         "source_id", "url", "http_status", "content_type", "page_title", "sample_type", "parsed_sample",
         "headings_found", "links_found", "parseable", "error")
 
@@ -314,9 +328,8 @@ def useful_records(t: Tables) -> DataFrame:
         F.col("url").alias("source_url"), F.lit("all").alias("intended_users"), F.lit("online").alias("delivery_context"),
         F.lit("read").alias("recommended_next_step"),
         F.concat(F.rtrim("url", F.lit("/")), F.lit("/next")).alias("next_step_url"), F.lit("none").alias("limitation"))
-    fetches = pages(t).join(latest(t), "page_id").select("url", "http_status", "error", "html")
     run = F.to_timestamp(F.lit("2024-02-01 00:00:00"))
-    records = evidence.useful_records(specs, fetches, run, fragments=FRAGMENTS)
+    records = evidence.useful_records(specs, page_fetches(t), pages(t), run, fragments=FRAGMENTS)
     return records.select(
         "service_id", "service_description", "source_evidence_excerpt", "source_url", "contact_or_access_methods",
         "source_http_status", "next_step_http_status", "last_verified_date", "review_status", "content_hash")

@@ -2,24 +2,37 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from signpost.functions.text import is_missing
+from signpost.session import is_small
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def join_fetch_log(pages: DataFrame, fetch_log: DataFrame) -> DataFrame:
-    """One row per fetch with its page where the fetch succeeded.
+def only_urls(pages: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Pages whose ``url`` is wanted, where a counted small list allows a filter without a shuffle.
 
-    ``fetch_log(url, status, retrieved_at, error)`` is the outer side: a failed fetch keeps its row.
+    With a long list all pages are returned: most of them are wanted then, and joining what was read
+    from a page moves less than joining the page.
     """
-    return fetch_log.join(pages, "url", "left").withColumn(
-        "html", F.when(is_missing("error"), F.col("html"))
-    )
+    urls = wanted.select("url").distinct()
+    return pages.join(F.broadcast(urls), "url", "left_semi") if is_small(urls) else pages
+
+
+def with_fetch_outcome(fetch_log: DataFrame, extracted: DataFrame, page_columns: Sequence[str]) -> DataFrame:
+    """One row per fetch with what was read from its page, null where the fetch failed.
+
+    ``fetch_log(url, error, …)`` is the outer side, so a failed fetch keeps its row. The page side is
+    the small result of reading, never the markup.
+    """
+    joined = fetch_log.join(extracted.select("url", *page_columns), "url", "left")
+    return joined.withColumns({c: F.when(is_missing("error"), F.col(c)) for c in page_columns})
 
 
 def listing_until_empty(pages: DataFrame, limit: int, keys=("list_id",)) -> DataFrame:

@@ -41,11 +41,11 @@ def rank_intakes(intakes: DataFrame, records: DataFrame, path: str, checkpoint:
 def extract_pages(sources: DataFrame, path: str, checkpoint: str, organisation: str = "") -> StreamingQuery:
     """Page facts and candidate items of every fetched source page (no shuffle, so a plain append).
 
-    ``sources`` has the columns of ``navigator.source_pages``. Candidates and manifest are read from
+    ``sources`` has ``navigator.SOURCE_COLUMNS`` and ``html``. Candidates and manifest are read from
     the result.
     """
     return (
-        navigator.extract_sources(sources, organisation).writeStream.format("parquet")
+        navigator.extract_items(sources, navigator.SOURCE_COLUMNS, organisation).writeStream.format("parquet")
         .option("path", path).option("checkpointLocation", checkpoint)
         .outputMode("append").trigger(availableNow=True).start()
     )

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from signpost.operators import ordering as G
-from signpost.sources.tables import join_fetch_log, listing_until_empty
+from signpost.sources.tables import listing_until_empty, only_urls, with_fetch_outcome
 
 
 def sample_rows(n=200, seed=3):
@@ -84,5 +84,7 @@ def test_listing_stops_at_the_first_empty_page(spark):
 
 def test_fetch_log_keeps_failures(spark):
     log = spark.createDataFrame([("u1", 200, ""), ("u2", 0, "offline"), ("u3", 200, "")], "url string, status int, error string")
-    pages = spark.createDataFrame([("u1", "<p>"), ("u2", "stale")], "url string, html string")
-    assert {r.url: r.html for r in join_fetch_log(pages, log).collect()} == {"u1": "<p>", "u2": None, "u3": None}
+    read = spark.createDataFrame([("u1", "T"), ("u2", "stale")], "url string, title string")
+    assert {r.url: r.title for r in with_fetch_outcome(log, read, ["title"]).collect()} == {"u1": "T", "u2": None, "u3": None}
+    wanted = spark.createDataFrame([("u2",), ("u2",)], "url string")
+    assert [r.url for r in only_urls(read, wanted).collect()] == ["u2"]

@@ -90,7 +90,8 @@ def nav(spark, html=NAV_HTML, **kw):
         ("hub", "Example University", URL, "immigration", "official_university", True, "approved", "structured_html"),
         ("cand", "Other", "https://c.ca", "tax", "general", False, "candidate", "discovery_review"),
     ])
-    return reg, navigator.extract_sources(navigator.source_pages(reg, fetches(spark, (URL, html))), **kw)
+    log = fetches(spark, (URL, html))
+    return reg, navigator.extract_sources(reg, log.drop("html"), log.select("url", "html"), **kw)
 
 
 def test_candidates_sections_links_and_manifest(spark):
@@ -128,7 +129,7 @@ def test_ids_ignore_retrieval_time(spark):
 def test_failed_fetch_keeps_error(spark):
     reg, _ = nav(spark)
     failed = fetches(spark, (URL, NAV_HTML)).withColumn("error", F.lit("offline"))
-    extracted = navigator.extract_sources(navigator.source_pages(reg, failed))
+    extracted = navigator.extract_sources(reg, failed.drop("html"), failed.select("url", "html"))
     man = navigator.manifest(extracted).collect()[0]
     assert (man.http_status, man.error, man.content_hash, man.records_extracted) == (0, "offline", "", 0)
     assert navigator.candidates(extracted).count() == 0
@@ -156,7 +157,7 @@ def test_samples_are_structure_verified_round_robin(spark):
     reg = registry(spark, [(s, "O", f"https://{s}.ca", "c", "a", own, "approved", "structured_html")
                            for s, own in (("s2", True), ("s1", True), ("ext", False))])
     pages = fetches(spark, *[(f"https://{s}.ca", html) for s in ("s1", "s2", "ext")])
-    rows = navigator.candidates(navigator.extract_sources(navigator.source_pages(reg, pages)))
+    rows = navigator.candidates(navigator.extract_sources(reg, pages.drop("html"), pages.select("url", "html")))
     got = navigator.review_samples(rows, 5).orderBy("sample_position").collect()
     assert [(r.source_id, r.service_name) for r in got] == [
         ("s1", "alpha"), ("s2", "alpha"), ("s1", "Bravo"), ("s2", "Bravo"), ("s1", "Charlie")]
@@ -247,7 +248,8 @@ def test_url_parse_samples_rows(spark):
         ("https://2.ca", None, 0, None, "connection  refused", None, 0),
     ], "url string, final_url string, http_status int, content_type string, error string, body string, n_bytes int"
     ).withColumn("retrieved_at", F.lit("2026-06-12").cast("timestamp"))
-    rows = {r.source_id: r for r in evidence.url_parse_samples(inv, f).collect()}
+    log, bodies = f.drop("content_type", "body", "n_bytes"), f.select("url", "content_type", "body", "n_bytes")
+    rows = {r.source_id: r for r in evidence.url_parse_samples(inv, log, bodies).collect()}
     assert rows["s0"].content_type == "text/html" and rows["s0"].parseable
     assert rows["s1"].parsed_sample == "Downloaded non-HTML content with type application/pdf and 1,234,567 bytes."
     assert (rows["s2"].error, rows["s2"].parseable, rows["s2"].http_status) == ("connection refused", False, 0)
@@ -265,7 +267,8 @@ def test_useful_records(spark):
             f"<main><li>{para} third</li><p>{para} First</p><p>{para} FIRST</p><p>{para} at Example University now</p>"
             "<a href='/book'>Book now</a><a href='mailto:x@y'>Write</a><a href='/book'>Book now</a><a href='/x'>Other</a>"
             "<a href='tel:1'>Call</a><a href='b2'>Register</a><a href='b3'>Apply</a></main></body>")
-    rows = evidence.useful_records(specs, fetches(spark, (URL, html)), F.lit("2026-06-12").cast("timestamp"), "Example")
+    log = fetches(spark, (URL, html))
+    rows = evidence.useful_records(specs, log, log.select("url", "html"), F.lit("2026-06-12").cast("timestamp"), "Example")
     got = rows.collect()
     assert [r.service_id for r in got] == ["a"] and tuple(rows.columns) == USEFUL_RECORD_FIELDS
     r = got[0]
