@@ -32,8 +32,11 @@ def _documents(t: Tables) -> DataFrame:
         "doc_id", "lang", "source", first.alias("word"), F.substr(text, F.length(first) + 2).alias("rest"))
 
 
-def hub_fetches(t: Tables) -> DataFrame:
-    """Each document as a hub page; pages of ``src3`` lack the first section."""
+def hub_fetches(t: Tables, failing: bool = False) -> DataFrame:
+    """Each document as a hub page; pages of ``src3`` lack the first section.
+
+    With ``failing`` the pages in other languages than English could not be loaded.
+    """
     word, rest = _escape(F.col("word")), _escape(F.col("rest"))
 
     def section(index: int, title: str) -> Column:
@@ -49,7 +52,8 @@ def hub_fetches(t: Tables) -> DataFrame:
         "lang", F.lit("</p>"), *[section(i, s) for i, (s, _) in enumerate(V.SECTION_CATEGORIES)], F.lit("</main></body></html>"))
     return _documents(t).select(
         F.concat(F.lit(SITE + "/en/doc/"), F.col("doc_id").cast("string")).alias("url"), F.lit(200).alias("http_status"),
-        F.timestamp_seconds("doc_id").alias("retrieved_at"), F.lit("").alias("error"), html.alias("html"))
+        F.timestamp_seconds("doc_id").alias("retrieved_at"),
+        (F.when(F.col("lang") == "en", "").otherwise("offline") if failing else F.lit("")).alias("error"), html.alias("html"))
 
 
 def detail_fetches(t: Tables) -> DataFrame:
@@ -160,13 +164,10 @@ SELECT substr(sha256(concat_ws(chr(31), 'archive', 'https://example.org/' || doc
   'Archive', 200, '', sha256(lower(hex(encode(text)))), TRUE, '' FROM documents""")
 def source_manifest(t: Tables) -> DataFrame:
     """Hub pages (other languages than English failed to load) and each document as a binary archive."""
-    languages = t.documents.select(
-        F.concat(F.lit(SITE + "/en/doc/"), F.col("doc_id").cast("string")).alias("url"), "lang")
-    fetched = hub_fetches(t).join(languages, "url").withColumn("error", F.when(F.col("lang") == "en", "").otherwise("offline"))
     archives = spread(t.documents).select(
         F.concat(F.lit("https://example.org/"), F.col("doc_id").cast("string")).alias("url"), F.lit(200).alias("http_status"),
         F.timestamp_seconds("doc_id").alias("retrieved_at"), F.encode("text", "UTF-8").alias("content"), F.lit("").alias("error"))
-    pages = guidance.page_manifest(guidance.read_guidance_pages(fetched.drop("lang")))
+    pages = guidance.page_manifest(guidance.read_guidance_pages(hub_fetches(t, failing=True)))
     return pages.unionByName(guidance.archive_manifest(archives, "archive", "Archive")).drop("retrieved_at")
 
 

@@ -51,7 +51,7 @@ total AS (SELECT page_id, max(n) AS n FROM done GROUP BY page_id),
 pieces AS MATERIALIZED (
   SELECT page_id, i, piece FROM (
     SELECT page_id, i, trim(regexp_replace(
-      replace(replace(replace(replace(token, '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'),
+      regexp_replace(replace(replace(replace(token, '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp(;|$)', '&', 'g'),
       '[\s\p{Z}\x0B\x1c-\x1f\x{85}]+', ' ', 'g')) AS piece
     FROM tok WHERE kind = 'text')
   WHERE piece <> ''

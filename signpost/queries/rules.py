@@ -11,6 +11,7 @@ from signpost.queries.matching import directory
 from signpost.queries.ordering import LATEST_SQL, latest
 from signpost.queries.quality import labelled
 from signpost.queries.registry import Tables, query
+from signpost.sources.files import vocabulary_table
 from signpost.sources.tables import spread
 
 RUN_DATE = "2002-01-01"
@@ -66,13 +67,12 @@ def directory_targets(t: Tables) -> DataFrame:
 
 
 @query("taxonomy_conformance", """
-SELECT source AS category, count(*) AS records FROM documents
-WHERE source NOT IN (SELECT source FROM documents JOIN labels USING (doc_id) WHERE toxic = 1) AND source <> 'src0' GROUP BY source""")
+SELECT event_type AS category, count(*) AS records FROM events WHERE event_type NOT IN ('view', 'click', 'purchase') GROUP BY event_type""")
 def taxonomy_conformance(t: Tables) -> DataFrame:
-    taxonomy = labelled(t).where("toxic = 1").select(F.col("source").alias("category_id")).distinct().union(
-        t.region.select(F.lit("mapped").alias("category_id")).distinct())
-    mapping = t.spark.createDataFrame([("src0", "mapped")], "category string, category_id string")
-    return P.outside_taxonomy(t.documents, taxonomy, "source", mapping)
+    """``view`` and ``click`` are the taxonomy, ``purchase`` is mapped to one of them."""
+    taxonomy = vocabulary_table(t.spark, [("view",), ("click",)], ["category_id"])
+    mapping = vocabulary_table(t.spark, [("purchase", "click")], ["category", "category_id"])
+    return P.outside_taxonomy(t.events, taxonomy, "event_type", mapping)
 
 
 @query("missing_by_rule", """

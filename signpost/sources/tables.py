@@ -21,7 +21,7 @@ def only_urls(pages: DataFrame, wanted: DataFrame) -> DataFrame:
     With a long list all pages are returned: most of them are wanted then, and joining what was read
     from a page moves less than joining the page.
     """
-    urls = wanted.select("url").distinct()
+    urls = wanted.select("url")
     return pages.join(F.broadcast(urls), "url", "left_semi") if is_small(urls) else pages
 
 

@@ -31,8 +31,9 @@ def direct_precedence(intake, records, ranks, limit=3):
     return [r[-1] for r in sorted(rows)[:limit]]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_precedence_equals_the_direct_rule(spark, seed):
+@pytest.mark.parametrize("seed, bound", [(1, 100_000), (2, 0)])
+def test_precedence_equals_the_direct_rule(spark, monkeypatch, seed, bound):
+    monkeypatch.setattr(P, "BROADCAST_ROWS", bound)
     rng = random.Random(seed)
     types, places = ["", "international", "graduate"], ["", "downtown", "west"]
     records = [(f"r{i:03d}", rng.choice(["Help", "Tax desk", "Care"]), rng.choice(["tax", "health_care", "safety_urgent", ""]),
