@@ -31,6 +31,48 @@ def approved(records: DataFrame, statuses: Sequence[str] = ("approved",)) -> Dat
 
 PROFILE = ("_need", "_emergency", "_student_type", "_location")
 FIT = ("_safety", "_for_type", "_at")
+ANY = "\x00any"  # stands for every need, student type or place; no real value contains it
+
+
+def _shortlists(exact: DataFrame, base: Sequence, limit: int) -> DataFrame:
+    """Records a profile can possibly be shown, keyed by ``need_key, type_key, at_key``.
+
+    A profile sees a record's student type as its own, open or other, and its place as its own or
+    other; among records it sees alike, only the base order counts and ``limit`` of them suffice.
+    ``exact`` holds the first ``limit`` per need, safety flag, type and place. "Any other place" is
+    served by one list per type: the profile's own place can fill at most ``limit`` of it, so
+    2 x ``limit`` entries always leave ``limit`` others. By the same count a list per place over other
+    types (own and open type excluded) needs 3 x ``limit``, and the list over both needs
+    2 + 2 + 3 + 1 = 8 x ``limit``. No list grows with the number of types or places.
+    """
+    group = ["_need", "_safety"]
+    by_type = top_per_key(exact, [*group, "_for_type"], base, 2 * limit)
+    by_place = top_per_key(exact, [*group, "_at"], base, 3 * limit)
+    both = by_type.join(by_place.select("_need", "record_id"), ["_need", "record_id"], "left_semi")
+    anywhere = top_per_key(both, group, base, 8 * limit)
+
+    def keyed(df: DataFrame, type_key: Column, at_key: Column) -> DataFrame:
+        return df.withColumns({"need_key": F.col("_need"), "type_key": type_key, "at_key": at_key}).drop("_need")
+
+    own_type, own_place, wild = F.col("_for_type"), F.col("_at"), F.lit(ANY)
+    return (
+        keyed(exact, own_type, own_place)
+        .unionByName(keyed(by_type, own_type, wild))
+        .unionByName(keyed(by_place, wild, own_place))
+        .unionByName(keyed(anywhere, wild, wild))
+    )
+
+
+def _probes(profiles: DataFrame) -> DataFrame:
+    """The list keys of each profile; an emergency also looks at the safety records of any need."""
+    needs = F.when(F.col("_emergency"), F.array(F.col("_need"), F.lit(ANY))).otherwise(F.array("_need"))
+    types = F.array_distinct(F.array(F.col("_student_type"), F.lit(""), F.lit(ANY)))
+    places = F.array(F.col("_location"), F.lit(ANY))
+    return (
+        profiles.withColumn("need_key", F.explode(needs))
+        .withColumn("type_key", F.explode(types))
+        .withColumn("at_key", F.explode(places))
+    )
 
 
 def rank_with_precedence(
@@ -49,9 +91,8 @@ def rank_with_precedence(
     records first, whatever the need. Student type fits exactly, openly (record names none) or not;
     the place fits when equal.
 
-    Ranked once per distinct profile. Records that agree in everything a profile can look at only
-    compete through authority, recency, name and id, so each such group is cut to ``limit`` before
-    any join. ``records`` is read several times and should be a table.
+    Ranked once per distinct profile, against short lists found by equality of need, type and place.
+    ``records`` is read several times and should be a table.
     """
     keyed = intakes.withColumns({
         "_need": M.need_key("main_need"),
@@ -68,9 +109,9 @@ def rank_with_precedence(
         "_for_type": blank("student_type"),
         "_at": blank("location"),
     })
-    narrow = M._searchable(
-        graded, "record_id", ["_authority", "last_verified_date", *FIT])
+    narrow = M._searchable(graded, "record_id", ["_authority", "last_verified_date", *FIT])
     inner = ["_authority", F.col("last_verified_date").desc_nulls_last(), "service_name", "record_id"]
+    base = [F.desc("score"), *inner]
     best = top_per_key(narrow, ["_category", *FIT], inner, limit)
     needs = profiles.groupBy("_need").agg(F.max("_emergency").alias("_any_emergency"))
     columns = ["_need", "record_id", "service_name", "_authority", "last_verified_date", *FIT, "score"]
@@ -82,22 +123,20 @@ def rank_with_precedence(
     found = equal
     if sizes:
         found = found.unionByName(M.containment_matches(short, narrow, sizes, small).select(*columns))
-    # Safety records reach every need that occurs in an emergency, matched or not.
-    pool = top_per_key(narrow.where("_safety"), list(FIT), inner, limit)
-    urgent = needs.where("_any_emergency").select("_need", F.lit(True).alias("_safety"))
-    strength = (
-        F.when(F.col("_category") == F.col("_need"), 2).otherwise(0)
-        + F.when((F.col("_need") != "") & F.contains("_haystack", "_need"), 1).otherwise(0)
+    # Safety records as candidates of any need. Where one also matches the need, the match's score counts.
+    pool = narrow.where("_safety").withColumns({"_need": F.lit(ANY), "score": F.lit(0)}).select(*columns)
+    exact = cut(top_per_key(found.unionByName(pool), ["_need", *FIT], base, limit))
+    seen = [c for c in columns if c not in ("_need", "score")]
+    fit = (
+        _probes(profiles).join(_shortlists(exact, base, limit), ["need_key", "type_key", "at_key"])
+        .groupBy(*PROFILE, *seen).agg(F.max("score").alias("score"))
+        .withColumns({
+            "urgency_fit": F.when(F.col("_emergency") & ~F.col("_safety"), 1).otherwise(0),
+            "eligibility_fit": F.when((F.col("_student_type") != "") & (F.col("_for_type") == F.col("_student_type")), 0)
+            .when(F.col("_for_type") == "", 1).otherwise(2),
+            "place_fit": F.when((F.col("_location") != "") & (F.col("_at") == F.col("_location")), 0).otherwise(1),
+        })
     )
-    routed = pool.join(hint(urgent), "_safety").withColumn("score", strength).select(*columns)
-    pairs = found.unionByName(routed).dropDuplicates(["_need", "record_id"])
-    pairs = top_per_key(pairs, ["_need", *FIT], [F.desc("score"), *inner], limit)
-    fit = profiles.join(pairs, "_need").where((F.col("score") > 0) | F.col("_emergency")).withColumns({
-        "urgency_fit": F.when(F.col("_emergency") & ~F.col("_safety"), 1).otherwise(0),
-        "eligibility_fit": F.when((F.col("_student_type") != "") & (F.col("_for_type") == F.col("_student_type")), 0)
-        .when(F.col("_for_type") == "", 1).otherwise(2),
-        "place_fit": F.when((F.col("_location") != "") & (F.col("_at") == F.col("_location")), 0).otherwise(1),
-    })
     order = [
         "urgency_fit", F.desc("score"), "_authority", "eligibility_fit", "place_fit", *inner[1:],
     ]

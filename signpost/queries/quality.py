@@ -184,3 +184,23 @@ def navigator_metrics(t: Tables) -> DataFrame:
     evidence = t.spark.createDataFrame([], "source_id string, evidence_path string, evidence_exists boolean")
     inventory = navigator.inventory(registry, manifest, evidence)
     return reports.navigator_metrics(rows, navigator.review_samples(rows), inventory, manifest)
+
+
+@query("rejected_records", """
+WITH r AS (SELECT doc_id, CASE WHEN lang = 'en' THEN 'https://example.org/' || source WHEN lang = 'fr' THEN '' WHEN lang = 'de' THEN 'ftp://example.org' END AS url,
+  CASE WHEN source <> 'src3' THEN source END AS category FROM documents)
+SELECT CAST(doc_id AS VARCHAR) AS record_id, concat_ws(', ', CASE WHEN category IS NULL THEN 'missing:category_id' END,
+  CASE WHEN url = '' OR url LIKE 'ftp%' THEN 'invalid:official_source_url' END) AS rejected_because
+FROM r WHERE category IS NULL OR url = '' OR url LIKE 'ftp%'""")
+def rejected_records(t: Tables) -> DataFrame:
+    """Documents as directory records: some without a category, some with an empty or foreign URL."""
+    from signpost.schemas import SERVICE_RECORDS
+    from signpost.sources.files import check_service_records, conform
+
+    lang = F.col("lang")
+    url = F.when(lang == "en", F.concat(F.lit("https://example.org/"), "source")).when(lang == "fr", "").when(lang == "de", "ftp://example.org")
+    records = t.documents.select(
+        F.col("doc_id").cast("string").alias("record_id"), F.col("source").alias("service_name"),
+        F.when(F.col("source") != "src3", F.col("source")).alias("category_id"), lang.alias("category_label"), url.alias("official_source_url"))
+    checked = check_service_records(conform(records, SERVICE_RECORDS))
+    return checked.where(F.col("rejected_because").isNotNull()).select("record_id", "rejected_because")

@@ -14,13 +14,15 @@ ORACLES: dict[str, str] = {}
 
 
 class Tables:
-    """Benchmark tables by attribute."""
+    """Benchmark tables by attribute; a table's schema is read once per query."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
 
     def __getattr__(self, name: str) -> DataFrame:
-        return table(self.spark, self.folder, name)
+        frame = table(self.spark, self.folder, name)
+        setattr(self, name, frame)
+        return frame
 
 
 def query(name: str, sql: str | None = None):

@@ -20,6 +20,8 @@ def session(app: str = "signpost", master: str | None = None, **conf: str) -> Sp
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # Checkpoints of frames that are no longer referenced are removed.
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         # Parsed pages are wide rows, so Arrow batches stay short.
         "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
     }
