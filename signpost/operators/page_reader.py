@@ -195,8 +195,10 @@ def batch_reader(carry: int, has_base: bool, keep_raw: bool, result) -> Callable
                 pa.array([e for _, e in readers], pa.string()),
             ]
             arrays = [kept.column(i) for i in range(carry)] + parsed
-            sizes = pa.array([s for s in kept.column(kept.num_columns - 1).to_pylist()], pa.int32())
-            return pa.RecordBatch.from_arrays([*arrays, sizes], schema=target)
+            sizes = kept.column(kept.num_columns - 1)
+            # Carried columns keep the types they came with (time zone, string width).
+            schema = pa.schema([*list(kept.schema)[:carry], *list(target)[carry:]])
+            return pa.RecordBatch.from_arrays([*arrays, sizes], schema=schema)
 
         for batch in batches:
             html = batch.column(carry)

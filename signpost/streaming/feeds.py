@@ -24,7 +24,11 @@ def read_feed(spark: SparkSession, path: str, schema: StructType, format: str =
 def _each_batch(stream: DataFrame, build: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> StreamingQuery:
     """Write ``build(batch)`` under a folder named by the batch, so a repeated batch replaces itself."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        build(batch).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        batch.persist()  # the plan reads its input more than once
+        try:
+            build(batch).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        finally:
+            batch.unpersist()
 
     return (
         stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)

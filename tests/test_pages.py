@@ -48,6 +48,16 @@ def test_many_pages_in_small_batches(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
 
 
+def test_carried_timestamps_in_another_time_zone(spark):
+    spark.conf.set("spark.sql.session.timeZone", "America/Toronto")
+    try:
+        df = spark.createDataFrame([("2026-06-12 01:02:03", "<p>x")], "t string, html string").withColumn("t", F.to_timestamp("t"))
+        row = parse_pages(df, ["t"], base=None).select(F.col("t").cast("string").alias("t"), "text").collect()[0]
+        assert tuple(row) == ("2026-06-12 01:02:03", "x")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_unreadable_and_missing_pages_keep_their_row(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "<p>ok</p>")], "id int, html string")
     rows = {r.id: r for r in parse_pages(df, ["id"], base=None).collect()}
