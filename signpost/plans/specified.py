@@ -237,7 +237,7 @@ def page_dates(value: Column | str) -> Column:
 
 
 def broken_links(records: DataFrame, fetches: DataFrame, key: str = "record_id", url: str = "official_source_url") -> DataFrame:
-    """Record URLs whose latest fetch failed or that were never fetched."""
+    """Record URLs whose fetch failed or that were never fetched; ``fetches`` has one row per URL."""
     status = fetches.select(F.col("url").alias(url), "http_status")
     joined = records.where(~is_missing(url)).select(key, url).join(status, url, "left")
     return joined.where(F.coalesce("http_status", F.lit(-1)) != 200).select(

@@ -237,6 +237,12 @@ SELECT CAST(j.page_id AS VARCHAR) AS source_id, j.url, CASE WHEN ok THEN j.http_
   COALESCE(ok AND (NOT html OR parsed_sample <> ''), FALSE) AS parseable, COALESCE(j.error, '') AS error
 FROM joined j JOIN sample s USING (page_id)""")
 def parse_samples(t: Tables) -> DataFrame:
+    return sample_rows(t).select(
+        "source_id", "url", "http_status", "content_type", "page_title", "sample_type", "parsed_sample",
+        "headings_found", "links_found", "parseable", "error")
+
+
+def sample_rows(t: Tables) -> DataFrame:
     inventory = t.pages.select(
         F.col("page_id").cast("string").alias("source_id"), F.lit("approved").alias("scope_status"),
         F.lit("Example").alias("organization"), F.lit("services").alias("category"), "url")
@@ -245,9 +251,7 @@ def parse_samples(t: Tables) -> DataFrame:
         "url", F.when(html, "text/html; charset=utf-8").otherwise("application/pdf").alias("content_type"),
         F.when(html, F.col("html")).otherwise("%PDF").alias("body"), F.octet_length("html").alias("n_bytes"))
     fetches = page_fetches(t).withColumn("final_url", F.col("url"))
-    return evidence.url_parse_samples(inventory, fetches, bodies).select(
-        "source_id", "url", "http_status", "content_type", "page_title", "sample_type", "parsed_sample",
-        "headings_found", "links_found", "parseable", "error")
+    return evidence.url_parse_samples(inventory, fetches, bodies)
 
 
 FRAGMENTS = ("copyright", "ououan")
@@ -321,15 +325,22 @@ SELECT CAST(g.page_id AS VARCHAR) AS service_id, t.service_description, t.excerp
     'none', 'content_verified_for_proposal')) AS content_hash
 FROM pages g JOIN latest l USING (page_id) JOIN status s ON s.url = g.url JOIN two t USING (page_id) WHERE l.error = ''""")
 def useful_records(t: Tables) -> DataFrame:
-    """Each page as a specified service; ``ououan`` stands for the organisation's boilerplate."""
-    specs = t.pages.select(
+    return useful_rows(t).select(
+        "service_id", "service_description", "source_evidence_excerpt", "source_url", "contact_or_access_methods",
+        "source_http_status", "next_step_http_status", "last_verified_date", "review_status", "content_hash")
+
+
+def service_specs(t: Tables) -> DataFrame:
+    """Each page as a specified service."""
+    return t.pages.select(
         F.col("page_id").cast("string").alias("service_id"),
         F.concat(F.lit("Service "), F.col("page_id").cast("string")).alias("service_name"), F.lit("services").alias("category"),
         F.col("url").alias("source_url"), F.lit("all").alias("intended_users"), F.lit("online").alias("delivery_context"),
         F.lit("read").alias("recommended_next_step"),
         F.concat(F.rtrim("url", F.lit("/")), F.lit("/next")).alias("next_step_url"), F.lit("none").alias("limitation"))
+
+
+def useful_rows(t: Tables) -> DataFrame:
+    """``ououan`` stands for the organisation's own boilerplate."""
     run = F.to_timestamp(F.lit("2024-02-01 00:00:00"))
-    records = evidence.useful_records(specs, page_fetches(t), pages(t), run, fragments=FRAGMENTS)
-    return records.select(
-        "service_id", "service_description", "source_evidence_excerpt", "source_url", "contact_or_access_methods",
-        "source_http_status", "next_step_http_status", "last_verified_date", "review_status", "content_hash")
+    return evidence.useful_records(service_specs(t), page_fetches(t), pages(t), run, fragments=FRAGMENTS)

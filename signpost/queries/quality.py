@@ -9,7 +9,7 @@ from signpost.functions.text import digest
 from signpost.operators import quality as Q
 from signpost.queries.ordering import LATEST_SQL, latest
 from signpost.queries.pages import CANDIDATES_SQL, SAMPLE_SQL, extracted, pages
-from signpost.queries.registry import Tables, query
+from signpost.queries.registry import ORACLES, Tables, query
 from signpost.sources.tables import spread
 
 DOCUMENT_FIELDS = ("doc_id", "lang", "source", "quality", "toxic")
@@ -204,3 +204,56 @@ def rejected_records(t: Tables) -> DataFrame:
         F.when(F.col("source") != "src3", F.col("source")).alias("category_id"), lang.alias("category_label"), url.alias("official_source_url"))
     checked = check_service_records(conform(records, SERVICE_RECORDS))
     return checked.where(F.col("rejected_because").isNotNull()).select("record_id", "rejected_because")
+
+
+@query("parse_sample_metrics", f"""
+WITH s AS MATERIALIZED (SELECT * FROM ({ORACLES['parse_samples']}) x)
+SELECT 'parse_samples' AS section, 'urls' AS key, count(*) AS value FROM s
+UNION ALL SELECT 'parse_samples', 'parseable', count(CASE WHEN parseable THEN 1 END) FROM s
+UNION ALL SELECT 'parse_samples', 'failed', count(CASE WHEN NOT parseable THEN 1 END) FROM s
+UNION ALL SELECT 'parse_samples', 'min_chars', min(length(parsed_sample)) FROM s WHERE parseable
+UNION ALL SELECT 'parse_samples', 'max_chars', max(length(parsed_sample)) FROM s WHERE parseable
+UNION ALL SELECT 'sample_type', sample_type, count(*) FROM s GROUP BY sample_type""")
+def parse_sample_metrics(t: Tables) -> DataFrame:
+    from signpost.plans import reports
+    from signpost.queries.pages import sample_rows
+    from signpost.session import cut
+
+    return reports.sample_metrics(cut(sample_rows(t)))
+
+
+@query("parse_sample_violations", f"""
+SELECT 'url_not_parseable' AS rule, source_id AS key, CASE WHEN error = '' THEN 'No parseable content found.' ELSE error END AS detail
+FROM ({ORACLES['parse_samples']}) x WHERE NOT parseable""")
+def parse_sample_violations(t: Tables) -> DataFrame:
+    from signpost.plans import reports
+    from signpost.queries.pages import sample_rows
+
+    return reports.sample_violations(sample_rows(t))
+
+
+@query("useful_metrics", f"""
+WITH u AS MATERIALIZED (SELECT * FROM ({ORACLES['useful_records']}) x)
+SELECT 'useful' AS section, 'records' AS key, count(*) AS value FROM u
+UNION ALL SELECT 'useful', 'categories', least(1, count(*)) FROM u
+UNION ALL SELECT 'useful', 'source_ok', count(CASE WHEN source_http_status = 200 THEN 1 END) FROM u
+UNION ALL SELECT 'useful', 'next_step_ok', 0
+UNION ALL SELECT 'useful_missing', unnest(['service_id', 'service_name', 'category', 'intended_users', 'service_description', 'delivery_context',
+  'contact_or_access_methods', 'recommended_next_step', 'next_step_url', 'source_url', 'source_evidence_excerpt', 'source_http_status',
+  'next_step_http_status', 'last_verified_date', 'limitation', 'review_status', 'content_hash']), 0""")
+def useful_metrics(t: Tables) -> DataFrame:
+    from signpost.plans import reports
+    from signpost.queries.pages import useful_rows
+    from signpost.session import cut
+
+    return reports.useful_metrics(cut(useful_rows(t)))
+
+
+@query("specs_without_content", f"""
+SELECT CAST(page_id AS VARCHAR) AS service_id FROM pages
+WHERE CAST(page_id AS VARCHAR) NOT IN (SELECT service_id FROM ({ORACLES['useful_records']}) x)""")
+def specs_without_content(t: Tables) -> DataFrame:
+    from signpost.plans import evidence
+    from signpost.queries.pages import service_specs, useful_rows
+
+    return evidence.specs_without_content(service_specs(t), useful_rows(t)).select("service_id")
