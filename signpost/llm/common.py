@@ -145,16 +145,72 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def words_of(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(hashes, first bytes, ends)`` of the words of a text."""
-    data = np.frombuffer(text, np.uint8)
-    inside = np.zeros(len(data) + 2, np.int8)
-    inside[1:-1] = ~_SPACE[data]
-    edge = np.diff(inside)
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+_SEGMENT = 1 << 20
+
+
+def words_of(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(hashes, starts, ends, first)`` of the words of several texts laid end to end in ``data``.
+
+    Text i has the bytes from ``bounds[i]`` to ``bounds[i + 1]`` and the words from ``first[i]`` to
+    ``first[i + 1]``; starts and ends are places in ``data``. Hashes are made a segment at a time.
+    """
+    hashes, starts, ends = [], [], []
+    low, high = int(bounds[0]), int(bounds[-1])
+    cut = np.zeros(high - low + 1, bool)
+    cut[bounds - low] = True
+    while low < high:
+        to = min(high, low + _SEGMENT)
+        while to < high and not (_SPACE[data[to]] or cut[to - int(bounds[0])]):
+            to += 1
+        part = data[low:to]
+        inside = ~_SPACE[part]
+        new = cut[low - int(bounds[0]):to - int(bounds[0])]
+        begins = inside & np.concatenate([[True], ~inside[:-1] | new[1:]])
+        stops = inside & np.concatenate([~inside[1:] | new[1:], [True]])
+        s, e = np.flatnonzero(begins), np.flatnonzero(stops) + 1
+        if len(s):
+            hashes.append(block_hashes(_BYTE[part], s, e))
+            starts.append(s + low)
+            ends.append(e + low)
+        low = to
+    if not hashes:
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(len(bounds), np.int64)
+    starts = np.concatenate(starts)
+    return np.concatenate(hashes), starts, np.concatenate(ends), np.searchsorted(starts, bounds)
+
+
+def texts_of(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """``(row, data, bounds)`` of runs of rows of a text column, about a segment of bytes each; null is empty."""
+    column = column.cast(pa.large_binary())
+    column = column.fill_null(b"") if column.null_count else column
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[column.offset:column.offset + len(column) + 1]
+    data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.empty(0, np.uint8)
+    row = 0
+    while row < len(column):
+        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + _SEGMENT, side="right")) - 1)
+        yield row, data, offsets[row:end + 1]
+        row = end
+
+
+def sampled_words(hashes: np.ndarray, first: np.ndarray, gram: int, width: int) -> np.ndarray:
+    """Indices of the words that begin a least n-gram of some ``width`` neighbouring n-grams of their text.
+
+    Any ``width + gram - 1`` words that two texts share begin at least one such n-gram in both,
+    at the same word.
+    """
+    counts = np.diff(first)
+    text = np.repeat(np.arange(len(counts)), counts)
+    word = np.arange(len(hashes)) + int(first[0])
+    own = word + gram <= first[1:][text]
+    starts = word[own] - int(first[0])
     if not len(starts):
-        return np.empty(0, np.uint64), starts, ends
-    return block_hashes(_BYTE[data], starts, ends), starts, ends
+        return starts
+    # Texts lie apart by a window of greatest values, so no window sees two of them.
+    place = starts + text[own] * width
+    values = np.full(int(place[-1]) + width + 1, ~np.uint64(0))
+    values[place] = block_hashes(hashes, starts, starts + gram)
+    return starts[window_minima(values, width)[place]]
 
 
 def window_minima(values: np.ndarray, width: int) -> np.ndarray:
@@ -174,3 +230,35 @@ def window_minima(values: np.ndarray, width: int) -> np.ndarray:
     least = slide(values, width, np.minimum)
     pad = np.zeros(width - 1, values.dtype)
     return slide(np.concatenate([pad, least, pad]), width, np.maximum) == values
+
+
+NO_ID = (1 << 63) - 1
+
+
+def text_keys() -> tuple[Column, Column]:
+    """A text's identity: its ``doc_id`` (rows without one come last) and a tag of its content."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.hash(text).cast("long").alias("tag")
+
+
+def id_or_null(column: str) -> Column:
+    return F.when(F.col(column) != NO_ID, F.col(column))
+
+
+def sampled_blocks(docs: DataFrame, gram: int, block: int, window: int) -> DataFrame:
+    """``(begins, doc, tag, at)``: words that :func:`sampled_words` picks, with a hash of the ``block`` words from there."""
+    def make():
+        def run(batch: pa.RecordBatch):
+            doc, tag = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for row, data, bounds in texts_of(batch.column(2)):
+                hashes, _, _, first = words_of(data, bounds)
+                at = sampled_words(hashes, first, gram, window)
+                of = np.searchsorted(first, at, side="right") - 1
+                fits = at + block <= first[1:][of]
+                at, of = at[fits], of[fits]
+                if len(at):
+                    yield [block_hashes(hashes, at, at + block).view(np.int64), doc[row + of], tag[row + of], at - first[of]]
+        return run
+
+    return map_arrow(docs.select(*text_keys(), F.col("text").cast("string").alias("text")), make,
+                     "begins long, doc long, tag long, at long")
