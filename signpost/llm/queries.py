@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from signpost.llm import language, mixing, packing, sharding, simhash
+from signpost.llm import clusters, language, mixing, neighbours, packing, passages, sharding, simhash, suffix
 
 
 def _on(name: str, operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -14,10 +14,14 @@ def _on(name: str, operator: Callable[[DataFrame], DataFrame]) -> Callable[[Spar
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix": _on("documents", suffix.repeated_passages),
     "op2_sharding": _on("documents", sharding.byte_shards),
     "op3_simhash": _on("documents", simhash.near_duplicates),
     "op4_language": _on("documents", language.languages_of),
+    "op5_neighbours": _on("embeddings", neighbours.nearest_to_every),
     "op7_packing": _on("documents", packing.packed_documents),
     "op8_mixing": _on("documents", mixing.mix_report),
+    "op9_passages": _on("documents", passages.fuzzy_passages),
+    "op10_clusters": _on("embeddings", clusters.near_duplicates),
 }
 SQL: dict[str, str] = {}
