@@ -6,19 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from signpost.llm import clusters, language, mixing, neighbours, packing, passages, sharding, simhash, suffix
+from signpost.llm import clusters, language, mixing, neighbours, packing, passages, quality, sharding, simhash, suffix
 
 
 def _on(name: str, operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, folder: operator(spark.read.parquet(f"{folder}/{name}.parquet"))
 
 
+def _quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.quality_of(spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix": _on("documents", suffix.repeated_passages),
     "op2_sharding": _on("documents", sharding.byte_shards),
     "op3_simhash": _on("documents", simhash.near_duplicates),
     "op4_language": _on("documents", language.languages_of),
     "op5_neighbours": _on("embeddings", neighbours.nearest_to_every),
+    "op6_quality": _quality,
     "op7_packing": _on("documents", packing.packed_documents),
     "op8_mixing": _on("documents", mixing.mix_report),
     "op9_passages": _on("documents", passages.fuzzy_passages),
