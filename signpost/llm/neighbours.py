@@ -29,7 +29,7 @@ def stop_level(cosine: float, trees: int, miss: float) -> int:
     """
     agree = 1.0 - math.acos(max(-1.0, min(1.0, cosine))) / math.pi
     needed = 1.0 - miss ** (1.0 / trees)
-    return BITS if agree >= 1.0 else max(0, int(math.log(needed) / math.log(agree))) if agree > 0 else 0
+    return BITS if agree >= 1.0 else min(BITS, int(math.log(needed) / math.log(agree))) if agree > 0 else 0
 
 
 def _hashed(rows: DataFrame, greatest: float | None, trees: int, size: int, seed: int) -> DataFrame:
@@ -97,7 +97,8 @@ def _visit(k: int, trees: int, floor: int, miss: float, greatest: float):
                     break
                 level = wanted
             near = np.flatnonzero(scores >= found) if len(scores) > k else np.arange(len(scores))
-            true = (rows[low[level] + near] * query).sum(axis=1)
+            # Added one component after another, as in a plain loop.
+            true = np.cumsum(rows[low[level] + near] * query, axis=1)[:, -1]
             for i, score in zip(order[low[level] + near].tolist(), true.tolist()):
                 for vec_id in ids[begins[i]:begins[i + 1]].tolist():
                     if vec_id != own:
