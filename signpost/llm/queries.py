@@ -29,4 +29,40 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_passages": _on("documents", passages.fuzzy_passages),
     "op10_clusters": _on("embeddings", clusters.near_duplicates),
 }
-SQL: dict[str, str] = {}
+
+_VECTORS = """v AS (
+  SELECT DISTINCT vec_id, embedding::DOUBLE[] AS e, sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS norm
+  FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0)"""
+
+#: What SQL can state. Hashes, models, tokens and approximate neighbours are tested against brute force.
+SQL: dict[str, str] = {
+    "op2_sharding": """
+WITH bits AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(
+    [n::BIGINT] || range(8), lambda v, i: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)) AS steps),
+bytes AS (
+  SELECT doc_id, text, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: ('0x' || h)::BIGINT) AS b FROM documents),
+sized AS (
+  SELECT doc_id, (coalesce(strlen(text), 0) + 16)::BIGINT AS size,
+    CASE WHEN len(b) > 0 THEN xor(list_reduce([4294967295::BIGINT] || b, lambda c, x: xor(c >> 8, steps[(xor(c, x) & 255) + 1])), 4294967295)
+         WHEN text IS NOT NULL THEN 0 END::BIGINT AS text_crc32
+  FROM bytes, bits),
+placed AS (
+  SELECT *, sum(size) OVER (ORDER BY doc_id NULLS FIRST, text_crc32 NULLS FIRST, size ROWS UNBOUNDED PRECEDING) AS upto,
+    row_number() OVER (ORDER BY doc_id NULLS FIRST, text_crc32 NULLS FIRST, size) AS nth, sum(size) OVER () AS total
+  FROM sized),
+cut AS (SELECT *, (((2 * upto - size) * 40) // (2 * total))::INTEGER AS shard FROM placed)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, (nth - min(nth) OVER (PARTITION BY shard))::BIGINT AS slot, NULL::INTEGER AS grown_shard
+FROM cut""",
+    "op10_clusters": f"""
+WITH RECURSIVE {_VECTORS},
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_inner_product(a.e, b.e) / (a.norm * b.norm) >= 0.9),
+reach(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+counted AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, component_id = e.vec_id AS kept
+FROM embeddings e JOIN least ON least.a = e.vec_id LEFT JOIN counted ON counted.a = e.vec_id""",
+}
