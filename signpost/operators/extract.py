@@ -30,13 +30,17 @@ def is_link(n: Column) -> Column:
 
 def first_by(items: Column, key, n: int | None = None) -> Column:
     """First item per key in array order, at most ``n`` keys."""
-    def pick(bound: Column, keys: Column) -> Column:
-        distinct = F.array_distinct(keys)
-        wanted = distinct if n is None else F.slice(distinct, 1, n)
-        return F.transform(
-            wanted, lambda k: F.get(bound, (F.array_position(keys, k) - 1).cast("int"))
-        )
-    return let(items, lambda bound: let(F.transform(bound, key), lambda keys: pick(bound, keys)))
+    def places(bound: Column) -> Column:
+        # Sorted by key and place, the first of each key follows another key.
+        sort = F.array_sort(F.transform(bound, lambda x, i: F.struct(key(x).alias("key"), i.alias("place"))))
+        return let(sort, lambda s: F.array_sort(F.transform(
+            F.filter(s, lambda x, i: (i == 0) | ~F.get(s, i - 1)["key"].eqNullSafe(x["key"])),
+            lambda x: x["place"])))
+
+    def pick(bound: Column) -> Column:
+        wanted = places(bound) if n is None else F.slice(places(bound), 1, n)
+        return F.transform(wanted, lambda i: F.get(bound, i))
+    return let(items, pick)
 
 
 # -- navigator candidates -------------------------------------------------------------------

@@ -43,7 +43,6 @@ class _NodeReader(HTMLParser):
         self.piece_from: list[int] = []
         self.text_len = 0
         self.raw: list[str] = []
-        self.raw_len = 0
 
     def end_string(self) -> None:
         if self.buffer:
@@ -51,7 +50,6 @@ class _NodeReader(HTMLParser):
             self.buffer.clear()
             if not self.hidden:
                 self.raw.append(string)
-                self.raw_len += len(string)
                 piece = " ".join(string.split())
                 if piece:
                     start = self.text_len + 1 if self.pieces else 0
@@ -84,7 +82,7 @@ class _NodeReader(HTMLParser):
         seq = len(self.nodes)
         parent = self.open[-1] if self.open else -1
         self.nodes.append(
-            [seq, parent, tag, ident, classes, role, href, target, len(self.pieces), 0, self.raw_len, 0]
+            [seq, parent, tag, ident, classes, role, href, target, len(self.pieces), 0, len(self.raw), 0]
         )
         self.open.append(seq)
         self.open_names[tag] = self.open_names.get(tag, 0) + 1
@@ -94,7 +92,7 @@ class _NodeReader(HTMLParser):
         node = self.nodes[self.open.pop()]
         node[0] = len(self.nodes) - 1
         node[9] = len(self.pieces)
-        node[11] = self.raw_len
+        node[11] = len(self.raw)
         tag = node[2]
         self.open_names[tag] -= 1
         self.hidden -= tag in NON_TEXT_TAGS
@@ -122,8 +120,9 @@ class _NodeReader(HTMLParser):
         self.buffer.append(html5.get(name + ";", "&" + name))
 
     def handle_charref(self, name):
-        digits = name[1:] if name[:1] in "xX" else name
-        code = int(digits, 16 if name[:1] in "xX" else 10)
+        digits = (name[1:] if name[:1] in "xX" else name).lstrip("0") or "0"
+        # No character has a number of more digits; longer ones would only cost time to read.
+        code = int(digits, 16 if name[:1] in "xX" else 10) if len(digits) <= 8 else 1 << 32
         try:
             char = bytes([code]).decode("cp1252") if code < 256 else chr(code)
         except (UnicodeDecodeError, ValueError, OverflowError):
@@ -153,8 +152,7 @@ def _read_page(html: str | None, base: str | None):
     try:
         reader.feed(html or "")
         reader.close()
-    except (AssertionError, ValueError) as problem:  # markup the tokenizer refuses
-        reader = _NodeReader(base)
+    except (AssertionError, ValueError) as problem:  # markup the tokenizer refuses: what came before it stays
         error = f"unreadable markup: {problem}"
     reader.finish()
     return reader, error
@@ -172,14 +170,13 @@ def batch_reader(carry: int, has_base: bool, keep_raw: bool, result) -> Callable
             columns: list[list] = [[] for _ in node_type]
             offsets = [0]
             for reader, _ in readers:
-                starts, n_pieces = reader.piece_from, len(reader.piece_from)
+                starts = reader.piece_from
                 for seq, node in enumerate(reader.nodes):
                     end_seq, parent, tag, ident, classes, role, href, absolute, p0, p1, r0, r1 = node
-                    start = starts[p0] if p0 < n_pieces else 0
-                    length = starts[p1 - 1] + len(reader.pieces[p1 - 1]) - start if p1 > p0 else 0
+                    length = starts[p1 - 1] + len(reader.pieces[p1 - 1]) - starts[p0] if p1 > p0 else 0
                     for column, value in zip(columns, (
                         seq, end_seq, parent, tag, ident, classes, role, href, absolute,
-                        start, length, r0, r1 - r0,
+                        p0, p1 - p0, length, r0, r1 - r0,
                     )):
                         column.append(value)
                 offsets.append(offsets[-1] + len(reader.nodes))
@@ -188,7 +185,8 @@ def batch_reader(carry: int, has_base: bool, keep_raw: bool, result) -> Callable
             )
             parsed = [
                 pa.array([" ".join(r.pieces) for r, _ in readers], pa.string()),
-                pa.array(["".join(r.raw) if keep_raw else None for r, _ in readers], pa.string()),
+                pa.array([r.pieces for r, _ in readers], target.field("text_pieces").type),
+                pa.array([r.raw if keep_raw else None for r, _ in readers], target.field("raw_pieces").type),
                 pa.ListArray.from_arrays(
                     pa.array(offsets, pa.int32()), structs, type=target.field("nodes").type
                 ),

@@ -1,8 +1,8 @@
 """Pages to nodes, and page-level lookups over the node array.
 
 ``parse_pages`` is the only Python step. It turns each page into one row: the normalised page text
-and the array of its elements in document order. An element's text is a span of the page text, so
-nested elements repeat no text. Everything else works on that row inside the JVM without a shuffle,
+and the array of its elements in document order. An element's text is a range of the page's pieces
+of text, so nested elements repeat no text and reading an element costs as much as its text is long. Everything else works on that row inside the JVM without a shuffle,
 or explodes it into a node table.
 """
 
@@ -25,10 +25,10 @@ def parse_pages(
     base: Column | str | None = "url",
     raw_text: bool = False,
 ) -> DataFrame:
-    """One row per page: the ``keep`` columns, ``text``, ``raw_text``, ``nodes``, ``parse_error``,
-    ``html_bytes``.
+    """One row per page: the ``keep`` columns, ``text``, ``text_pieces``, ``raw_pieces``, ``nodes``,
+    ``parse_error``, ``html_bytes``.
 
-    Links are resolved against ``base``. ``raw_text`` adds the unseparated text, needed only where
+    Links are resolved against ``base``. ``raw_text`` fills ``raw_pieces``, the unseparated text, needed only where
     labels are read without a space between nested strings. Filter pages before calling: nothing is
     pushed through the Python step.
     """
@@ -106,12 +106,12 @@ def roots(*priority: Test) -> Column:
 
 def text_of(node: Column) -> Column:
     """Normalised text of a node; null for a missing node."""
-    return F.substr(F.col("text"), node["text_from"] + 1, node["text_len"])
+    return F.array_join(F.slice(F.col("text_pieces"), node["piece_from"] + 1, node["pieces"]), " ")
 
 
 def raw_text_of(node: Column) -> Column:
     """Text of a node without separators between nested strings, whitespace collapsed."""
-    return clean_text(F.substr(F.col("raw_text"), node["raw_from"] + 1, node["raw_len"]))
+    return clean_text(F.array_join(F.slice(F.col("raw_pieces"), node["raw_from"] + 1, node["raw_pieces"]), ""))
 
 
 def text_or_blank(node: Column) -> Column:
@@ -168,6 +168,5 @@ def with_page_facts(
 def node_table(parsed: DataFrame, keep: Sequence[str], test: Test | None = None) -> DataFrame:
     """One row per element with its text; the test is applied before rows are made."""
     nodes = F.col("nodes") if test is None else select(test)
-    return parsed.select(*keep, "text", F.explode(nodes).alias("n")).select(
-        *keep, "n.*", text_of(F.col("n")).alias("node_text")
-    )
+    told = F.transform(nodes, lambda n: F.struct(n.alias("n"), text_of(n).alias("node_text")))
+    return parsed.select(*keep, F.inline(told)).select(*keep, "n.*", "node_text")

@@ -45,7 +45,7 @@ def useful_records(
     wanted = only_urls(pages, specs.select(F.col("source_url").alias("url")))
     content = (
         parse_pages(wanted, ["url"])
-        .select("url", "text", "nodes", F.explode(present(X.first_root_with_paragraphs(fragments))).alias("content"))
+        .select("url", "text_pieces", "nodes", F.explode(present(X.first_root_with_paragraphs(fragments))).alias("content"))
         .select(
             F.col("url").alias("source_url"),
             X.leading_paragraphs(F.col("content.paragraphs")).alias("leading"),

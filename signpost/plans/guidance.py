@@ -100,7 +100,7 @@ def detail_records(fetches: DataFrame, allowlist: DataFrame, urls=tuple(u for u,
     """Actions and resources of the allowlisted pages; ``allowlist(url, category)``."""
     categories = allowlist.select("url", F.col("category").alias("page_category"))
     readable = fetches.where(F.col("url").isin(*urls))
-    pages = read_guidance_pages(readable).join(F.broadcast(categories), "url")
+    pages = read_guidance_pages(readable).join(categories, "url")
     items = X.detail_items(
         F.col("root"), F.col("page_title"), F.col("page_category"), F.col("url"), urls
     )

@@ -17,7 +17,7 @@ from signpost.functions import safety
 from signpost.functions.text import blank, is_missing
 from signpost.operators import matching as M
 from signpost.operators.ordering import top_per_key
-from signpost.session import BROADCAST_ROWS, cut, is_small
+from signpost.session import written
 
 SAFETY_CATEGORY = "safety_urgent"
 
@@ -100,10 +100,8 @@ def rank_with_precedence(
         "_student_type": blank("student_type"),
         "_location": blank("location"),
     })
-    profiles = cut(keyed.select(*PROFILE).distinct())
-    small = is_small(profiles, BROADCAST_ROWS // max(limit, 1))
-    hint = F.broadcast if small else (lambda df: df)
-    graded = records.join(F.broadcast(authority), "authority_level", "left").withColumns({
+    profiles = written(keyed.select(*PROFILE).distinct(), "profiles")
+    graded = records.join(authority, "authority_level", "left").withColumns({
         "_authority": F.coalesce("authority_rank", F.lit(99)),
         "_safety": F.col("category_id") == safety_category,
         "_for_type": blank("student_type"),
@@ -115,17 +113,15 @@ def rank_with_precedence(
     best = top_per_key(narrow, ["_category", *FIT], inner, limit)
     needs = profiles.groupBy("_need").agg(F.max("_emergency").alias("_any_emergency"))
     columns = ["_need", "record_id", "service_name", "_authority", "last_verified_date", *FIT, "score"]
-    equal = cut(M.equal_matches(needs, best).select(*columns))
+    equal = written(M.equal_matches(needs, best).select(*columns), "equal")
     filled = equal.groupBy("_need").count().where(F.col("count") >= limit).select("_need")
     short = needs.join(filled.withColumn("_filled", F.lit(True)), "_need", "left").where(
         (F.col("_filled").isNull() | F.col("_any_emergency")) & (F.col("_need") != "")).select("_need")
-    sizes = M.gram_sizes(short)
-    found = equal
-    if sizes:
-        found = found.unionByName(M.containment_matches(short, narrow, sizes, small).select(*columns))
+    found = equal.unionByName(M.containment_matches(
+        short, narrow, "record_id", inner, FIT, limit).select(*columns))
     # Safety records as candidates of any need. Where one also matches the need, the match's score counts.
     pool = narrow.where("_safety").withColumns({"_need": F.lit(ANY), "score": F.lit(0)}).select(*columns)
-    exact = cut(top_per_key(found.unionByName(pool), ["_need", *FIT], base, limit))
+    exact = written(top_per_key(found.unionByName(pool), ["_need", *FIT], base, limit), "exact")
     seen = [c for c in columns if c not in ("_need", "score")]
     fit = (
         _probes(profiles).join(_shortlists(exact, base, limit), ["need_key", "type_key", "at_key"])
@@ -144,8 +140,8 @@ def rank_with_precedence(
         *PROFILE, "record_id", "score", "urgency_fit", F.col("_authority").alias("authority_rank"),
         "eligibility_fit", "place_fit", "rank")
     kept = records.drop("student_type", "location")
-    detail = kept.join(hint(ranked), "record_id")
-    return keyed.join(hint(detail), list(PROFILE)).drop(*PROFILE).withColumns({
+    detail = kept.join(ranked, "record_id")
+    return keyed.join(detail, list(PROFILE)).drop(*PROFILE).withColumns({
         "match_reason": safety.match_reason("main_need"),
         "limitation_required": safety.limitation_required("category_id", high_risk),
     })
@@ -252,7 +248,7 @@ def missing_by_rule(df: DataFrame, record_type: str, fields: Sequence[str], rule
     per_type = df.groupBy(F.col(record_type).alias("record_type")).agg(
         *[F.count_if(is_missing(F.col(f).cast("string"))).alias(f) for f in fields])
     long = per_type.unpivot("record_type", list(fields), "field", "missing")
-    return long.join(F.broadcast(rules), ["record_type", "field"], "left").select(
+    return long.join(rules, ["record_type", "field"], "left").select(
         "record_type", "field", F.coalesce("kind", F.lit("optional")).alias("kind"), "missing")
 
 

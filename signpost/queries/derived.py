@@ -16,7 +16,6 @@ from signpost.plans import facilities as FAC
 from signpost.plans import guidance, partners, reports
 from signpost.queries.registry import Tables, query
 from signpost.sources.files import detail_pages
-from signpost.sources.tables import spread
 
 SITE = "https://www.quebec.ca"
 
@@ -28,7 +27,7 @@ def _escape(value: Column) -> Column:
 def _documents(t: Tables) -> DataFrame:
     text = clean_text("text")
     first = F.get(F.split(text, " ", 2), F.lit(0))
-    return spread(t.documents).select(
+    return t.documents.select(
         "doc_id", "lang", "source", first.alias("word"), F.substr(text, F.length(first) + 2).alias("rest"))
 
 
@@ -62,7 +61,7 @@ def detail_fetches(t: Tables) -> DataFrame:
     number = F.regexp_extract("source", r"([0-9]+)$", 1).cast("int") % len(V.DETAIL_PAGE_CATEGORIES)
     html = F.concat(
         F.lit("<main><h1>"), "lang", F.lit("</h1><h2>"), _escape(F.col("word")), F.lit("</h2><h3>"), "source",
-        F.lit("</h3><h2></h2><a href='/x/"), "source", F.lit("'>"), _escape(F.col("word")), F.lit("</a><a href='"),
+        F.lit("</h3><h2></h2><p>"), _escape(F.col("rest")), F.lit("</p><a href='/x/"), "source", F.lit("'>"), _escape(F.col("word")), F.lit("</a><a href='"),
         F.lit(V.DETAIL_PAGE_CATEGORIES[1][0]), F.lit("'>listed</a><a href='mailto:a@b'>m</a></main>"))
     return _documents(t).select(
         F.get(urls, number).alias("url"), F.lit(200).alias("http_status"),
@@ -107,7 +106,7 @@ hub_rows AS (
   SELECT doc_id, url, source, lang, content_hash, section, category, 'linked_resource', 'https://www.ramq.gouv.qc.ca/' || doc_id,
     'https://www.ramq.gouv.qc.ca/' || doc_id FROM hub_section),
 det AS (
-  SELECT d.*, x.url, x.category, sha256(concat_ws(' ', lang, nullif(word, ''), source, nullif(word, ''), 'listed m')) AS content_hash
+  SELECT d.*, x.url, x.category, sha256(concat_ws(' ', lang, nullif(word, ''), source, nullif(rest, ''), nullif(word, ''), 'listed m')) AS content_hash
   FROM doc d JOIN detail x ON x.i = CAST(regexp_extract(source, '([0-9]+)$', 1) AS INTEGER) % {len(_DETAIL)}),
 detail_rows AS (
   SELECT doc_id, url, lang AS page_title, '' AS updated, content_hash, lang AS section, category, 'detail_action' AS record_type,
@@ -164,7 +163,7 @@ SELECT substr(sha256(concat_ws(chr(31), 'archive', 'https://example.org/' || doc
   'Archive', 200, '', sha256(lower(hex(encode(text)))), TRUE, '' FROM documents""")
 def source_manifest(t: Tables) -> DataFrame:
     """Hub pages (other languages than English failed to load) and each document as a binary archive."""
-    archives = spread(t.documents).select(
+    archives = t.documents.select(
         F.concat(F.lit("https://example.org/"), F.col("doc_id").cast("string")).alias("url"), F.lit(200).alias("http_status"),
         F.timestamp_seconds("doc_id").alias("retrieved_at"), F.encode("text", "UTF-8").alias("content"), F.lit("").alias("error"))
     pages = guidance.page_manifest(guidance.read_guidance_pages(hub_fetches(t, failing=True)))
@@ -185,7 +184,7 @@ def partner_pages(t: Tables) -> tuple[DataFrame, DataFrame]:
         F.lit(" <b>&amp;</b> Co</a></h3><p>Address</p><p>"), key, F.lit("<br>Main St</p><a href='https://maps.example.org/"), key,
         F.lit("'>View <i>map</i></a><a href='https://listed.example.org/"), key,
         F.lit("'>Website</a><span class='langs'>French,\n English</span></div>"))
-    listing = spread(t.supplier).select(
+    listing = t.supplier.select(
         F.floor(F.col("s_suppkey") / 8).alias("list_id"), (F.col("s_suppkey") % 8 + 1).cast("int").alias("page_no"),
         F.when(F.col("s_acctbal") < 0, "<p>nothing</p>").otherwise(card).alias("html"))
     nation = F.col("s_nationkey").cast("string")
@@ -196,7 +195,7 @@ def partner_pages(t: Tables) -> tuple[DataFrame, DataFrame]:
         F.when(F.col("s_nationkey") < 12, F.concat(F.lit("<a href='https://map.example.org'>m</a><a href='https://own.example.org/"), key, F.lit("'>w</a>")))
         .otherwise(""), F.lit("<a href='tel:"), key, F.lit("'>514 <b>"), key, F.lit("</b></a><a href='mailto:"), key,
         F.lit("@example.org'>mail</a><div class='date-section'>9<br>17</div></div><p class='dateMiseAJour'>Last update: May "), nation, F.lit("</p>"))
-    details = spread(t.supplier).where(F.col("s_nationkey") > 0).select(
+    details = t.supplier.where(F.col("s_nationkey") > 0).select(
         F.concat(F.lit(SITE + "/en/partner/"), key).alias("url"), detail.alias("html"))
     return listing, details
 
@@ -230,7 +229,7 @@ def partner_directory(t: Tables) -> DataFrame:
 
 def facility_source(t: Tables) -> DataFrame:
     """Suppliers as rows of the facility source file."""
-    joined = spread(t.supplier).join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).join(
+    joined = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).join(
         t.region, F.col("n_regionkey") == F.col("r_regionkey"))
     key, empty = F.col("s_suppkey").cast("string"), F.lit("")
     coordinate = F.when(F.col("s_acctbal") < 0, "").otherwise(F.concat(F.lit("45."), key))
@@ -307,10 +306,10 @@ UNION ALL """ + "\nUNION ALL ".join(
     f"SELECT 'facility_missing', '{f}', {_FACILITY_MISSING.get(f, '0')} FROM facility" if f in _FACILITY_MISSING
     else f"SELECT 'facility_missing', '{f}', 0" for f in S.FACILITY_FIELDS))
 def guidance_metrics(t: Tables) -> DataFrame:
-    from signpost.session import cut
+    from signpost.session import written
 
-    rows = cut(catalogue(t))  # every section reads it
-    sites = cut(FAC.facilities(facility_source(t), F.to_timestamp(F.lit("2026-06-12 00:00:00")), geography_code=CITY))
+    rows = written(catalogue(t), "catalogue")  # every section reads it
+    sites = written(FAC.facilities(facility_source(t), F.to_timestamp(F.lit("2026-06-12 00:00:00")), geography_code=CITY), "facilities")
     return reports.guidance_metrics(rows, guidance.review_queue(rows), sites)
 
 
@@ -321,12 +320,12 @@ UNION ALL SELECT 'facility_outside_city', 'odhf-' || s_suppkey, s_nationkey || '
 UNION ALL SELECT 'coordinates_missing', 'odhf-' || s_suppkey, '' FROM supplier WHERE s_acctbal < 0
 UNION ALL SELECT 'fetch_failed', 'https://www.quebec.ca/en/doc/' || doc_id, 'offline' FROM documents WHERE lang <> 'en'""")
 def guidance_violations(t: Tables) -> DataFrame:
-    from signpost.session import cut
+    from signpost.session import written
 
-    rows = cut(catalogue(t))
+    rows = written(catalogue(t), "catalogue")
     source = facility_source(t)
-    every = cut(source.select(
-        F.concat(F.lit("odhf-"), "index").alias("facility_id"), F.col("CSDuid").alias("csd_uid"), "latitude", "longitude"))
+    every = written(source.select(
+        F.concat(F.lit("odhf-"), "index").alias("facility_id"), F.col("CSDuid").alias("csd_uid"), "latitude", "longitude"), "every")
     manifest = t.documents.select(
         F.concat(F.lit(SITE + "/en/doc/"), F.col("doc_id").cast("string")).alias("url"),
         F.when(F.col("lang") == "en", "").otherwise("offline").alias("error"))

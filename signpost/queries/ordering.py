@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from signpost.functions.text import casefold, digest
 from signpost.operators import ordering as G
 from signpost.queries.registry import Tables, query
-from signpost.sources.tables import listing_until_empty, spread
+from signpost.sources.tables import listing_until_empty
+
+PREVIEW_ROWS = 100
 
 
 def fetch_log(t: Tables) -> DataFrame:
@@ -42,16 +44,15 @@ def latest_fetch(t: Tables) -> DataFrame:
 @query("dedupe_last", """
 SELECT sha256(text) AS record_id, max(doc_id) AS doc_id, arg_max(source, doc_id) AS source FROM documents GROUP BY 1""")
 def dedupe_last(t: Tables) -> DataFrame:
-    rows = spread(t.documents).select(digest("text").alias("record_id"), "doc_id", "source")
+    rows = t.documents.select(digest("text").alias("record_id"), "doc_id", "source")
     return G.last_per_key(rows, ["record_id"], ["doc_id"])
 
 
 @query("dedupe_first_casefold", """
-SELECT source, replace(lower(split_part(text, ' ', 1)), 'ß', 'ss') AS title_key, min(doc_id) AS doc_id,
-  arg_min(split_part(text, ' ', 1), doc_id) AS title FROM documents GROUP BY ALL""")
+SELECT source, replace(lower(text), 'ß', 'ss') AS title_key, min(doc_id) AS doc_id,
+  arg_min(text, doc_id) AS title FROM documents GROUP BY ALL""")
 def dedupe_first_casefold(t: Tables) -> DataFrame:
-    title = F.get(F.split("text", " ", 2), F.lit(0))
-    rows = spread(t.documents).select("source", "doc_id", title.alias("title")).withColumn("title_key", casefold("title"))
+    rows = t.documents.select("source", "doc_id", F.col("text").alias("title")).withColumn("title_key", casefold("title"))
     return G.first_per_key(rows, ["source", "title_key"], ["doc_id"])
 
 
@@ -75,25 +76,25 @@ def round_robin_sample(t: Tables) -> DataFrame:
 @query("listing_until_empty", r"""
 WITH p AS (SELECT conv_id AS list_id, CAST(turn AS INTEGER) + 1 AS page_no, text,
     list_filter(string_split(text, ' '), lambda w: length(w) > 9) AS cards FROM conversations),
-stop AS (SELECT list_id, min(CASE WHEN len(cards) = 0 THEN page_no END) AS stop_at FROM p WHERE page_no <= 3 GROUP BY 1),
-kept AS (SELECT p.* FROM p JOIN stop USING (list_id) WHERE page_no <= 3 AND (stop_at IS NULL OR page_no < stop_at))
+stop AS (SELECT list_id, min(CASE WHEN len(cards) = 0 THEN page_no END) AS stop_at FROM p GROUP BY 1),
+kept AS (SELECT p.* FROM p JOIN stop USING (list_id) WHERE (stop_at IS NULL OR page_no < stop_at))
 SELECT list_id, page_no, CAST(generate_subscripts(cards, 1) - 1 AS INTEGER) AS card_no, unnest(cards) AS word FROM kept""")
 def listing_pages(t: Tables) -> DataFrame:
     words = F.filter(F.split("text", " "), lambda w: F.length(w) > 9)
     pages = t.conversations.select(
         F.col("conv_id").alias("list_id"), (F.col("turn").cast("int") + 1).alias("page_no"),
         F.transform(words, lambda w: F.struct(w.alias("word"))).alias("cards"))
-    return listing_until_empty(pages, 3)
+    return listing_until_empty(pages)
 
 
 @query("preview_first_rows", """
 SELECT doc_id, CAST(row_number() OVER (ORDER BY lang, source, replace(lower(text), 'ß', 'ss') COLLATE C, doc_id) AS INTEGER) AS position
 FROM documents ORDER BY position LIMIT 100""")
 def preview_first_rows(t: Tables) -> DataFrame:
-    """The report preview: first 100 rows of the presentation sort, a top-k and not a full sort."""
+    """The report preview: first ``PREVIEW_ROWS`` rows of the presentation sort, a top-k and not a full sort."""
     from pyspark.sql import Window
 
-    top = spread(t.documents).select("doc_id", "lang", "source", casefold("text").alias("folded")).orderBy(
-        "lang", "source", "folded", "doc_id").limit(100)
+    top = t.documents.select("doc_id", "lang", "source", casefold("text").alias("folded")).orderBy(
+        "lang", "source", "folded", "doc_id").limit(PREVIEW_ROWS)
     return top.withColumn(
         "position", F.row_number().over(Window.orderBy("lang", "source", "folded", "doc_id"))).select("doc_id", "position")

@@ -9,17 +9,16 @@ from signpost.functions.text import casefold, iso_instant
 from signpost.operators import extract as X
 from signpost.operators.ordering import carry_forward, first_per_key, ordered_list
 from signpost.operators.pages import (
-    node_table, parse_pages, tagged, text_of, with_page_facts,
+    node_table, parse_pages, tagged, with_page_facts,
 )
 from signpost.plans import evidence, navigator
 from signpost.queries.markup_sql import NODES
 from signpost.queries.ordering import LATEST_SQL, latest
 from signpost.queries.registry import Tables, query
-from signpost.sources.tables import spread
 
 
 def pages(t: Tables) -> DataFrame:
-    return spread(t.pages)
+    return t.pages
 
 
 @query("page_nodes", NODES + """
@@ -84,11 +83,9 @@ SELECT page_id, seq, sha256(COALESCE(last_value(CASE WHEN tag IN ('h1', 'b') THE
 FROM marked JOIN facts USING (page_id)""")
 def carry_forward_sections(t: Tables) -> DataFrame:
     facts = with_page_facts(parse_pages(pages(t), ["page_id"]))
-    inside = F.col("n.seq").between(F.col("root.seq") + 1, F.col("root.end_seq"))
-    rows = facts.select("page_id", "page_title", "root", "text", F.explode("nodes").alias("n")).where(
-        inside & F.col("n.tag").isin("h1", "li", "p", "b")
-    ).select("page_id", "page_title", F.col("n.seq").alias("seq"),
-             F.when(F.col("n.tag").isin("h1", "b"), text_of(F.col("n"))).alias("mark"))
+    inside = F.col("seq").between(F.col("root.seq") + 1, F.col("root.end_seq"))
+    rows = node_table(facts, ["page_id", "page_title", "root"], tagged("h1", "li", "p", "b")).where(inside).select(
+        "page_id", "page_title", "seq", F.when(F.col("tag").isin("h1", "b"), F.col("node_text")).alias("mark"))
     section = carry_forward(rows, F.col("mark"), ["page_id"], ["seq"], F.col("page_title"))
     return rows.select("page_id", "seq", F.sha2(section, 256).alias("section"))
 
@@ -113,7 +110,7 @@ linked AS (
   FROM resolved WHERE length(title) BETWEEN 4 AND 160 GROUP BY page_id, link_url),
 items AS (
   SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY kind, seq) AS position
-  FROM (SELECT * FROM heads UNION ALL SELECT * FROM linked) QUALIFY position <= 5)"""
+  FROM (SELECT * FROM heads UNION ALL SELECT * FROM linked) QUALIFY position <= 30)"""
 
 
 def page_fetches(t: Tables) -> DataFrame:
@@ -123,13 +120,13 @@ def page_fetches(t: Tables) -> DataFrame:
 
 
 def extracted(t: Tables) -> DataFrame:
-    """Each fetched page as an approved source of its own; five records per page."""
+    """Each fetched page as an approved source of its own; at most thirty records per page."""
     registry = t.pages.select(
         F.col("page_id").cast("string").alias("source_id"), F.lit("Example").alias("organization"), "url",
         F.lit("services").alias("category"), F.lit("general").alias("authority_level"),
         F.startswith("url", F.lit("https:")).alias("own_organisation"), F.lit("approved").alias("scope_status"),
         F.lit("structured_html").alias("extraction_method"))
-    return navigator.extract_sources(registry, page_fetches(t), pages(t), cap=5, heading_tags=("h1",))
+    return navigator.extract_sources(registry, page_fetches(t), pages(t), cap=30, heading_tags=("h1",))
 
 
 @query("page_candidates", CANDIDATES_SQL + """
@@ -275,12 +272,11 @@ def useful_paragraphs(t: Tables) -> DataFrame:
 
     content = X.first_root_with_paragraphs(FRAGMENTS)
     parsed = parse_pages(pages(t), ["page_id"]).select("*", F.explode(present(content)).alias("content"))
-    rows = parsed.select(
-        "page_id", "text", F.col("content.root").alias("root"), F.explode("nodes").alias("n")
-    ).where(
-        F.col("n.seq").between(F.col("root.seq") + 1, F.col("root.end_seq"))
-        & F.col("n.tag").isin("p", "li") & F.col("n.text_len").between(55, 900)
-    ).select("page_id", F.col("n.seq").alias("seq"), (F.col("n.tag") == "li").alias("is_li"), text_of(F.col("n")).alias("paragraph"))
+    sized = lambda n: n["tag"].isin("p", "li") & n["text_len"].between(55, 900)
+    found = parsed.select("page_id", "text_pieces", "nodes", F.col("content.root").alias("root"))
+    rows = node_table(found, ["page_id", "root"], sized).where(
+        F.col("seq").between(F.col("root.seq") + 1, F.col("root.end_seq"))
+    ).select("page_id", "seq", (F.col("tag") == "li").alias("is_li"), F.col("node_text").alias("paragraph"))
     rows = rows.withColumn("folded", casefold("paragraph")).where(~contains_any(F.col("folded"), FRAGMENTS))
     unique = first_per_key(rows, ["page_id", "folded"], ["is_li", "seq"])
     position = F.row_number().over(Window.partitionBy("page_id").orderBy("is_li", "seq"))  # within one page

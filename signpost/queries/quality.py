@@ -10,7 +10,6 @@ from signpost.operators import quality as Q
 from signpost.queries.ordering import LATEST_SQL, latest
 from signpost.queries.pages import CANDIDATES_SQL, SAMPLE_SQL, extracted, pages
 from signpost.queries.registry import ORACLES, Tables, query
-from signpost.sources.tables import spread
 
 DOCUMENT_FIELDS = ("doc_id", "lang", "source", "quality", "toxic")
 
@@ -56,7 +55,7 @@ def distinct_counts(t: Tables) -> DataFrame:
 @query("duplicate_ids", """
 SELECT 'text_repeated' AS rule, sha256(text) AS key, CAST(count(*) AS VARCHAR) AS detail FROM documents GROUP BY text HAVING count(*) > 1""")
 def duplicate_ids(t: Tables) -> DataFrame:
-    rows = spread(t.documents).select(digest("text").alias("record_id"))
+    rows = t.documents.select(digest("text").alias("record_id"))
     return Q.not_unique(rows, "record_id", "text_repeated")
 
 
@@ -133,7 +132,7 @@ def violations(t: Tables) -> DataFrame:
 
 
 def duplicate_rows(t: Tables) -> DataFrame:
-    return Q.not_unique(spread(t.documents).select(digest("text").alias("record_id")), "record_id", "text_repeated")
+    return Q.not_unique(t.documents.select(digest("text").alias("record_id")), "record_id", "text_repeated")
 
 
 @query("navigator_violations", CANDIDATES_SQL + """
@@ -145,9 +144,9 @@ def navigator_violations(t: Tables) -> DataFrame:
     from signpost.plans import navigator, reports
 
     structured = t.pages.where(F.startswith("url", F.lit("https:"))).select(F.col("page_id").cast("string").alias("source_id"))
-    from signpost.session import cut
+    from signpost.session import written
 
-    return reports.navigator_violations(cut(navigator.candidates(extracted(t))), structured)
+    return reports.navigator_violations(written(navigator.candidates(extracted(t)), "candidates"), structured)
 
 
 @query("navigator_metrics", CANDIDATES_SQL + """
@@ -174,10 +173,10 @@ UNION ALL SELECT 'candidate_source', CAST(page_id AS VARCHAR), count(*) FROM can
 UNION ALL SELECT 'candidate_missing', f, n FROM field""")
 def navigator_metrics(t: Tables) -> DataFrame:
     from signpost.plans import navigator, reports
-    from signpost.session import cut
+    from signpost.session import written
 
-    source = cut(extracted(t))  # candidates and manifest both read it
-    rows, manifest = cut(navigator.candidates(source)), navigator.manifest(source)
+    source = written(extracted(t), "extracted")  # candidates and manifest both read it
+    rows, manifest = written(navigator.candidates(source), "candidates"), navigator.manifest(source)
     registry = t.pages.select(
         F.col("page_id").cast("string").alias("source_id"), "url", F.lit("approved").alias("scope_status"),
         F.lit("structured_html").alias("extraction_method"))
@@ -217,9 +216,9 @@ UNION ALL SELECT 'sample_type', sample_type, count(*) FROM s GROUP BY sample_typ
 def parse_sample_metrics(t: Tables) -> DataFrame:
     from signpost.plans import reports
     from signpost.queries.pages import sample_rows
-    from signpost.session import cut
+    from signpost.session import written
 
-    return reports.sample_metrics(cut(sample_rows(t)))
+    return reports.sample_metrics(written(sample_rows(t), "samples"))
 
 
 @query("parse_sample_violations", f"""
@@ -244,9 +243,9 @@ UNION ALL SELECT 'useful_missing', unnest(['service_id', 'service_name', 'catego
 def useful_metrics(t: Tables) -> DataFrame:
     from signpost.plans import reports
     from signpost.queries.pages import useful_rows
-    from signpost.session import cut
+    from signpost.session import written
 
-    return reports.useful_metrics(cut(useful_rows(t)))
+    return reports.useful_metrics(written(useful_rows(t), "useful"))
 
 
 @query("specs_without_content", f"""

@@ -12,7 +12,6 @@ from signpost.queries.ordering import LATEST_SQL, latest
 from signpost.queries.quality import labelled
 from signpost.queries.registry import Tables, query
 from signpost.sources.files import vocabulary_table
-from signpost.sources.tables import spread
 
 RUN_DATE = "2002-01-01"
 
@@ -91,7 +90,7 @@ SELECT s_suppkey AS facility_id, concat_ws(',', CASE WHEN r_name = 'ASIA' THEN '
   CASE WHEN s_acctbal < 0 THEN 'source_retrieved_at' END) AS missing_fields
 FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey WHERE r_name = 'ASIA' OR s_acctbal < 0""")
 def provenance(t: Tables) -> DataFrame:
-    placed = spread(t.supplier).join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).join(
+    placed = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).join(
         t.region, F.col("n_regionkey") == F.col("r_regionkey"))
     filled = F.lit("x")
     return P.incomplete_provenance(placed.select(
@@ -113,9 +112,9 @@ WITH logged AS (
   UNION ALL SELECT 'documents', doc_id, 0, text FROM documents)
 {_sensitive_sql()}""")
 def sensitive_scan(t: Tables) -> DataFrame:
-    logged = spread(t.conversations).select(
+    logged = t.conversations.select(
         F.lit("conversations").alias("source_table"), F.col("conv_id").alias("key"), F.col("turn").alias("part"), "text"
-    ).unionByName(spread(t.documents).select(
+    ).unionByName(t.documents.select(
         F.lit("documents").alias("source_table"), F.col("doc_id").alias("key"), F.lit(0).cast("bigint").alias("part"), "text"))
     return P.sensitive_text(logged, ["source_table", "key", "part"], "text")
 
@@ -132,7 +131,7 @@ SELECT place_id, facility_id, round(km, 6) AS distance_km,
   CAST(row_number() OVER (PARTITION BY place_id ORDER BY km, facility_id) AS INTEGER) AS rank
 FROM d WHERE km <= 30 QUALIFY rank <= 3""")
 def nearest_facilities(t: Tables) -> DataFrame:
-    places = spread(t.customer).select(
+    places = t.customer.select(
         F.col("c_custkey").alias("place_id"), (45 + F.col("c_nationkey") * F.lit(0.05)).alias("lat"),
         (F.lit(-73.5) + F.col("c_acctbal") / 10000.0).alias("lon"))
     located = F.col("s_acctbal") >= 0

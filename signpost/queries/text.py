@@ -9,7 +9,6 @@ from signpost.functions import text as X
 from signpost.functions import urls as U
 from signpost.plans.guidance import agency_for_url
 from signpost.queries.registry import Tables, query
-from signpost.sources.tables import spread
 
 
 @query("record_ids", r"""
@@ -18,7 +17,7 @@ SELECT doc_id, substr(sha256(concat_ws(chr(31), source, lang, text)), 1, 20) AS
   sha256(lower(hex(encode(text)))) AS payload_hash
 FROM documents""")
 def record_ids(t: Tables) -> DataFrame:
-    return spread(t.documents).select(
+    return t.documents.select(
         "doc_id", X.short_id("source", "lang", "text").alias("record_id"),
         X.digest(F.col("doc_id").cast("string"), "source", "lang", F.col("n_chars").cast("string")).alias("record_hash"),
         X.payload_hash(F.encode("text", "UTF-8")).alias("payload_hash"))
@@ -27,12 +26,12 @@ def record_ids(t: Tables) -> DataFrame:
 @query("clean_text", r"""
 SELECT doc_id, trim(regexp_replace(text, '[\s\p{Z}\x0B\x1c-\x1f\x{85}]+', ' ', 'g')) AS cleaned FROM documents""")
 def clean_text(t: Tables) -> DataFrame:
-    return spread(t.documents).select("doc_id", X.clean_text("text").alias("cleaned"))
+    return t.documents.select("doc_id", X.clean_text("text").alias("cleaned"))
 
 
 @query("casefold_text", r"""SELECT doc_id, replace(lower(text), 'ß', 'ss') AS folded FROM documents""")
 def casefold_text(t: Tables) -> DataFrame:
-    return spread(t.documents).select("doc_id", X.casefold("text").alias("folded"))
+    return t.documents.select("doc_id", X.casefold("text").alias("folded"))
 
 
 @query("text_measures", r"""
@@ -45,7 +44,7 @@ SELECT doc_id, substr(t, 1, 600) AS excerpt, length(t) BETWEEN 55 AND 900 AS par
     'Downloaded non-HTML content with type ' || lang || ' and ' || format('{:,}', n_chars) || ' bytes.' END AS summary
 FROM c""")
 def text_measures(t: Tables) -> DataFrame:
-    docs = spread(t.documents).withColumn("t", X.strip_trailing(X.clean_text("text"), ".:"))
+    docs = t.documents.withColumn("t", X.strip_trailing(X.clean_text("text"), ".:"))
     kind = F.concat(F.col("lang"), F.lit(";q=1"))
     return docs.select(
         "doc_id", X.truncate("t", 600).alias("excerpt"),

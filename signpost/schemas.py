@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql.types import (
-    ArrayType, BooleanType, IntegerType, StringType, StructField, StructType,
+    ArrayType, IntegerType, StringType, StructField, StructType,
 )
 
+# -- fixed values: names and order of the columns of every interchange table --
 SERVICE_RECORD_REQUIRED = ("record_id", "service_name", "category_id", "category_label")
 SERVICE_RECORD_FIELDS = (
     *SERVICE_RECORD_REQUIRED,
@@ -13,7 +14,6 @@ SERVICE_RECORD_FIELDS = (
     "official_source_url", "source_name", "source_publisher", "source_license_or_terms",
     "source_retrieved_at", "source_record_id", "last_verified_date", "review_status",
 )
-INTAKE_FIELDS = ("main_need", "urgency_level", "student_type", "location", "language_preference")
 REGISTRY_FIELDS = (
     "source_id", "organization", "url", "category", "authority_level", "own_organisation",
     "scope_status", "extraction_method", "mentioned_in", "rationale",
@@ -30,10 +30,6 @@ CANDIDATE_BLANKS = (
     "student_types", "eligibility_notes", "location", "language", "delivery_format",
     "contact_method", "recommended_next_step", "safety_notes",
 )
-NAVIGATOR_MANIFEST_FIELDS = (
-    "source_id", "url", "http_status", "page_title", "source_last_updated", "retrieved_at",
-    "content_hash", "records_extracted", "error",
-)
 GUIDANCE_FIELDS = (
     "record_id", "category", "record_type", "action_title", "section", "source_page_title",
     "source_page_url", "linked_resource_title", "linked_resource_url", "linked_resource_agency",
@@ -56,10 +52,6 @@ FACILITY_FIELDS = (
     "source_formatted_address", "csd_name", "csd_uid", "province_uid", "latitude", "longitude",
     "source_url", "retrieved_at", "record_content_hash",
 )
-SOURCE_MANIFEST_FIELDS = (
-    "source_id", "source_type", "url", "title", "http_status", "source_last_updated",
-    "retrieved_at", "content_hash", "deep_parsed", "error",
-)
 PARTNER_LISTING_FIELDS = (
     "name", "detail_url", "listing_address", "listing_languages", "map_url", "listing_website",
 )
@@ -79,16 +71,6 @@ USEFUL_RECORD_FIELDS = (
     "source_url", "source_evidence_excerpt", "source_http_status", "next_step_http_status",
     "last_verified_date", "limitation", "review_status", "content_hash",
 )
-PARSE_SAMPLE_FIELDS = (
-    "source_id", "scope_status", "organization", "category", "url", "final_url", "http_status",
-    "content_type", "page_title", "sample_type", "parsed_sample", "parsed_sample_chars",
-    "headings_found", "links_found", "parseable", "retrieved_at", "error",
-)
-SCENARIO_FIELDS = (
-    "scenario_id", "student_need", "student_type", "stage", "urgency_level",
-    "expected_categories", "acceptable_services", "must_include_safety_note",
-    "must_include_source_link", "pass_rule",
-)
 PROVENANCE_FIELDS = (
     "source_name", "source_publisher", "source_url", "source_license_or_terms",
     "source_retrieved_at", "source_record_id", "last_verified_date",
@@ -101,10 +83,9 @@ def text_schema(fields, required=()) -> StructType:
 
 
 SERVICE_RECORDS = text_schema(SERVICE_RECORD_FIELDS, SERVICE_RECORD_REQUIRED)
-INTAKES = text_schema(INTAKE_FIELDS, ("main_need",))
 
 # One element of a page. ``seq`` is its position in document order and its index in the page's
-# node array; its descendants are seq+1 .. end_seq. Text is a span of the page text.
+# node array; its descendants are seq+1 .. end_seq. Its text is a range of the page's pieces of text.
 NODE = StructType([
     StructField("seq", IntegerType(), False),
     StructField("end_seq", IntegerType(), False),
@@ -115,16 +96,17 @@ NODE = StructType([
     StructField("role", StringType()),
     StructField("href", StringType()),
     StructField("href_abs", StringType()),
-    StructField("text_from", IntegerType(), False),
+    StructField("piece_from", IntegerType(), False),
+    StructField("pieces", IntegerType(), False),
     StructField("text_len", IntegerType(), False),
     StructField("raw_from", IntegerType(), False),
-    StructField("raw_len", IntegerType(), False),
+    StructField("raw_pieces", IntegerType(), False),
 ])
 PARSED = StructType([
     StructField("text", StringType()),
-    StructField("raw_text", StringType()),
+    StructField("text_pieces", ArrayType(StringType(), False)),
+    StructField("raw_pieces", ArrayType(StringType(), False)),
     StructField("nodes", ArrayType(NODE, False)),
     StructField("parse_error", StringType()),
     StructField("html_bytes", IntegerType()),
 ])
-FLAG = BooleanType()

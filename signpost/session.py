@@ -3,12 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# Rows a side may have, once counted, before it stops being broadcast explicitly.
-BROADCAST_ROWS = 100_000
 
 
 def session(app: str = "signpost", master: str | None = None, **conf: str) -> SparkSession:
@@ -20,8 +17,6 @@ def session(app: str = "signpost", master: str | None = None, **conf: str) -> Sp
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
-        # Checkpoints of frames that are no longer referenced are removed.
-        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         # Parsed pages are wide rows, so Arrow batches stay short.
         "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
     }
@@ -30,24 +25,30 @@ def session(app: str = "signpost", master: str | None = None, **conf: str) -> Sp
     return builder.getOrCreate()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Compute once and cut the lineage through the session's shared checkpoint folder."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
-
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether the frame has at most ``rows`` rows; reads no more than that plus one."""
-    return df.limit(rows + 1).count() <= rows
+    Only a local session may do without; it gets a temporary folder of its own.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    folder = "file://" + tempfile.mkdtemp(prefix="spark-")
+    spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast a counted small side; otherwise leave the join to the optimizer."""
-    return F.broadcast(df) if is_small(df, rows) else df
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Compute once: write the rows as Parquet into the shared folder and read them back.
 
-
-def literal_rows(spark: SparkSession, rows, columns: str) -> DataFrame:
-    """Fixed vocabulary as a DataFrame; its size is the size of the literal."""
-    return spark.createDataFrame([tuple(r) for r in rows], columns)
+    The table outlives lost executors, and later stages read only the columns they use. Its
+    folder goes when the driver ends.
+    """
+    spark = df.sparkSession
+    folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return spark.read.schema(df.schema).parquet(folder)

@@ -51,21 +51,28 @@ def conform(df: DataFrame, schema: StructType) -> DataFrame:
 
 
 def read_json_array(spark: SparkSession, path: str, fields: Sequence[str]) -> DataFrame:
-    """A JSON array file (or JSON lines) as text columns."""
+    """Files that each hold one JSON array, as text columns. A file is one task."""
     df = spark.read.schema(S.text_schema(fields)).option("multiLine", True).json(path)
     return df.na.fill("")
 
 
-def read_registry(spark: SparkSession, path: str, own_flag: str = "own_organisation") -> DataFrame:
+def read_json_lines(spark: SparkSession, path: str, fields: Sequence[str]) -> DataFrame:
+    """Files of one JSON object a line, as ``write_json`` writes them, as text columns. Files split."""
+    return spark.read.schema(S.text_schema(fields)).json(path).na.fill("")
+
+
+def read_registry(
+    spark: SparkSession, path: str, own_flag: str = "own_organisation", multi_line: bool = True
+) -> DataFrame:
     """Source registry; ``own_flag`` names the file's column for the organisation's own sources."""
-    df = read_csv(spark, path).withColumnRenamed(own_flag, "own_organisation")
+    df = read_csv(spark, path, multi_line=multi_line).withColumnRenamed(own_flag, "own_organisation")
     return conform(df, S.text_schema(S.REGISTRY_FIELDS)).na.fill("").withColumn(
         "own_organisation", F.lower("own_organisation") == "true"
     )
 
 
-def read_service_specs(spark: SparkSession, path: str) -> DataFrame:
-    return read_csv(spark, path, S.text_schema(S.SERVICE_SPEC_FIELDS))
+def read_service_specs(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    return read_csv(spark, path, S.text_schema(S.SERVICE_SPEC_FIELDS), multi_line=multi_line)
 
 
 def vocabulary_table(spark: SparkSession, rows, columns: Sequence[str]) -> DataFrame:
@@ -113,9 +120,9 @@ def check_service_records(records: DataFrame) -> DataFrame:
     return records.withColumn("rejected_because", F.nullif(reasons, F.lit("")))
 
 
-def read_service_records(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def read_service_records(spark: SparkSession, path: str, multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
     """Curated directory as ``(valid, rejected)``; rejected rows carry the reason."""
-    raw = read_csv(spark, path)
+    raw = read_csv(spark, path, multi_line=multi_line)
     present = raw.select(*[
         F.when(F.col(f"`{c}`").isin(*V.MISSING_TOKENS), F.lit("")).otherwise(F.col(f"`{c}`")).alias(c)
         for c in raw.columns

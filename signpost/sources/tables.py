@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signpost.functions.text import is_missing
-from signpost.session import is_small
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -16,13 +15,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def only_urls(pages: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Pages whose ``url`` is wanted, where a counted small list allows a filter without a shuffle.
+    """Pages whose ``url`` is wanted, ahead of parsing.
 
-    With a long list all pages are returned: most of them are wanted then, and joining what was read
-    from a page moves less than joining the page.
+    The optimizer sends a short list to the pages; with a long one both sides shuffle on ``url``.
     """
-    urls = wanted.select("url")
-    return pages.join(F.broadcast(urls), "url", "left_semi") if is_small(urls) else pages
+    return pages.join(wanted.select("url").distinct(), "url", "left_semi")
 
 
 def with_fetch_outcome(fetch_log: DataFrame, extracted: DataFrame, page_columns: Sequence[str]) -> DataFrame:
@@ -35,27 +32,18 @@ def with_fetch_outcome(fetch_log: DataFrame, extracted: DataFrame, page_columns:
     return joined.withColumns({c: F.when(is_missing("error"), F.col(c)) for c in page_columns})
 
 
-def listing_until_empty(pages: DataFrame, limit: int, keys=("list_id",)) -> DataFrame:
-    """Cards of a paged listing up to the first page without cards, at most ``limit`` pages.
+def listing_until_empty(pages: DataFrame, limit: int | None = None, keys=("list_id",)) -> DataFrame:
+    """Cards of a paged listing up to the first page without cards, and up to page ``limit`` if given.
 
-    ``pages(*keys, page_no, cards)`` holds the card array of every fetched page. The window sees
-    at most ``limit`` rows per listing.
+    ``pages(*keys, page_no, cards)`` holds the card array of every fetched page. The first empty page
+    of a listing is a minimum taken before the shuffle.
     """
-    whole = Window.partitionBy(*keys)
-    stop = F.min(F.when(F.coalesce(F.size("cards"), F.lit(0)) == 0, F.col("page_no"))).over(whole)
+    asked = pages if limit is None else pages.where(F.col("page_no") <= limit)
+    empty = asked.where(F.coalesce(F.size("cards"), F.lit(0)) == 0)
+    stop = empty.groupBy(*keys).agg(F.min("page_no").alias("_stop"))
     return (
-        pages.where(F.col("page_no") <= limit)
-        .withColumn("_stop", stop)
+        asked.join(stop, list(keys), "left")
         .where(F.col("_stop").isNull() | (F.col("page_no") < F.col("_stop")))
         .select(*keys, "page_no", F.posexplode("cards").alias("card_no", "card"))
         .select(*keys, "page_no", "card_no", "card.*")
     )
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a scan that comes in fewer splits than there are cores over all of them.
-
-    A table of many files already has more splits, and is returned as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

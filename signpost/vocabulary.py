@@ -110,7 +110,6 @@ ACCESS_KEYWORDS = (
 
 # -- fixed values: facility source, geography codes and counts ------------------------
 FACILITY_SOURCE_URL = "https://www150.statcan.gc.ca/n1/en/pub/13-26-0001/2020001/ODHF_v1.1.zip"
-FACILITY_SOURCE_TITLE = "Open Database of Healthcare Facilities v1.1"
 CITY_GEOGRAPHY_CODE = "2466023.0"
 PROVINCE_CODE = "qc"
 

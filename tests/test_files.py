@@ -55,6 +55,21 @@ def test_json_is_unescaped_and_arrays_read_back(spark, tmp_path):
     assert sorted(tuple(r) for r in R.read_json_array(spark, path, ("a", "b")).collect()) == [("1", ""), ("2", "x")]
 
 
+def test_json_lines_round_trip_over_many_rows_and_files(spark, tmp_path):
+    df = spark.range(500).select(F.col("id").cast("string").alias("a"), F.concat(F.lit("line\nbreak é "), "id").alias("b")).repartition(4)
+    K.write_json(df, str(tmp_path / "lines"), ("a", "b"))
+    back = R.read_json_lines(spark, str(tmp_path / "lines"), ("a", "b"))
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+
+
+def test_csv_without_line_breaks_splits_and_reads_alike(spark, tmp_path):
+    df = spark.range(300).select(F.concat(F.lit("r"), "id").alias("service_id"), *[F.lit("x").alias(f) for f in S.SERVICE_SPEC_FIELDS[1:]]).repartition(3)
+    K.write_csv(df, str(tmp_path / "specs"), S.SERVICE_SPEC_FIELDS)
+    for multi_line in (True, False):
+        back = R.read_service_specs(spark, str(tmp_path / "specs"), multi_line=multi_line)
+        assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+
+
 def test_windows_1252_facility_file(spark, tmp_path):
     head = ",".join(S.FACILITY_SOURCE_FIELDS)
     row = "{i},  Clinique “É”\t{i} ,t,Hospitals,p,,1,Rue,,Montréal,{p},,Montréal,{code},24,45.5,-73.5"

@@ -36,7 +36,7 @@ def test_well_formed_markup_equals_an_xml_parser(node):
     for found, element in zip(reader.nodes, elements):
         assert node_text(reader, found) == " ".join(w for s in element.itertext() for w in s.split())
         assert found[0] - reader.nodes.index(found) == sum(1 for _ in element.iter()) - 1
-        assert "".join(reader.raw)[found[10]:found[11]] == "".join(element.itertext())
+        assert "".join(reader.raw[found[10]:found[11]]) == "".join(element.itertext())
 
 
 TOKENS = st.sampled_from(
