@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import sys
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from signpost.session import discard, written
+
+__all__ = ["discard", "written"]
+
 # Tasks get these functions by value, so workers need nothing of this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -20,35 +22,6 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
-
-    Only a local session may do without; it gets a temporary folder of its own.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    folder = "file://" + tempfile.mkdtemp(prefix="spark-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Compute once: write the rows as Parquet into the shared folder and read them back.
-
-    The table outlives lost executors and later stages read only the columns they use. Its
-    folder goes when the driver ends.
-    """
-    spark = df.sparkSession
-    folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(folder)
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return spark.read.schema(df.schema).parquet(folder)
-
-
 def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], list]], schema: str | object) -> DataFrame:
     """Apply a function of one Arrow batch, built once per task, and return its columns.
 
@@ -97,10 +70,11 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = written(oriented(large), "large")
-        least = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = written(oriented(small.unionByName(least.select("u", F.col("m").alias("v")))), "links")
-        after = state(edges)
+        lesser = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        small = large.join(lesser, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        next_edges = written(oriented(small.unionByName(lesser.select("u", F.col("m").alias("v")))), "links")
+        discard(edges, least, large, lesser)
+        edges, after = next_edges, state(next_edges)
         if after == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
                 edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
