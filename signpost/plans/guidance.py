@@ -14,6 +14,7 @@ from signpost.operators.ordering import last_per_key
 from signpost.operators.pages import (
     GUIDANCE_ROOT, GUIDANCE_UPDATED, first_root, parse_pages, with_id, with_page_facts,
 )
+from signpost.sinks.files import require_clean
 
 PAGE_COLUMNS = ("url", "http_status", "retrieved_at", "error")
 
@@ -64,6 +65,12 @@ def missing_sections(hub: DataFrame, vocabulary=V.SECTION_CATEGORIES) -> DataFra
     )
 
 
+def checked_hub(hub: DataFrame, vocabulary=V.SECTION_CATEGORIES) -> DataFrame:
+    """The hub pages, or the end of the run where one lacks a selected section."""
+    require_clean(missing_sections(hub, vocabulary))
+    return hub
+
+
 def _records(pages: DataFrame, items: Column, source_rank: int, deep: Column) -> DataFrame:
     rows = pages.select(
         "url", "page_title", "source_last_updated", "retrieved_at", "content_hash",
@@ -88,7 +95,7 @@ def _records(pages: DataFrame, items: Column, source_rank: int, deep: Column) ->
 
 
 def hub_records(hub: DataFrame, vocabulary=V.SECTION_CATEGORIES, detail=V.DETAIL_PAGE_CATEGORIES) -> DataFrame:
-    """Actions and resources of the selected sections; check ``missing_sections`` first."""
+    """Actions and resources of the selected sections; ``checked_hub`` first ends a run that lacks any."""
     urls = [u for u, _ in detail]
     ready = hub.withColumn("sections", X.hub_sections(first_root(with_id("main"))))
     items = X.hub_items(F.col("sections"), F.col("url"), vocabulary)
@@ -125,7 +132,7 @@ def review_queue(catalogue_rows: DataFrame) -> DataFrame:
 
 
 def page_manifest(pages: DataFrame, source_type: str = "quebec_guidance", deep: bool = True) -> DataFrame:
-    """One row per fetch of a guidance page."""
+    """One row per fetch of a guidance page; a parse error shows where the fetch had none."""
     ok = is_missing("error")
 
     def or_empty(column: str, name: str):
@@ -137,7 +144,7 @@ def page_manifest(pages: DataFrame, source_type: str = "quebec_guidance", deep:
         F.when(ok, F.col("http_status")).otherwise(0).cast("int").alias("http_status"),
         or_empty("source_last_updated", "source_last_updated"), "retrieved_at",
         or_empty("content_hash", "content_hash"), F.lit(deep).alias("deep_parsed"),
-        blank("error").alias("error"),
+        or_else(blank("error"), blank("parse_error")).alias("error"),
     )
 
 

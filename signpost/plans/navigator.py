@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from signpost import schemas as S
 from signpost import vocabulary as V
-from signpost.functions.text import blank, casefold, is_missing, short_id
+from signpost.functions.text import blank, casefold, is_missing, or_else, short_id
 from signpost.operators import extract as X
 from signpost.operators.ordering import last_per_key, round_robin
 from signpost.operators.pages import (
@@ -22,7 +22,7 @@ SOURCE_COLUMNS = (
     "source_id", "organization", "category", "authority_level", "own_organisation", "url",
     "http_status", "retrieved_at", "error",
 )
-PAGE_FACTS = ("page_title", "source_last_updated", "content_hash", "items")
+PAGE_FACTS = ("page_title", "source_last_updated", "content_hash", "items", "parse_error")
 
 
 def candidate_order() -> list[Column]:
@@ -97,7 +97,10 @@ def candidates(extracted: DataFrame) -> DataFrame:
 
 
 def manifest(extracted: DataFrame) -> DataFrame:
-    """One row per fetch; a failed fetch keeps its error and is otherwise blank."""
+    """One row per fetch; a failed fetch keeps its error and is otherwise blank.
+
+    A page that was fetched and could not be read to its end keeps its facts, with the parse error.
+    """
     ok = is_missing("error")
 
     def or_empty(name: str):
@@ -109,7 +112,7 @@ def manifest(extracted: DataFrame) -> DataFrame:
         or_empty("page_title"), or_empty("source_last_updated"), "retrieved_at",
         or_empty("content_hash"),
         F.when(ok, F.coalesce(F.size("items"), F.lit(0))).otherwise(0).alias("records_extracted"),
-        blank("error").alias("error"),
+        or_else(blank("error"), blank("parse_error")).alias("error"),
     )
 
 

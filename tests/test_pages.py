@@ -6,6 +6,7 @@ from signpost.operators import extract as X
 from signpost.operators.pages import node_table, parse_pages, with_page_facts
 from signpost.plans import evidence, guidance, navigator, partners
 from signpost.schemas import GUIDANCE_FIELDS, PARTNER_FIELDS, USEFUL_RECORD_FIELDS
+from signpost.sources.tables import decoded
 
 URL = "https://www.example.ca/students/"
 
@@ -70,6 +71,31 @@ def test_refused_markup_keeps_what_came_before_it(spark):
     assert (row.text, row.parse_error) == ("before \ufffd and A", None)
 
 
+def test_byte_pages_are_read_in_their_character_set(spark):
+    df = spark.createDataFrame([
+        (1, "<p>café – “quay”".encode("cp1252"), "text/html; charset=ISO-8859-1"), (2, "<p>café".encode(), "text/html"),
+        (3, "<meta charset='windows-1252'><p>é".encode("cp1252"), None), (4, b"<p>caf\xe9 ok", "text/html; charset=utf-8"),
+        (5, "\ufeff<p>x".encode(), "text/html"), (6, None, None)], "id int, content binary, content_type string")
+    rows = parse_pages(decoded(df), ["id"], base=None).select("id", "text").collect()
+    assert {r.id: r.text for r in rows} == {1: "café – “quay”", 2: "café", 3: "é", 4: "caf\ufffd ok", 5: "x", 6: ""}
+
+
+def test_a_parse_error_shows_in_the_manifests(spark):
+    _, extracted = nav(spark)
+    broken = extracted.withColumn("parse_error", F.lit("unreadable markup: x"))
+    row = navigator.manifest(broken).collect()[0]
+    assert (row.error, row.http_status, row.records_extracted) == ("unreadable markup: x", 200, 6)
+    pages = guidance.read_guidance_pages(fetches(spark, ("u", "<main>x</main>"))).withColumn("parse_error", F.lit("e"))
+    assert guidance.page_manifest(pages).collect()[0].error == "e"
+
+
+def test_a_hub_without_its_sections_ends_the_run(spark):
+    good = guidance.hub_pages(fetches(spark, (V.GUIDANCE_HUB_URL, hub_html())))
+    assert guidance.checked_hub(good).count() == 1
+    with pytest.raises(SystemExit, match="Housing|section"):
+        guidance.checked_hub(guidance.hub_pages(fetches(spark, (V.GUIDANCE_HUB_URL, "<main id='main'><h2>x</h2></main>"))))
+
+
 def test_reading_grows_in_proportion_to_the_page(spark):
     import time
 
