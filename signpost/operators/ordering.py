@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from signpost.functions.text import casefold
+from signpost.session import written
 
 Keys = Sequence[Column | str]
 
@@ -58,6 +59,21 @@ def round_robin(
     return picked.withColumn(position, F.row_number().over(window)).drop("_round")
 
 
+def with_position(df: DataFrame, order: Keys, position: str = "position") -> DataFrame:
+    """Every row with its place, from 1, in a total order, without a window over all rows.
+
+    The rows are range-partitioned and sorted, and written with their partition and their place in
+    it; a partition begins after the rows of those before it, of which there are few.
+    """
+    placed = written(df.orderBy(*order).select(
+        "*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_row")), "sorted")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_row").alias("_first")).select(
+        "_part", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return placed.join(starts, "_part").withColumn(
+        position, F.col("_before") + F.col("_row") - F.col("_first") + 1).drop("_part", "_row", "_first", "_before")
+
+
 def ordered_list(value: Column, order: Column) -> Column:
     """Aggregate: values collected in the given order (for groups bounded by one page or card)."""
     pairs = F.array_sort(F.collect_list(F.struct(order.alias("o"), value.alias("v"))))

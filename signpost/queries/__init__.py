@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("matching", "text", "ordering", "pages", "derived", "quality", "rules")
+MODULES = ("matching", "text", "ordering", "pages", "derived", "quality", "rules", "presentation")
 
 
 def load():

@@ -30,6 +30,7 @@ def query(name: str, sql: str | None = None):
         def run(spark: SparkSession, folder: str) -> DataFrame:
             return build(Tables(spark, folder))
 
+        run.build = build
         QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = sql
