@@ -119,7 +119,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-_SEGMENT = 1 << 20
+_SEGMENT = 1 << 18
 
 
 def words_of(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -207,6 +207,8 @@ def window_minima(values: np.ndarray, width: int) -> np.ndarray:
 
 
 NO_ID = (1 << 63) - 1
+# Rows with arrays of their own that a task holds before it hands them on.
+FLUSH_ROWS = 1_000
 
 
 def text_keys() -> tuple[Column, Column]:
@@ -236,3 +238,26 @@ def sampled_blocks(docs: DataFrame, gram: int, block: int, window: int) -> DataF
 
     return map_arrow(docs.select(*text_keys(), F.col("text").cast("string").alias("text")), make,
                      "begins long, doc long, tag long, at long")
+
+
+def texts_with_spans(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """``(doc, tag, bytes, low, high)`` of rows ``doc, tag, text, spans``, one text at a time."""
+    doc, tag = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+    spans = batch.column(3)
+    ends = np.cumsum(spans.value_lengths().to_numpy())
+    low, high = (f.to_numpy() for f in spans.flatten().flatten())
+    for i, end in enumerate(ends.tolist()):
+        begin = end - len(spans[i])
+        yield int(doc[i]), int(tag[i]), np.frombuffer(batch.column(2)[i].as_py().encode(), np.uint8), low[begin:end], high[begin:end]
+
+
+def in_parts(rows: Iterator[tuple]) -> Iterator[list]:
+    """Rows as lists of columns, ``FLUSH_ROWS`` at a time."""
+    held = []
+    for row in rows:
+        held.append(row)
+        if len(held) == FLUSH_ROWS:
+            yield list(zip(*held))
+            held = []
+    if held:
+        yield list(zip(*held))
