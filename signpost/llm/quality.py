@@ -20,21 +20,24 @@ PENALTY = 0.002
 Condition = tuple[int, float, float]
 
 
-def statistics(text: Column) -> dict[str, Column]:
-    """Statistics of a whole text, all defined (0 where there is nothing to count)."""
-    text = F.coalesce(text.cast("string"), F.lit(""))
-    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    lines = F.split(text, "\n")
-    marks = F.length(F.regexp_replace(text, r"[\p{L}\p{N}\x20\x09-\x0D]+", ""))
-    letters = F.length(F.regexp_replace(text, r"[^\p{L}]+", ""))
-    capitals = F.length(F.regexp_replace(text, r"[^\p{Lu}]+", ""))
-    digits = F.length(F.regexp_replace(text, r"[^\p{N}]+", ""))
-    return {
-        "characters": F.length(text), "words": F.size(words), "distinct_words": F.size(F.array_distinct(words)),
-        "longest_word": F.coalesce(F.array_max(F.transform(words, F.length)), F.lit(0)), "lines": F.size(lines),
-        "distinct_lines": F.size(F.array_distinct(lines)), "marks": marks, "letters": letters,
-        "capitals": capitals, "digits": digits,
-    }
+def statistics(docs: DataFrame, *keep: str) -> DataFrame:
+    """The ``keep`` columns and ``counted``, statistics of the whole ``text``, 0 where there is nothing to count.
+
+    The text is split once: a later step reads the words and lines that an earlier one made.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    split = docs.select(*keep, text.alias("_text")).select(
+        *keep, "_text", F.filter(F.split("_text", r"[\x20\x09-\x0D]+"), lambda w: w != "").alias("_words"), F.split("_text", "\n").alias("_lines"))
+    kinds = split.select(
+        *keep, "_text", "_words", "_lines", F.regexp_replace("_text", r"[^\p{L}]+", "").alias("_letters"))
+    left = lambda column, pattern: F.length(F.regexp_replace(column, pattern, ""))
+    return kinds.select(*keep, F.struct(
+        F.length("_text").alias("characters"), F.size("_words").alias("words"), F.size(F.array_distinct("_words")).alias("distinct_words"),
+        F.coalesce(F.array_max(F.transform("_words", F.length)), F.lit(0)).alias("longest_word"),
+        F.size("_lines").alias("lines"), F.size(F.array_distinct("_lines")).alias("distinct_lines"),
+        left("_text", r"[\p{L}\p{N}\x20\x09-\x0D]+").alias("marks"), F.length("_letters").alias("letters"),
+        left("_letters", r"[^\p{Lu}]+").alias("capitals"), left("_text", r"[^\p{N}]+").alias("digits"),
+    ).alias("counted"))
 
 
 FEATURES = ("log_words", "letter_share", "capital_share", "digit_share", "mark_share", "word_length",
@@ -122,8 +125,7 @@ def fit(labelled: DataFrame, trees: int = TREES, depth: int = DEPTH, penalty: fl
 
 
 def _measured(docs: DataFrame, *keep: str) -> DataFrame:
-    counted = docs.select(*keep, F.struct(*(c.alias(n) for n, c in statistics(F.col("text")).items())).alias("counted"))
-    return counted.select(*keep, F.array(*features("counted")).alias("values"))
+    return statistics(docs, *keep).select(*keep, F.array(*features("counted")).alias("values"))
 
 
 def learn(docs: DataFrame, labels: DataFrame, training_rows: int = TRAINING_ROWS, **how) -> Rules:
