@@ -119,8 +119,9 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, trees: int = TREES
     go to the smaller ``vec_id``. All candidates are returned where they are fewer than ``k``.
 
     Every distinct vector has a hash string in each tree. A tree's strings lie in groups by
-    their first bits, about ``group_rows`` in each, in sorted order within; a group of very many
-    rows is dealt into chunks, each of which its queries visit. A query first visits the group
+    their first bits, about ``group_rows`` in each, in sorted order within; the rows of a
+    group of very many, and the queries that visit it, are dealt into chunks that meet in tasks
+    of their own. A query first visits the group
     of its own prefix in every tree. All trees then go up together, a bit a round, to the groups
     beside those seen, for the queries whose k-th neighbour so far is not near enough: where a
     vector as near as that would be missed in all trees with a probability above ``miss``. At the
@@ -150,7 +151,6 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, trees: int = TREES
     placed = written(_hashed(classes, greatest, trees, size, seed).withColumn("prefix", prefix), "index")
     counts = placed.groupBy("tree", "prefix").agg(F.ceil(F.count("*") / (2 * group_rows)).cast("int").alias("chunks"))
     counts = written(counts, "groups")
-    index = placed.join(counts, ["tree", "prefix"]).withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int"))
     asked = rows.where("asks").select(F.col("vec_id").alias("key"), F.array().cast("array<long>").alias("ids"), "embedding")
     asked = written(_hashed(asked, None, trees, size, seed).drop("ids").withColumn("prefix", prefix), "queries")
 
@@ -164,10 +164,17 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, trees: int = TREES
             span = depth - level - 1
             there = F.expr(f"transform(sequence(0L, {(1 << span) - 1}L), i -> shiftleft(shiftright(prefix, {span}) ^ 1L, {span}) + i)")
         visits = active.select("tree", "code", "key", "embedding", F.explode(there).alias("prefix"))
-        visits = visits.join(counts, ["tree", "prefix"]).select(
-            "tree", "prefix", "code", "key", "embedding", F.explode(F.expr("sequence(0, chunks - 1)")).alias("chunk"))
-        group = ("tree", "prefix", "chunk")
-        found = index.select(*group, "code", "key", "ids", "embedding").groupBy(*group).cogroup(visits.groupBy(*group)).applyInArrow(
+        # A group's rows are dealt into chunks and its visits into parts; each chunk meets each part.
+        met = visits.groupBy("tree", "prefix").agg(F.ceil(F.count("*") / (2 * group_rows)).cast("int").alias("parts"))
+        met = written(met.join(counts, ["tree", "prefix"]), "met")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        one_of = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
+        group = ("tree", "prefix", "chunk", "part")
+        visits = visits.join(met, ["tree", "prefix"]).select(
+            "tree", "prefix", "code", "key", "embedding", one_of("parts").alias("part"), every("chunks").alias("chunk"))
+        index = placed.join(met, ["tree", "prefix"]).select(
+            "tree", "prefix", "code", "key", "ids", "embedding", one_of("chunks").alias("chunk"), every("parts").alias("part"))
+        found = index.groupBy(*group).cogroup(visits.groupBy(*group)).applyInArrow(
             _visit(k, trees, level, miss, greatest), "query long, vec_id long, score double")
         found = found.unionByName(best.select("query", "vec_id", "score")) if best is not None else found
         best = written(found.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k), "best")
