@@ -11,7 +11,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from signpost.llm.common import NO_ID, id_or_null, map_arrow, sampled_blocks, text_keys, words_of, written
+from signpost.llm.common import NO_ID, discard, id_or_null, in_parts, map_arrow, sampled_blocks, text_keys, texts_with_spans, words_of, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -20,16 +20,21 @@ WINDOW = 16
 GRAM = 3
 
 
-def _runs(suffixes: DataFrame, block: int) -> DataFrame:
+def first_places(suffixes: DataFrame) -> DataFrame:
+    """Of suffixes that begin alike, the first by document and place; suffixes without another like them are left out."""
+    where = F.struct("doc", "tag", "at")
+    firsts = suffixes.groupBy("begins").agg(F.min(where).alias("of"), F.max(where).alias("last"))
+    return firsts.where("of <> last").select("begins", "of")
+
+
+def _runs(suffixes: DataFrame, firsts: DataFrame, block: int) -> DataFrame:
     """``(doc, tag, low, high, of_doc, of_tag, of_low, of_high)``: suffixes in a row that repeat the same passage.
 
     Sorted by their first words, suffixes that begin alike are neighbours; each is held against
     the first of them, by document and place. A run is as many suffixes of one text, no further
     apart than the block they share, that lie equally far from the same earlier text's suffixes.
     """
-    where = F.struct("doc", "tag", "at")
-    firsts = suffixes.groupBy("begins").agg(F.min(where).alias("of"), F.max(where).alias("last")).where("of <> last").select("begins", "of")
-    met = suffixes.join(written(firsts, "firsts"), "begins").where("not (doc = of.doc and tag = of.tag and at = of.at)")
+    met = suffixes.join(firsts, "begins").where("not (doc = of.doc and tag = of.tag and at = of.at)")
     met = met.select("doc", "tag", "at", F.col("of.doc").alias("of_doc"), F.col("of.tag").alias("of_tag"),
                      (F.col("at") - F.col("of.at")).alias("apart")).distinct()
     line = Window.partitionBy("doc", "tag", "of_doc", "of_tag", "apart").orderBy("at")
@@ -40,34 +45,29 @@ def _runs(suffixes: DataFrame, block: int) -> DataFrame:
 
 
 def _edges(docs: DataFrame, wanted: DataFrame, block: int, window: int) -> DataFrame:
-    """For each ``(doc, tag, low, high)``: a hash of the passage, its place, and the words beside it, nearest first."""
+    """For each ``(doc, tag, low, high)``: a hash of the passage, its place, and the words beside it (32 bits of their hashes),
+    nearest first."""
     lists = wanted.groupBy("doc", "tag").agg(F.collect_set(F.struct("low", "high")).alias("spans"))
     texts = docs.select(*text_keys(), F.col("text").cast("string").alias("text"))
     rows = texts.join(lists, ["doc", "tag"]).select("doc", "tag", "text", "spans")
 
+    def edges(batch: pa.RecordBatch):
+        for doc, tag, data, lows, highs in texts_with_spans(batch):
+            hashes, starts, ends, _ = words_of(data, np.array([0, len(data)]))
+            short = hashes.view(np.int32)[::2]
+            chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80, dtype=np.int32)])
+            for low, last in zip(lows.tolist(), highs.tolist()):
+                high = last + block
+                before = slice(max(0, low - window), low)
+                yield (doc, tag, low, last, xxhash.xxh3_64_intdigest(hashes[low:high].tobytes()) >> 1,
+                       int(chars[starts[low]]), int(chars[ends[high - 1]]), short[before][::-1], short[high:high + window],
+                       chars[starts[before]][::-1], chars[ends[high:high + window]])
+
     def make():
-        def run(batch: pa.RecordBatch):
-            out = []
-            for doc, tag, text, spans in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                raw = text.encode()
-                data = np.frombuffer(raw, np.uint8)
-                hashes, starts, ends, _ = words_of(data, np.array([0, len(data)]))
-                signed = hashes.view(np.int64)
-                chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-                for span in spans:
-                    low, high = span["low"], span["high"] + block
-                    out.append((
-                        doc, tag, span["low"], span["high"],
-                        xxhash.xxh3_64_intdigest(hashes[low:high].tobytes()) >> 1,
-                        int(chars[starts[low]]), int(chars[ends[high - 1]]),
-                        signed[max(0, low - window):low][::-1], signed[high:high + window],
-                        chars[starts[max(0, low - window):low]][::-1], chars[ends[high:high + window]]))
-            if out:
-                yield list(zip(*out))
-        return run
-
-    return map_arrow(rows, make, "doc long, tag long, low long, high long, passage long, start long, end long, "
-                                 "before array<long>, after array<long>, starts array<long>, ends array<long>")
+        return lambda batch: in_parts(edges(batch))
+
+    return map_arrow(rows, make, "doc long, tag long, low long, high long, passage long, start int, end int, "
+                                 "before array<int>, after array<int>, starts array<int>, ends array<int>")
 
 
 def _alike(a: str, b: str) -> Column:
@@ -89,7 +89,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, window: int =
     every passage of ``min_words`` words has one among its first ``window`` words, in all its
     copies alike. So suffixes that share their first ``min_words - window + 1`` words are
     enough to meet every such passage; shorter repeats are reported down to that length. Matches
-    are then extended word by word to both sides and verified by a second hash. Nothing is
+    are then verified by a second hash and extended word by word to both sides. Nothing is
     capped: a passage that many texts hold gives a row for each, all against the first.
 
     A null or short text gives no rows. Rows without a ``doc_id`` rank last and report null. Rows
@@ -99,7 +99,10 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, window: int =
     if min_words < window + GRAM:
         raise ValueError("the window must be shorter than the passages by at least a 3-gram")
     block = min_words - window + 1
-    runs = written(_runs(written(sampled_blocks(docs, GRAM, block, window), "suffixes"), block), "runs")
+    suffixes = written(sampled_blocks(docs, GRAM, block, window), "suffixes")
+    firsts = written(first_places(suffixes), "firsts")
+    runs = written(_runs(suffixes, firsts, block), "runs")
+    discard(suffixes, firsts)
     wanted = runs.select("doc", "tag", "low", "high").unionByName(
         runs.select(F.col("of_doc").alias("doc"), F.col("of_tag").alias("tag"), F.col("of_low").alias("low"), F.col("of_high").alias("high"))).distinct()
     edges = written(_edges(docs, wanted, block, window), "edges")
@@ -128,9 +131,9 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, window: int = W
         written(found, "spans"), (F.col("doc") == F.col("_doc")) & (F.col("tag") == F.col("_tag")), "left")
     # Spans in order; what lies between the furthest end so far and the next start stays.
     left = F.expr(
-        "aggregate(_spans, named_struct('at', 0L, 'text', ''), (s, x) -> named_struct('at', greatest(s.at, x.end), "
-        "'text', concat(s.text, substring(row.text, cast(s.at + 1 as int), cast(greatest(0L, x.start - s.at) as int)))), "
-        "s -> concat(s.text, substring(row.text, cast(s.at + 1 as int))))")
+        "aggregate(_spans, named_struct('at', 0, 'text', ''), (s, x) -> named_struct('at', greatest(s.at, x.end), "
+        "'text', concat(s.text, substring(row.text, s.at + 1, greatest(0, x.start - s.at)))), "
+        "s -> concat(s.text, substring(row.text, s.at + 1)))")
     fields = [F.when(F.col("_spans").isNull(), F.col("row.text")).otherwise(left).alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns]
     kept = rows.select("_spans", *[f.alias(f"c{i}") for i, f in enumerate(fields)])
     text = f"c{docs.columns.index('text')}"
