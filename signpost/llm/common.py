@@ -180,8 +180,8 @@ def sampled_words(hashes: np.ndarray, first: np.ndarray, gram: int, width: int)
     starts = word[own] - int(first[0])
     if not len(starts):
         return starts
-    # Texts lie apart by a window of greatest values, so no window sees two of them.
-    place = starts + text[own] * width
+    # A window of greatest values lies before and after each text, so no window sees two of them.
+    place = starts + (text[own] + 1) * width
     values = np.full(int(place[-1]) + width + 1, ~np.uint64(0))
     values[place] = block_hashes(hashes, starts, starts + gram)
     return starts[window_minima(values, width)[place]]
@@ -222,7 +222,10 @@ def id_or_null(column: str) -> Column:
 
 
 def sampled_blocks(docs: DataFrame, gram: int, block: int, window: int) -> DataFrame:
-    """``(begins, doc, tag, at)``: words that :func:`sampled_words` picks, with a hash of the ``block`` words from there."""
+    """``(begins, doc, tag, at, earlier)``: words that :func:`sampled_words` picks, with a hash of the ``block`` words from there.
+
+    ``earlier`` is the last place before ``at`` in the same text that begins alike, null where none does.
+    """
     def make():
         def run(batch: pa.RecordBatch):
             doc, tag = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -232,12 +235,18 @@ def sampled_blocks(docs: DataFrame, gram: int, block: int, window: int) -> DataF
                 of = np.searchsorted(first, at, side="right") - 1
                 fits = at + block <= first[1:][of]
                 at, of = at[fits], of[fits]
-                if len(at):
-                    yield [block_hashes(hashes, at, at + block).view(np.int64), doc[row + of], tag[row + of], at - first[of]]
+                if not len(at):
+                    continue
+                begins, place = block_hashes(hashes, at, at + block).view(np.int64), at - first[of]
+                order = np.lexsort((at, begins, of))
+                again = (np.diff(begins[order]) == 0) & (np.diff(of[order]) == 0)
+                earlier = np.full(len(at), -1)
+                earlier[order[1:][again]] = place[order[:-1][again]]
+                yield [begins, doc[row + of], tag[row + of], place, pa.array(earlier, pa.int64(), mask=earlier < 0)]
         return run
 
     return map_arrow(docs.select(*text_keys(), F.col("text").cast("string").alias("text")), make,
-                     "begins long, doc long, tag long, at long")
+                     "begins long, doc long, tag long, at long, earlier long")
 
 
 def texts_with_spans(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:

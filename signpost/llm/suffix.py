@@ -21,22 +21,33 @@ GRAM = 3
 
 
 def first_places(suffixes: DataFrame) -> DataFrame:
-    """Of suffixes that begin alike, the first by document and place; suffixes without another like them are left out."""
+    """Of suffixes that begin alike, the first by document and place; those of one text alone are left out."""
     where = F.struct("doc", "tag", "at")
-    firsts = suffixes.groupBy("begins").agg(F.min(where).alias("of"), F.max(where).alias("last"))
+    firsts = suffixes.where("earlier is null").groupBy("begins").agg(F.min(where).alias("of"), F.max(where).alias("last"))
     return firsts.where("of <> last").select("begins", "of")
 
 
+def matches(suffixes: DataFrame, firsts: DataFrame) -> DataFrame:
+    """``(doc, tag, at, of_doc, of_tag, of_at)``: each suffix against one that begins alike.
+
+    It is the last before it in its own text, and for a text's first one the first of all texts'.
+    So a text that repeats itself matches at one distance, and adds nothing to what others meet.
+    """
+    own = suffixes.where("earlier is not null").select(
+        "doc", "tag", "at", F.col("doc").alias("of_doc"), F.col("tag").alias("of_tag"), F.col("earlier").alias("of_at"))
+    met = suffixes.where("earlier is null").join(firsts, "begins").where("not (doc = of.doc and tag = of.tag)")
+    return own.unionByName(met.select(
+        "doc", "tag", "at", F.col("of.doc").alias("of_doc"), F.col("of.tag").alias("of_tag"), F.col("of.at").alias("of_at")))
+
+
 def _runs(suffixes: DataFrame, firsts: DataFrame, block: int) -> DataFrame:
     """``(doc, tag, low, high, of_doc, of_tag, of_low, of_high)``: suffixes in a row that repeat the same passage.
 
-    Sorted by their first words, suffixes that begin alike are neighbours; each is held against
-    the first of them, by document and place. A run is as many suffixes of one text, no further
-    apart than the block they share, that lie equally far from the same earlier text's suffixes.
+    Sorted by their first words, suffixes that begin alike are neighbours; see :func:`matches` for
+    which is held against which. A run is as many suffixes of one text, no further apart than the
+    block they share, that lie equally far from those they match.
     """
-    met = suffixes.join(firsts, "begins").where("not (doc = of.doc and tag = of.tag and at = of.at)")
-    met = met.select("doc", "tag", "at", F.col("of.doc").alias("of_doc"), F.col("of.tag").alias("of_tag"),
-                     (F.col("at") - F.col("of.at")).alias("apart")).distinct()
+    met = matches(suffixes, firsts).withColumn("apart", F.col("at") - F.col("of_at")).drop("of_at").distinct()
     line = Window.partitionBy("doc", "tag", "of_doc", "of_tag", "apart").orderBy("at")
     begins = F.when(F.col("at") - F.lag("at").over(line) <= block, 0).otherwise(1)
     numbered = met.withColumn("begin", begins).withColumn("run", F.sum("begin").over(line))
