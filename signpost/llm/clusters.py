@@ -26,9 +26,13 @@ CHUNK_ROWS = 2_048
 class Tree:
     """One tree: at a node a random direction, split at the median of the sample's rows there."""
 
-    def __init__(self, seed: int, depth: int, sample: np.ndarray, spill: float):
-        self.seed, self.depth, self.spill, self.cuts = seed, depth, spill, {}
+    def __init__(self, seed: int, depth: int, spill: float, cuts: dict[int, tuple[float, float]] | None = None):
+        self.seed, self.depth, self.spill, self.cuts = seed, depth, spill, cuts or {}
+
+    def fitted(self, sample: np.ndarray) -> tuple:
+        """What the tree is made of, once fitted on the sample."""
         self._fit(1, sample, 0)
+        return self.seed, self.depth, self.spill, self.cuts
 
     def direction(self, node: int, size: int) -> np.ndarray:
         line = np.random.default_rng([self.seed, node]).standard_normal(size)
@@ -83,14 +87,16 @@ def similar_pairs(vectors: DataFrame, cosine: float = 0.9, trees: int = TREES, l
     sample = [r[0] for r in vectors.where(share < sample_rows / total).select("embedding").limit(2 * sample_rows).collect()]
     sample = unit(np.array(sample)) if sample else np.empty((0, size))
     depth = max(0, math.ceil(math.log2(total / leaf_rows)))
-    forest = vectors.sparkSession.sparkContext.broadcast([Tree(seed + t, depth, sample, spill) for t in range(trees)])
+    forest = vectors.sparkSession.sparkContext.broadcast([Tree(seed + t, depth, spill).fitted(sample) for t in range(trees)])
 
     def route():
+        grown = [Tree(*parts) for parts in forest.value]
+
         def run(batch: pa.RecordBatch):
             if not batch.num_rows:
                 return
             rows = unit(matrix(batch.column(1)))
-            for t, tree in enumerate(forest.value):
+            for t, tree in enumerate(grown):
                 row, leaf = tree.leaves(rows)
                 yield [np.full(len(row), t, np.int32), leaf, batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row))]
         return run
