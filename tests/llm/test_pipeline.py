@@ -1,6 +1,8 @@
 """The pipeline's stages by their contract, and every registered query that SQL can state against its SQL."""
 
 import os
+import subprocess
+import sys
 from collections import Counter
 from pathlib import Path
 
@@ -63,3 +65,20 @@ def test_query_equals_sql(spark, name):
     assert sorted(at) == columns
     want = sorted(repr(tuple(r[at[c]] for c in columns)) for r in cursor.fetchall())
     assert sorted(repr(tuple(r)) for r in df.select(*columns).collect()) == want
+
+
+@needs_tables
+def test_workers_need_no_installed_package(tmp_path):
+    """What tasks run travels with the job: run from elsewhere, without the repository on PYTHONPATH."""
+    root = str(Path(__file__).resolve().parents[2])
+    code = (
+        f"import sys; sys.path.insert(0, {root!r})\n"
+        "from signpost.session import session\n"
+        "s = session('w', 'local[2]', **{'spark.ui.enabled': 'false', 'spark.sql.shuffle.partitions': '2'})\n"
+        "from signpost.llm.queries import QUERIES\n"
+        "for name in ('op1_suffix', 'op3_simhash', 'op4_language', 'op5_neighbours', 'op7_packing', 'op9_passages', 'op10_clusters'):\n"
+        f"    print('DONE', name, QUERIES[name](s, {FOLDER!r}).count() >= 0)\n"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=900)
+    assert out.stdout.count("DONE") == 7, out.stderr[-2000:]
