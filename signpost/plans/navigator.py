@@ -11,7 +11,7 @@ from signpost import schemas as S
 from signpost import vocabulary as V
 from signpost.functions.text import blank, casefold, is_missing, or_else, short_id
 from signpost.operators import extract as X
-from signpost.operators.ordering import last_per_key, round_robin
+from signpost.operators.ordering import last_per_key, round_robin, top_per_key
 from signpost.operators.pages import (
     NAVIGATOR_ROOT, NAVIGATOR_UPDATED, Test, parse_pages, with_page_facts,
 )
@@ -80,9 +80,13 @@ def extract_sources(registry: DataFrame, fetches: DataFrame, pages: DataFrame, *
     return with_fetch_outcome(fetched, read, PAGE_FACTS)
 
 
-def candidates(extracted: DataFrame) -> DataFrame:
-    """Service candidates, one per record id, with ``position`` = place on the page."""
-    rows = extracted.select("*", F.posexplode("items").alias("position", "item")).select("*", "item.*")
+def candidates(extracted: DataFrame, cap: int = CAP) -> DataFrame:
+    """Service candidates, one per record id, with ``position`` = place on the page.
+
+    A source gives at most ``cap`` items, over all its pages in order of their URLs.
+    """
+    items = extracted.select("*", F.posexplode("items").alias("position", "item"))
+    rows = top_per_key(items, ["source_id"], ["url", "position", "retrieved_at"], cap).select("*", "item.*")
     built = rows.select(
         short_id("source_id", "record_type", "service_name", "service_url").alias("record_id"),
         "source_id", "organization", "category", "authority_level", "own_organisation",

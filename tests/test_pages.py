@@ -181,6 +181,15 @@ def test_cap_counts_headings_first(spark):
     assert kinds.count("page_section") == 28 and kinds.count("internal_resource") == 2
 
 
+def test_a_source_of_several_pages_keeps_to_the_cap(spark):
+    html = "<body>" + "".join(f"<h2>Topic number {i}</h2>" for i in range(20)) + "</body>"
+    rows = [("one", "O", f"https://a.ca/{p}", "c", "a", True, "approved", "structured_html") for p in (1, 2)]
+    pages = fetches(spark, *[(r[2], html) for r in rows])
+    extracted = navigator.extract_sources(registry(spark, rows), pages.drop("html"), pages.select("url", "html"))
+    got = navigator.candidates(extracted).collect()
+    assert sorted((r.source_url[-1], r.position) for r in got) == [("1", i) for i in range(20)] + [("2", i) for i in range(10)]
+
+
 def test_ids_ignore_retrieval_time(spark):
     _, first = nav(spark)
     later = first.withColumn("retrieved_at", F.col("retrieved_at") + F.expr("interval 1 day"))
