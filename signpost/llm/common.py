@@ -212,9 +212,13 @@ FLUSH_ROWS = 1_000
 
 
 def text_keys() -> tuple[Column, Column]:
-    """A text's identity: its ``doc_id`` (rows without one come last) and a tag of its content."""
+    """A text's identity: its ``doc_id`` (rows without one come last) and a tag of its content.
+
+    The tag is short where an id already tells most texts apart; what is read by it is verified.
+    """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.hash(text).cast("long").alias("tag")
+    tag = F.when(F.col("doc_id").isNull(), F.xxhash64(text)).otherwise(F.hash(text).cast("long"))
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), tag.alias("tag")
 
 
 def id_or_null(column: str) -> Column:

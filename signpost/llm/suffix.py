@@ -69,6 +69,8 @@ def _edges(docs: DataFrame, wanted: DataFrame, block: int, window: int) -> DataF
             chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80, dtype=np.int32)])
             for low, last in zip(lows.tolist(), highs.tolist()):
                 high = last + block
+                if high > len(starts):  # a span of another text of this id and tag
+                    continue
                 before = slice(max(0, low - window), low)
                 yield (doc, tag, low, last, xxhash.xxh3_64_intdigest(hashes[low:high].tobytes()) >> 1,
                        int(chars[starts[low]]), int(chars[ends[high - 1]]), short[before][::-1], short[high:high + window],
