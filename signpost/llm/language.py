@@ -30,6 +30,9 @@ class Model:
     def __init__(self, languages, prior, words, grams, table):
         self.languages, self.prior, self.words, self.grams, self.table = languages, prior, words, grams, table
 
+    def parts(self) -> tuple:
+        return self.languages, self.prior, self.words, self.grams, self.table
+
 
 def learn(rows: DataFrame, training_rows: int = TRAINING_ROWS, words_each: int = WORDS_EACH, grams_each: int = GRAMS_EACH) -> Model:
     """A model of the languages of ``rows`` (``doc_id, text, lang``); rows without text or language are left out.
@@ -83,42 +86,60 @@ class Scorer(dict):
     """Rows of scores by token, filled as tokens are met; row 0 is no evidence."""
 
     def __init__(self, model: Model):
-        self.model, self.rows, self.filled = model, np.zeros((1024, len(model.languages))), 1
+        self.model, self.scores = model, list(map(tuple, model.table.tolist()))
+        self.nothing = (0.0,) * len(model.languages)
+        self.by_word: dict[str, tuple] = {}
+        self.start_anew()
+
+    def start_anew(self) -> None:
+        self.clear()
+        self.by_word.clear()
+        self.rows, self.filled, self.new = np.zeros((1024, len(self.model.languages))), 1, []
 
     def __missing__(self, token: str) -> int:
         runs = _RUN.findall(token.lower())
-        score = sum((self.of_word(word) for word in runs), np.zeros(len(self.model.languages))) if runs else None
-        row = 0
-        if score is not None:
-            if self.filled == len(self.rows):
-                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-            row, self.rows[self.filled] = self.filled, score
-            self.filled += 1
+        row = self.filled + len(self.new) if runs else 0
+        if len(runs) == 1:
+            self.new.append(self.of_word(runs[0]))
+        elif runs:
+            self.new.append(tuple(map(sum, zip(*map(self.of_word, runs)))))
         self[token] = row
         return row
 
-    def of_word(self, word: str) -> np.ndarray:
-        known = self.model.words.get(word)
-        if known is not None:
-            return self.model.table[known]
-        marked, grams = f"^{word}$", self.model.grams
+    def of_word(self, word: str) -> tuple:
+        score = self.by_word.get(word)
+        if score is None:
+            known = self.model.words.get(word)
+            score = self.by_word[word] = self.scores[known] if known is not None else self.of_unseen(word)
+        return score
+
+    def of_unseen(self, word: str) -> tuple:
+        marked, row_of = f"^{word}$", self.model.grams.get
         for size in range(LONGEST, 0, -1):
-            found = [row for i in range(len(marked) - size + 1) if (row := grams.get(marked[i:i + size])) is not None]
+            found = [self.scores[row] for i in range(len(marked) - size + 1) if (row := row_of(marked[i:i + size])) is not None]
             if found:
-                return self.model.table[found].mean(axis=0)
-        return np.zeros(len(self.model.languages))
+                return tuple([sum(column) / len(found) for column in zip(*found)])
+        return self.nothing
+
+    def known_rows(self) -> np.ndarray:
+        if self.new:
+            while self.filled + len(self.new) > len(self.rows):
+                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+            self.rows[self.filled:self.filled + len(self.new)] = self.new
+            self.filled += len(self.new)
+            self.new = []
+        return self.rows
 
     def of_text(self, text: str) -> tuple[str, float]:
         if not any(map(str.isalpha, text)) or not self.model.languages:
             return UNKNOWN, 0.0
         tokens = text.split()
         rows = np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
-        total = self.model.prior + self.rows.take(rows, axis=0).sum(axis=0)
+        total = self.model.prior + self.known_rows().take(rows, axis=0).sum(axis=0)
         best = int(np.argmax(total))
         score = 1.0 / np.exp(total - total[best]).sum()
         if len(self) > CACHE:
-            self.clear()
-            self.filled = 1
+            self.start_anew()
         return self.model.languages[best], float(score)
 
 
@@ -130,14 +151,15 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     the share of the best language's probability. A null text, one without a letter, and every
     text where nothing could be learned, is ``und`` with score 0.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    # Plain values, which workers read without this package.
+    shared = docs.sparkSession.sparkContext.broadcast(model.parts())
     rows = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
     from pyspark.sql.types import DoubleType, StringType, StructType
 
     kind = StructType([rows.schema["row"]]).add("lang_pred", StringType()).add("score", DoubleType())
 
     def make():
-        scorer = Scorer(shared.value)
+        scorer = Scorer(Model(*shared.value))
 
         def run(batch: pa.RecordBatch):
             found = [scorer.of_text(t) if t else (UNKNOWN, 0.0) for t in batch.column(1).to_pylist()]
