@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import sys
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,10 @@ TRAINING_ROWS = 20_000
 WORDS_EACH = 20_000
 GRAMS_EACH = 8_000
 UNKNOWN = "und"
-CACHE = 400_000
+# Tokens and words whose scores a task holds before it starts anew.
+CACHE = 200_000
+# Texts that are Python strings at once.
+SLICE = 256
 _RUN = re.compile(r"[^\W\d_]+")
 
 
@@ -86,9 +90,9 @@ class Scorer(dict):
     """Rows of scores by token, filled as tokens are met; row 0 is no evidence."""
 
     def __init__(self, model: Model):
-        self.model, self.scores = model, list(map(tuple, model.table.tolist()))
-        self.nothing = (0.0,) * len(model.languages)
-        self.by_word: dict[str, tuple] = {}
+        self.model, self.scores, self.width = model, array("d", model.table.tobytes()), len(model.languages)
+        self.nothing = array("d", [0.0] * self.width)
+        self.by_word: dict[str, array] = {}
         self.start_anew()
 
     def start_anew(self) -> None:
@@ -102,30 +106,33 @@ class Scorer(dict):
         if len(runs) == 1:
             self.new.append(self.of_word(runs[0]))
         elif runs:
-            self.new.append(tuple(map(sum, zip(*map(self.of_word, runs)))))
+            self.new.append(array("d", map(sum, zip(*map(self.of_word, runs)))))
         self[token] = row
         return row
 
-    def of_word(self, word: str) -> tuple:
+    def row(self, row: int) -> array:
+        return self.scores[row * self.width:(row + 1) * self.width]
+
+    def of_word(self, word: str) -> array:
         score = self.by_word.get(word)
         if score is None:
             known = self.model.words.get(word)
-            score = self.by_word[word] = self.scores[known] if known is not None else self.of_unseen(word)
+            score = self.by_word[word] = self.row(known) if known is not None else self.of_unseen(word)
         return score
 
-    def of_unseen(self, word: str) -> tuple:
+    def of_unseen(self, word: str) -> array:
         marked, row_of = f"^{word}$", self.model.grams.get
         for size in range(LONGEST, 0, -1):
-            found = [self.scores[row] for i in range(len(marked) - size + 1) if (row := row_of(marked[i:i + size])) is not None]
+            found = [self.row(row) for i in range(len(marked) - size + 1) if (row := row_of(marked[i:i + size])) is not None]
             if found:
-                return tuple([sum(column) / len(found) for column in zip(*found)])
+                return array("d", [sum(column) / len(found) for column in zip(*found)])
         return self.nothing
 
     def known_rows(self) -> np.ndarray:
         if self.new:
             while self.filled + len(self.new) > len(self.rows):
                 self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-            self.rows[self.filled:self.filled + len(self.new)] = self.new
+            self.rows[self.filled:self.filled + len(self.new)] = np.array(self.new)
             self.filled += len(self.new)
             self.new = []
         return self.rows
@@ -138,7 +145,7 @@ class Scorer(dict):
         total = self.model.prior + self.known_rows().take(rows, axis=0).sum(axis=0)
         best = int(np.argmax(total))
         score = 1.0 / np.exp(total - total[best]).sum()
-        if len(self) > CACHE:
+        if len(self) > CACHE or len(self.by_word) > CACHE:
             self.start_anew()
         return self.model.languages[best], float(score)
 
@@ -153,7 +160,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     """
     # Plain values, which workers read without this package.
     shared = docs.sparkSession.sparkContext.broadcast(model.parts())
-    rows = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.struct("*").alias("row"))
+    text = docs.columns.index("text")
     from pyspark.sql.types import DoubleType, StringType, StructType
 
     kind = StructType([rows.schema["row"]]).add("lang_pred", StringType()).add("score", DoubleType())
@@ -162,8 +170,11 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         scorer = Scorer(Model(*shared.value))
 
         def run(batch: pa.RecordBatch):
-            found = [scorer.of_text(t) if t else (UNKNOWN, 0.0) for t in batch.column(1).to_pylist()]
-            yield [batch.column(0), [f[0] for f in found], [f[1] for f in found]]
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.column(0).slice(at, SLICE)
+                texts = part.flatten()[text].cast(pa.string()).to_pylist()
+                found = [scorer.of_text(t) if t else (UNKNOWN, 0.0) for t in texts]
+                yield [part, [f[0] for f in found], [f[1] for f in found]]
         return run
 
     return map_arrow(rows, make, kind)

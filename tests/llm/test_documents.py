@@ -167,10 +167,10 @@ def test_unseen_word_falls_back_to_shorter_grams():
     table = np.log(np.array([[0.9, 0.1], [0.2, 0.8], [0.6, 0.4]]))
     model = language.Model(["x", "y"], np.zeros(2), {"known": 0}, {"nov": 1, "q": 2}, table)
     scorer = language.Scorer(model)
-    assert scorer.of_word("known") == tuple(table[0])
-    assert scorer.of_word("nova") == tuple(table[1])
-    assert scorer.of_word("qa") == tuple(table[2])
-    assert scorer.of_word("zz") == (0, 0)
+    assert scorer.of_word("known").tolist() == table[0].tolist()
+    assert scorer.of_word("nova").tolist() == table[1].tolist()
+    assert scorer.of_word("qa").tolist() == table[2].tolist()
+    assert scorer.of_word("zz").tolist() == [0, 0]
 
 
 # --- exact and fuzzy passages ---
