@@ -8,10 +8,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from signpost.llm.common import components, map_arrow, written
+from signpost.llm.common import NO_ID, components, map_arrow, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -43,15 +43,19 @@ def with_fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     space-joined; a text of fewer words is one shingle, and a null text or one without words has
     the fingerprint 0.
     """
+    return _printed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "doc_id long", shingle)
+
+
+def _printed(rows: DataFrame, keys: str, shingle: int) -> DataFrame:
+    """``rows`` with ``fp`` in the place of their last column, the text; ``keys`` are the others' types."""
     def make():
         def run(batch: pa.RecordBatch):
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
-            prints = np.array([fingerprint(t, shingle) if t else 0 for t in texts], np.uint64)
-            yield [batch.column(0), pa.array(prints.view(np.int64))]
+            *others, text = batch.columns
+            prints = np.array([fingerprint(t, shingle) if t else 0 for t in text.cast(pa.binary()).to_pylist()], np.uint64)
+            yield [*others, pa.array(prints.view(np.int64))]
         return run
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")),
-                     make, "doc_id long, fp long")
+    return map_arrow(rows, make, f"{keys}, fp long")
 
 
 def linked(prints: DataFrame, bits: int = 3) -> DataFrame:
@@ -92,7 +96,7 @@ def near_duplicates(docs: DataFrame, bits: int = 3, shingle: int = 3) -> DataFra
 
 
 def _labelled(rows: DataFrame, bits: int) -> DataFrame:
-    """Rows with ``fp`` and the smallest ``doc_id`` of their component."""
+    """Rows with ``fp`` and the smallest ``doc_id`` (any value that has an order) of their component."""
     classes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     member = components(linked(classes.select("fp"), bits))
     roots = classes.join(member, classes.fp == member.node, "left").select(
@@ -102,19 +106,31 @@ def _labelled(rows: DataFrame, bits: int) -> DataFrame:
     return rows.join(labels, "fp")
 
 
+def row_keys() -> tuple[Column, Column]:
+    """What tells rows apart: ``doc_id`` (rows without one come last) and 64 bits of the text's hash."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(F.col("text").cast("string")).alias("tag")
+
+
+def rows_of(docs: DataFrame, staying: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose keys are in ``staying`` (``doc, tag, n``), one for each key that ``n`` rows repeat.
+
+    All columns are returned, under whatever names they have. The text moves once.
+    """
+    packed = docs.select(F.struct("*").alias("row"), *row_keys())
+    once = packed.join(staying.where("n = 1"), ["doc", "tag"], "left_semi").select("row.*")
+    again = packed.join(staying.where("n > 1"), ["doc", "tag"]).groupBy("doc", "tag").agg(
+        F.min_by("row", F.coalesce(F.col("row.text").cast("string"), F.lit(""))).alias("row"))
+    return once.unionByName(again.select("row.*"))
+
+
 def keep_one_of_each(docs: DataFrame, bits: int = 3, shingle: int = 3) -> DataFrame:
     """The rows of ``documents`` but near copies: of each component the smallest ``doc_id`` stays.
 
-    A row without a ``doc_id`` is ranked behind those with one, by a hash of its text. Of rows
-    that repeat the staying id, the one whose text is least stays. All columns are returned, under
-    whatever names they have. The text moves once, to meet the ids that stay.
+    Rows that share a ``doc_id`` but not their text are rows of their own: of each component the
+    row of the least ``doc_id`` and text hash stays. A row without a ``doc_id`` is ranked behind
+    those with one. Of rows that repeat both, one stays. All columns are returned.
     """
-    key = F.coalesce(F.col("doc_id").cast("long"), F.shiftrightunsigned(F.xxhash64("text"), 2) + F.lit(1 << 62))
-    rows = written(with_fingerprints(docs.select(key.alias("doc_id"), "text"), shingle), "fingerprints")
+    rows = _printed(docs.select(*row_keys(), F.col("text").cast("string").alias("text")), "doc long, tag long", shingle)
+    rows = written(rows.select(F.struct("doc", "tag").alias("doc_id"), "fp"), "fingerprints")
     staying = _labelled(rows, bits).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
-    staying = written(staying.select(F.col("doc_id").alias("key"), F.col("n") > 1), "staying").toDF("key", "repeated")
-    packed = docs.select(F.struct("*").alias("row"), key.alias("key"))
-    once = packed.join(staying.where("not repeated"), "key", "left_semi").select("row.*")
-    again = packed.join(staying.where("repeated"), "key").groupBy("key").agg(
-        F.min_by("row", F.coalesce(F.col("row.text").cast("string"), F.lit(""))).alias("row"))
-    return once.unionByName(again.select("row.*"))
+    return rows_of(docs, written(staying.select("doc_id.doc", "doc_id.tag", "n"), "staying"))

@@ -144,6 +144,15 @@ def test_one_of_each_group_stays(spark, odd_rows):
     assert all(r["doc_id"] is not None for r in kept)  # every row without an id has a copy with one
 
 
+def test_rows_that_share_an_id_are_kept_by_row(spark):
+    rng = random.Random(21)
+    texts = [prose(rng, 120, 9000) for _ in range(5)]
+    rows = [(3, texts[0], "en", "s"), (5, texts[1], "en", "s"), (5, texts[2], "en", "s"), (5, texts[0].upper(), "en", "s"),
+            (5, texts[3], "en", "s"), (5, texts[3], "en", "s"), (None, texts[4], "en", "s"), (None, texts[2], "en", "s")]
+    kept = [(r["doc_id"], r["text"]) for r in collect(simhash.keep_one_of_each(documents(spark, rows)))]
+    assert Counter(kept) == Counter([(3, texts[0]), (5, texts[1]), (5, texts[2]), (5, texts[3]), (None, texts[4])])
+
+
 # --- language ---
 
 def test_languages_of_unseen_words_and_odd_texts(spark):
