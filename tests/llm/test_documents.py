@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from signpost.llm import language, mixing, packing, passages, sharding, simhash, suffix
+from signpost.llm import language, mixing, packing, passages, sharding, shingles, simhash, suffix
 
 SCHEMA = ("doc_id long, text string, lang string, source string, n_chars long, size long, shard int, key string, row int, "
           "doc long, tag long, hash string, block int, words int, part int, fp long, component string, score string")
@@ -153,6 +153,35 @@ def test_rows_that_share_an_id_are_kept_by_row(spark):
     assert Counter(kept) == Counter([(3, texts[0]), (5, texts[1]), (5, texts[2]), (5, texts[3]), (None, texts[4])])
 
 
+def slow_shingles(text):
+    w = (text or "").lower().split()
+    return {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else {()}
+
+
+def test_near_copies_of_the_stage_equal_brute_force(spark, odd_rows):
+    rng = random.Random(31)
+    rows = odd_rows + near_copies(random.Random(8))
+    for g in range(12):
+        base = prose(rng, 300, 9000).split()
+        for c in (0, 3, 5, 6, 9, 14):
+            copy = list(base)
+            for x in rng.sample(range(300), c):
+                copy[x] = f"m{rng.randrange(9999)}"
+            rows.append((2000 + g * 10 + c, " ".join(copy), "en", "s"))
+    sets = {(i is None, i or 0, t): slow_shingles(t) for i, t, *_ in rows}
+    keys = list(sets)
+    similar = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    groups = {frozenset(g) for g in slow_components(keys, similar).values()}
+    want = Counter(min((none, i) for none, i, _ in g) for g in groups)
+    import corpus_pipeline
+
+    kept = corpus_pipeline.near_dedup(spark, documents(spark, rows), "").collect()
+    assert Counter((r.doc_id is None, r.doc_id or 0) for r in kept) == want and len(want) < len(keys) - 50
+    shared = [(5, prose(rng, 99), "en", "s"), (5, prose(rng, 99), "en", "s")]
+    assert shingles.keep_one_of_each(documents(spark, shared)).count() == 2
+    assert shingles.keep_one_of_each(documents(spark, [])).collect() == []
+
+
 # --- language ---
 
 def test_languages_of_unseen_words_and_odd_texts(spark):
