@@ -133,12 +133,12 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, window: int =
 
 
 def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, window: int = WINDOW) -> DataFrame:
-    """``documents`` with only the first occurrence of each repeated passage left in their texts.
+    """``documents`` with only the first occurrence of each passage of ``min_words`` or more left in their texts.
 
-    Rows whose text holds nothing else are dropped; all others keep all their columns.
+    Shorter repeats stay. Rows whose text holds nothing else are dropped; all others keep all their columns.
     """
     doc, tag = text_keys()
-    found = repeated_passages(docs, min_words, window).groupBy(F.coalesce("doc_id", F.lit(NO_ID)).alias("_doc"), F.col("tag").alias("_tag")).agg(
+    found = repeated_passages(docs, min_words, window).where(F.col("words") >= min_words).groupBy(F.coalesce("doc_id", F.lit(NO_ID)).alias("_doc"), F.col("tag").alias("_tag")).agg(
         F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_spans"))
     rows = docs.select(F.struct("*").alias("row"), doc, tag).join(
         written(found, "spans"), (F.col("doc") == F.col("_doc")) & (F.col("tag") == F.col("_tag")), "left")

@@ -268,6 +268,17 @@ def test_removal_leaves_first_occurrences(spark, planted):
     assert not [r for r in left if r["words"] >= 50 and r["doc_id"] != r["of_doc_id"]]
 
 
+def test_removal_leaves_repeats_shorter_than_the_passages(spark):
+    rng = random.Random(41)
+    rows = []
+    for k in range(8):
+        passage = prose(rng, 35 + 2 * k, 9000)  # of 35 to 49 words
+        rows += [(10 * k, f"{prose(rng, 60, 9000)} {passage} {prose(rng, 60, 9000)}", "en", "s"), (10 * k + 1, passage, "en", "s"),
+                 (10 * k + 2, f"{prose(rng, 30, 9000)} {passage} {prose(rng, 30, 9000)}", "en", "s")]
+    got = {r["doc_id"]: r["text"] for r in collect(suffix.without_repeats(documents(spark, rows)))}
+    assert got == {i: t for i, t, *_ in rows}
+
+
 def test_fuzzy_passages_survive_changed_words(spark, planted):
     rng = random.Random(6)
     rows, pairs = list(planted), []
