@@ -225,6 +225,15 @@ def id_or_null(column: str) -> Column:
     return F.when(F.col(column) != NO_ID, F.col(column))
 
 
+def earlier_alike(begins: np.ndarray, of: np.ndarray, place: np.ndarray) -> pa.Array:
+    """For each hash at a place of text ``of``: the last place before it in that text of the same hash, null where there is none."""
+    order = np.lexsort((place, begins, of))
+    again = (np.diff(begins[order]) == 0) & (np.diff(of[order]) == 0)
+    earlier = np.full(len(place), -1)
+    earlier[order[1:][again]] = place[order[:-1][again]]
+    return pa.array(earlier, pa.int64(), mask=earlier < 0)
+
+
 def sampled_blocks(docs: DataFrame, gram: int, block: int, window: int) -> DataFrame:
     """``(begins, doc, tag, at, earlier)``: words that :func:`sampled_words` picks, with a hash of the ``block`` words from there.
 
@@ -242,11 +251,7 @@ def sampled_blocks(docs: DataFrame, gram: int, block: int, window: int) -> DataF
                 if not len(at):
                     continue
                 begins, place = block_hashes(hashes, at, at + block).view(np.int64), at - first[of]
-                order = np.lexsort((at, begins, of))
-                again = (np.diff(begins[order]) == 0) & (np.diff(of[order]) == 0)
-                earlier = np.full(len(at), -1)
-                earlier[order[1:][again]] = place[order[:-1][again]]
-                yield [begins, doc[row + of], tag[row + of], place, pa.array(earlier, pa.int64(), mask=earlier < 0)]
+                yield [begins, doc[row + of], tag[row + of], place, earlier_alike(begins, of, place)]
         return run
 
     return map_arrow(docs.select(*text_keys(), F.col("text").cast("string").alias("text")), make,

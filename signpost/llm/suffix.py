@@ -1,4 +1,4 @@
-"""Exact repeats of long passages through a sparse, sorted set of suffixes."""
+"""Exact repeats of long passages: sampled blocks find where, whole windows tell what each is a repeat of."""
 
 from __future__ import annotations
 
@@ -11,13 +11,15 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from signpost.llm.common import NO_ID, discard, id_or_null, in_parts, map_arrow, sampled_blocks, text_keys, texts_with_spans, words_of, written
+from signpost.llm.common import NO_ID, block_hashes, discard, earlier_alike, id_or_null, in_parts, map_arrow, sampled_blocks, text_keys, texts_with_spans, words_of, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 MIN_WORDS = 50
 WINDOW = 16
 GRAM = 3
+# Windows that a task holds before it hands them on.
+HELD_WINDOWS = 50_000
 
 
 def first_places(suffixes: DataFrame) -> DataFrame:
@@ -43,9 +45,8 @@ def matches(suffixes: DataFrame, firsts: DataFrame) -> DataFrame:
 def _runs(suffixes: DataFrame, firsts: DataFrame, block: int) -> DataFrame:
     """``(doc, tag, low, high, of_doc, of_tag, of_low, of_high)``: suffixes in a row that repeat the same passage.
 
-    Sorted by their first words, suffixes that begin alike are neighbours; see :func:`matches` for
-    which is held against which. A run is as many suffixes of one text, no further apart than the
-    block they share, that lie equally far from those they match.
+    See :func:`matches` for which is held against which. A run is as many suffixes of one text, no
+    further apart than the block they share, that lie equally far from those they match.
     """
     met = matches(suffixes, firsts).withColumn("apart", F.col("at") - F.col("of_at")).drop("of_at").distinct()
     line = Window.partitionBy("doc", "tag", "of_doc", "of_tag", "apart").orderBy("at")
@@ -55,6 +56,42 @@ def _runs(suffixes: DataFrame, firsts: DataFrame, block: int) -> DataFrame:
         "doc", "tag", "low", "high", "of_doc", "of_tag", (F.col("low") - F.col("apart")).alias("of_low"), (F.col("high") - F.col("apart")).alias("of_high"))
 
 
+def _windows(docs: DataFrame, met: DataFrame, words: int, reach: int) -> DataFrame:
+    """``(begins, doc, tag, at, earlier)``, as of ``sampled_blocks``: every window of ``words`` words that has a place of ``met``
+    among its first ``reach`` words."""
+    places = met.select("doc", "tag", "at").unionByName(met.select(
+        F.col("of_doc").alias("doc"), F.col("of_tag").alias("tag"), F.col("of_at").alias("at")))
+    lists = places.groupBy("doc", "tag").agg(F.collect_set(F.struct(F.col("at").alias("low"), F.col("at").alias("high"))).alias("spans"))
+    texts = docs.select(*text_keys(), F.col("text").cast("string").alias("text"))
+    rows = texts.join(lists, ["doc", "tag"]).select("doc", "tag", "text", "spans")
+
+    def windows(batch: pa.RecordBatch):
+        held, n = [], 0
+        for doc, tag, data, at, _ in texts_with_spans(batch):
+            hashes, _, _, _ = words_of(data, np.array([0, len(data)]))
+            count = len(hashes) - words + 1
+            if count < 1:
+                continue
+            steps = np.zeros(count + 1, np.int64)
+            np.add.at(steps, np.clip(at - reach + 1, 0, count), 1)
+            np.add.at(steps, np.clip(at + 1, 0, count), -1)
+            place = np.flatnonzero(np.cumsum(steps[:count]) > 0)
+            begins = block_hashes(hashes, place, place + words).view(np.int64)
+            held.append((begins, np.full(len(place), doc), np.full(len(place), tag), place, earlier_alike(begins, np.zeros(len(place), np.int64), place)))
+            n += len(place)
+            if n >= HELD_WINDOWS:
+                yield joined(held)
+                held, n = [], 0
+        if held:
+            yield joined(held)
+
+    def joined(held: list) -> list:
+        *columns, earlier = zip(*held)
+        return [*map(np.concatenate, columns), pa.concat_arrays(earlier)]
+
+    return map_arrow(rows, lambda: windows, "begins long, doc long, tag long, at long, earlier long")
+
+
 def _edges(docs: DataFrame, wanted: DataFrame, block: int, window: int) -> DataFrame:
     """For each ``(doc, tag, low, high)``: a hash of the passage, its place, and the words beside it (32 bits of their hashes),
     nearest first."""
@@ -100,10 +137,14 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, window: int =
 
     Suffixes are retained where a word begins the least 3-gram of ``window`` neighbouring ones:
     every passage of ``min_words`` words has one among its first ``window`` words, in all its
-    copies alike. So suffixes that share their first ``min_words - window + 1`` words are
-    enough to meet every such passage; shorter repeats are reported down to that length. Matches
-    are then verified by a second hash and extended word by word to both sides. Nothing is
-    capped: a passage that many texts hold gives a row for each, all against the first.
+    copies alike. Suffixes that share their first ``min_words - window + 1`` words tell where
+    repeats can be. There every window of ``min_words`` words is held against its first
+    occurrence (or the last before it in its own text), so each word of a repeat that long is in a
+    row, whoever holds parts of it. Windows in a row that lie equally far from those they match
+    are joined, verified by a second hash and extended word by word to both sides. Nothing is
+    capped: a passage that many texts hold gives a row for each, all against the first. Where an
+    earlier text holds only a part of at least ``min_words`` words, the passage is reported in
+    such parts; shorter ones are not reported.
 
     A null or short text gives no rows. Rows without a ``doc_id`` rank last and report null. Rows
     that repeat both ``doc_id`` and text are one text and are each reported. Other columns are
@@ -111,11 +152,14 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, window: int =
     """
     if min_words < window + GRAM:
         raise ValueError("the window must be shorter than the passages by at least a 3-gram")
-    block = min_words - window + 1
-    suffixes = written(sampled_blocks(docs, GRAM, block, window), "suffixes")
+    suffixes = written(sampled_blocks(docs, GRAM, min_words - window + 1, window), "suffixes")
     firsts = written(first_places(suffixes), "firsts")
-    runs = written(_runs(suffixes, firsts, block), "runs")
+    windows = written(_windows(docs, matches(suffixes, firsts), min_words, window), "windows")
     discard(suffixes, firsts)
+    firsts = written(first_places(windows), "firsts")
+    block = min_words
+    runs = written(_runs(windows, firsts, block), "runs")
+    discard(windows, firsts)
     wanted = runs.select("doc", "tag", "low", "high").unionByName(
         runs.select(F.col("of_doc").alias("doc"), F.col("of_tag").alias("tag"), F.col("of_low").alias("low"), F.col("of_high").alias("high"))).distinct()
     edges = written(_edges(docs, wanted, block, window), "edges")
@@ -138,7 +182,7 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, window: int = W
     Shorter repeats stay. Rows whose text holds nothing else are dropped; all others keep all their columns.
     """
     doc, tag = text_keys()
-    found = repeated_passages(docs, min_words, window).where(F.col("words") >= min_words).groupBy(F.coalesce("doc_id", F.lit(NO_ID)).alias("_doc"), F.col("tag").alias("_tag")).agg(
+    found = repeated_passages(docs, min_words, window).groupBy(F.coalesce("doc_id", F.lit(NO_ID)).alias("_doc"), F.col("tag").alias("_tag")).agg(
         F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_spans"))
     rows = docs.select(F.struct("*").alias("row"), doc, tag).join(
         written(found, "spans"), (F.col("doc") == F.col("_doc")) & (F.col("tag") == F.col("_tag")), "left")

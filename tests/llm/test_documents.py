@@ -268,6 +268,17 @@ def test_removal_leaves_first_occurrences(spark, planted):
     assert not [r for r in left if r["words"] >= 50 and r["doc_id"] != r["of_doc_id"]]
 
 
+def test_repeats_that_a_third_text_holds_in_part_are_whole(spark):
+    rng = random.Random(51)
+    rows = []
+    for k in range(10):
+        passage = prose(rng, 50 + k % 3, 9000).split()
+        parts = [passage[:45], passage, passage] if k % 2 else [passage[:40], passage[-40:], passage, passage]
+        rows += [(10 * k + j, " ".join([prose(rng, 40, 9000), *part, prose(rng, 40, 9000)]), "en", "s") for j, part in enumerate(parts)]
+    got = {(r["doc_id"], r["of_doc_id"], r["first_word"], r["words"]) for r in collect(suffix.repeated_passages(documents(spark, rows)))}
+    assert got == {(10 * k + 3 - k % 2, 10 * k + 2 - k % 2, 40, 50 + k % 3) for k in range(10)}
+
+
 def test_removal_leaves_repeats_shorter_than_the_passages(spark):
     rng = random.Random(41)
     rows = []
