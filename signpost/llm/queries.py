@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from signpost.llm import clusters, language, mixing, neighbours, packing, passages, quality, sharding, simhash, suffix
+from signpost.llm import clusters, language, mixing, neighbours, packing, passages, quality, ranking, sharding, simhash, suffix
 
 
 def _on(name: str, operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -17,6 +17,10 @@ def _quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality_of(spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet"))
 
 
+def _ranking(spark: SparkSession, folder: str) -> DataFrame:
+    return ranking.ranked_documents(spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix": _on("documents", suffix.repeated_passages),
     "op2_sharding": _on("documents", sharding.byte_shards),
@@ -28,8 +32,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": _on("documents", mixing.mix_report),
     "op9_passages": _on("documents", passages.fuzzy_passages),
     "op10_clusters": _on("embeddings", clusters.near_duplicates),
+    "op11_ranking": _ranking,
 }
 
+_PLAIN = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 _VECTORS = """v AS (
   SELECT DISTINCT vec_id, embedding::DOUBLE[] AS e, sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS norm
   FROM embeddings
@@ -65,4 +72,22 @@ least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
 counted AS (SELECT a, count(*) AS n FROM links GROUP BY a)
 SELECT e.vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, component_id = e.vec_id AS kept
 FROM embeddings e JOIN least ON least.a = e.vec_id LEFT JOIN counted ON counted.a = e.vec_id""",
+    "op11_ranking": rf"""
+WITH words AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_PLAIN}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+held AS (SELECT r, doc_id, len(t)::HUGEINT AS n, t FROM words WHERE len(t) > 0),
+every AS (SELECT count(*)::BIGINT AS docs, sum(n)::HUGEINT AS terms FROM held),
+wanted AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all({_PLAIN}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+counted AS (
+  SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, n, unnest(t) AS term FROM held)
+  WHERE term IN (SELECT term FROM wanted) GROUP BY r, doc_id, n, term),
+weighed AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM counted, every GROUP BY term, docs),
+impacts AS (
+  SELECT r, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * docs) // terms)::BIGINT))) AS impact
+  FROM counted JOIN weighed USING (term), every),
+scored AS (
+  SELECT item_id, doc_id, r, sum(impact)::BIGINT AS score FROM wanted JOIN impacts USING (term) GROUP BY item_id, doc_id, r HAVING sum(impact) > 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS nth FROM scored)
+SELECT item_id, nth::INTEGER AS rank, doc_id, score FROM ranked WHERE nth <= 50""",
 }
