@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from signpost.llm import clusters, language, mixing, neighbours, packing, passages, quality, ranking, sharding, simhash, suffix
+from signpost.llm import clusters, language, licenses, mixing, neighbours, packing, passages, quality, ranking, sharding, simhash, suffix
+from signpost.llm.license_rules import BASE, CONFIDENCE, SPAN, STEMS, rules
 
 
 def _on(name: str, operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -33,6 +34,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_passages": _on("documents", passages.fuzzy_passages),
     "op10_clusters": _on("embeddings", clusters.near_duplicates),
     "op11_ranking": _ranking,
+    "op12_licenses": _on("documents", licenses.license_report),
 }
 
 _PLAIN = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -43,6 +45,10 @@ _VECTORS = """v AS (
   WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
     AND len(list_filter(embedding, lambda x: x <> 0)) > 0)"""
 
+_RULES = ", ".join(f"({r.id}, {r.level}, '{r.label}', '{r.keyword}', '^(?:{r.pattern}) ', {r.base})" for r in rules())
+_STEMS = " OR ".join(f"contains({_PLAIN}, '{stem}')" for stem in STEMS)
+_case = lambda value, of: f"CASE {value} {' '.join(f'WHEN {k} THEN {v}' for k, v in of.items())} END"
+
 #: What SQL can state. Hashes, models, tokens and approximate neighbours are tested against brute force.
 SQL: dict[str, str] = {
     "op2_sharding": """
@@ -90,4 +96,29 @@ scored AS (
   SELECT item_id, doc_id, r, sum(impact)::BIGINT AS score FROM wanted JOIN impacts USING (term) GROUP BY item_id, doc_id, r HAVING sum(impact) > 0),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS nth FROM scored)
 SELECT item_id, nth::INTEGER AS rank, doc_id, score FROM ranked WHERE nth <= 50""",
+    "op12_licenses": rf"""
+WITH rules(rule, level, label, keyword, pattern, base) AS (VALUES {_RULES}),
+words AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce({_STEMS}, false) AS held,
+    coalesce(regexp_extract_all({_PLAIN}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+places AS (SELECT r, unnest(range(len(w))) AS start, unnest(w) AS word FROM words WHERE held),
+tried AS (
+  SELECT r, start, rules.*, regexp_extract(array_to_string(w[start + 1:start + {SPAN}], ' ') || ' ', pattern) AS m
+  FROM places JOIN rules ON keyword = word JOIN words USING (r)),
+met AS (SELECT r, start, start + len(m) - len(replace(m, ' ', '')) AS stop, rule, level, label, base FROM tried WHERE m <> ''),
+kept AS (
+  SELECT r, level, label FROM met a WHERE NOT EXISTS (
+    SELECT 1 FROM met b WHERE b.r = a.r AND b.start <= a.start AND b.stop >= a.stop
+      AND (b.level, b.start - b.stop, b.rule) < (a.level, a.start - a.stop, a.rule))),
+based AS (SELECT r, start, {_case("rule", {r.id: f"'{BASE[r.pattern]}'" for r in rules() if r.base})} AS label FROM met WHERE base),
+listed AS (
+  SELECT r, array_to_string(list_sort(list(DISTINCT label)), ',') AS labels
+  FROM (SELECT r, label FROM kept UNION ALL SELECT r, label FROM based) GROUP BY r),
+sure AS (SELECT r, max({_case("level", CONFIDENCE)})::DOUBLE AS score FROM kept GROUP BY r),
+counted AS (
+  SELECT r, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word,
+    array_to_string(list_sort(list(DISTINCT label)), ',') AS base_labels FROM based GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
+FROM words LEFT JOIN counted USING (r) LEFT JOIN listed USING (r) LEFT JOIN sure USING (r)""",
 }
