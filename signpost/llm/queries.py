@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from signpost.llm import clusters, language, licenses, mixing, neighbours, packing, passages, quality, ranking, sharding, simhash, suffix
+from signpost.llm import clusters, language, licenses, mixing, negatives, neighbours, packing, passages, quality, ranking, sharding, simhash, suffix
 from signpost.llm.license_rules import BASE, CONFIDENCE, SPAN, STEMS, rules
 
 
@@ -35,6 +35,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_clusters": _on("embeddings", clusters.near_duplicates),
     "op11_ranking": _ranking,
     "op12_licenses": _on("documents", licenses.license_report),
+    "op13_negatives": _on("embeddings", negatives.hard_negatives),
 }
 
 _PLAIN = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -121,4 +122,20 @@ counted AS (
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
   coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
 FROM words LEFT JOIN counted USING (r) LEFT JOIN listed USING (r) LEFT JOIN sure USING (r)""",
+    "op13_negatives": """
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding::DOUBLE[], lambda x: floor(256 * x)::BIGINT) AS q
+  FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.r AS r, a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.q::DOUBLE[], b.q::DOUBLE[])::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.r <> b.r),
+positives AS (
+  SELECT r, anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) <= 5),
+mined AS (
+  SELECT p.*, vec_id AS negative_id, score AS negative_score, row_number() OVER (PARTITION BY p.r, positive_id ORDER BY score DESC, vec_id) AS nth
+  FROM positives p JOIN scored s ON s.r = p.r AND NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+SELECT anchor_id, positive_id, nth::INTEGER AS rank, negative_id, positive_score, negative_score FROM mined WHERE nth <= 10""",
 }
