@@ -182,6 +182,33 @@ def test_near_copies_of_the_stage_equal_brute_force(spark, odd_rows):
     assert shingles.keep_one_of_each(documents(spark, [])).collect() == []
 
 
+@pytest.mark.parametrize("chunk", [7, 512])
+def test_buckets_of_many_components_lose_no_link(spark, chunk, monkeypatch):
+    """Families whose members are near the least similarity: most links are among classes that no star of a bucket meets."""
+    rng = random.Random(31)
+    texts = []
+    for g in range(3):
+        base = prose(rng, 120, prefix=f"f{g}x").split()
+        for c in range(45):
+            copy = list(base)
+            for _ in range(rng.choice([1, 3, 5, 6])):
+                copy[rng.randrange(len(copy))] = f"new{rng.randrange(10**6)}"
+            texts.append(" ".join(copy))
+    docs = documents(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])
+    monkeypatch.setattr(shingles, "CHUNK_SHINGLES", 4_000 if chunk == 7 else 1 << 19)
+    monkeypatch.setattr(shingles, "COLUMNS", 64)
+    prints = shingles._printed(docs, 5)
+    classes = prints.groupBy("cls").agg(F.min(F.struct("doc", "tag")).alias("least"), F.first("bands").alias("bands"))
+    named = {r.cls: r.doc for r in prints.collect()}
+    got = defaultdict(set)
+    for r in shingles.linked(docs, classes, 0.8, 5, chunk).collect():
+        got[r.component].add(named[r.cls])
+    sets = [{tuple(w[i:i + 5]) for i in range(len(w) - 4)} for w in map(words, texts)]
+    want = slow_components(range(len(texts)), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    want = {frozenset(g) for g in want.values() if len(g) > 1}
+    assert {frozenset(g) for g in got.values()} == want and len(want) >= 3 and sum(map(len, want)) < len(texts)
+
+
 # --- language ---
 
 def test_languages_of_unseen_words_and_odd_texts(spark):
