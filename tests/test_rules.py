@@ -141,6 +141,31 @@ def test_nearest_equals_brute_force_everywhere(spark):
         assert got == {k: v for k, v in want.items() if v}
 
 
+def test_nearest_forms_few_pairs_among_many_at_one_point(spark, monkeypatch):
+    """A third of the facilities stand at one point, the places beside the others and far from all."""
+    from signpost.operators import nearest as module
+
+    rng = random.Random(6)
+    sites = [(f"f{i:04d}", "a" if i % 3 else "b", 45.5, -73.6) for i in range(1_000)]
+    sites += [(f"g{i:04d}", "a" if i % 3 else "b", 45.5 + rng.gauss(0, 0.2), -73.6 + rng.gauss(0, 0.2)) for i in range(2_000)]
+    places = [(i, "ab"[i % 2], 45.5 + rng.uniform(-0.6, 0.6), -73.6 + rng.uniform(-1.2, 0.1)) for i in range(300)] + [(900, "a", 45.5, -73.6), (901, "a", None, 1.0)]
+    met = []
+    top = module.top_per_key
+    monkeypatch.setattr(module, "top_per_key", lambda df, *how, **more: (more and met.append(df.count())) or top(df, *how, **more))
+    df = spark.createDataFrame(places, "place_id int, kind string, lat double, lon double")
+    fac = spark.createDataFrame([(f, kind, str(a), str(b)) for f, kind, a, b in sites], "facility_id string, kind string, latitude string, longitude string")
+    got = {}
+    for r in nearest(df, fac, 3, 60.0, by=["kind"]).orderBy("place_id", "rank").collect():
+        got.setdefault(r.place_id, []).append(r.facility_id)
+    def km(a, b):
+        p1, p2 = math.radians(a[2]), math.radians(b[2])
+        h = math.sin((p2 - p1) / 2) ** 2 + math.cos(p1) * math.cos(p2) * math.sin((math.radians(b[3]) - math.radians(a[3])) / 2) ** 2
+        return 2 * EARTH_KM * math.asin(min(1, math.sqrt(h)))
+    want = {p[0]: [f for d, f in sorted((km(p, s), s[0]) for s in sites if s[1] == p[1]) if d <= 60][:3] for p in places[:-1]}
+    assert got == {p: f for p, f in want.items() if f} and got[900] == ["f0001", "f0002", "f0004"]
+    assert met and met[-1] <= 10 * 3 * len(places)
+
+
 def test_reports_cover_every_rule(spark):
     guidance = spark.createDataFrame([("g1", "housing", "", "https://x.ca", True), ("g1", "housing", "t", "", False)],
                                      "record_id string, category string, linked_resource_url string, source_page_url string, deep_parsed boolean")
