@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from signpost import vocabulary as V
 from signpost.operators import nearest as N
 from signpost.plans import specified as P
-from signpost.queries.matching import directory
+from signpost.plans.precedence import authority_order, rank_by_precedence
+from signpost.queries.matching import FIRST_LINE_SQL, directory, intakes
 from signpost.queries.ordering import LATEST_SQL, latest
 from signpost.queries.quality import labelled
 from signpost.queries.registry import Tables, query
+from signpost.session import written
 from signpost.sources.files import vocabulary_table
 
 RUN_DATE = "2002-01-01"
@@ -143,6 +146,68 @@ def nearest_facilities(t: Tables) -> DataFrame:
         "place_id", "facility_id", F.round("distance_km", 6).alias("distance_km"), "rank")
 
 
+LEVELS = {"AFRICA": "official_university", "AMERICA": "official_provincial", "ASIA": "community", "EUROPE": "general"}
+REACH_KM = 40.0
+_RANK_SQL = " ".join(f"WHEN '{region}' THEN {dict(V.AUTHORITY_ORDER)[level]}" for region, level in LEVELS.items())
+
+
+@query("precedence_by_distance", f"""
+WITH {FIRST_LINE_SQL},
+per_part AS (SELECT l_partkey, min(l_suppkey) AS suppkey, max(CAST(l_shipdate AS DATE)) AS verified FROM lineitem GROUP BY l_partkey),
+record AS (
+  SELECT p.*, pp.verified, CASE WHEN p_size <= 15 THEN 'BUILDING' WHEN p_size <= 30 THEN '' ELSE 'MACHINERY' END AS student_type,
+    CASE r.r_name {_RANK_SQL} ELSE 99 END AS authority, r.r_name IS NOT DISTINCT FROM 'AFRICA' AS own,
+    CASE WHEN s_acctbal >= 0 THEN 45 + s_nationkey * 0.05 + s_acctbal / 100000.0 END AS rlat,
+    CASE WHEN s_acctbal >= 0 THEN -73 + s_acctbal / 20000.0 END AS rlon
+  FROM part p LEFT JOIN per_part pp ON pp.l_partkey = p.p_partkey LEFT JOIN supplier s ON s.s_suppkey = pp.suppkey
+    LEFT JOIN nation n ON n.n_nationkey = s.s_nationkey LEFT JOIN region r ON r.r_regionkey = n.n_regionkey),
+profile AS (
+  SELECT i.o_orderkey, lower(i.p_type) AS need, i.urgency_level = 'emergency' AS emergency, c.c_mktsegment AS student_type,
+    CASE WHEN c_acctbal >= 0 THEN 45 + c_nationkey * 0.05 END AS lat, CASE WHEN c_acctbal >= 0 THEN -73 + c_acctbal / 20000.0 END AS lon
+  FROM intake i JOIN customer c ON c.c_custkey = i.o_custkey),
+met AS (
+  SELECT f.*, r.p_partkey, r.p_name, r.verified,
+    (CASE WHEN f.need = lower(r.p_type) THEN 2 ELSE 0 END)
+      + (CASE WHEN contains(lower(r.p_type || ' ' || r.p_type || ' ' || r.p_brand || ' ' || r.p_name), f.need) THEN 1 ELSE 0 END) AS score,
+    CASE WHEN f.emergency AND r.p_type <> 'PROMO' THEN 1 ELSE 0 END AS urgency_fit,
+    CASE WHEN r.own AND NOT f.emergency AND f.need <> 'economy' THEN 0 ELSE r.authority END AS authority_fit,
+    CASE WHEN r.student_type = f.student_type THEN 0 WHEN r.student_type = '' THEN 1 ELSE 2 END AS eligibility_fit,
+    2 * 6371.0 * asin(sqrt(least(1.0, pow(sin((radians(r.rlat) - radians(f.lat)) / 2), 2)
+      + cos(radians(f.lat)) * cos(radians(r.rlat)) * pow(sin((radians(r.rlon) - radians(f.lon)) / 2), 2)))) AS km
+  FROM (SELECT DISTINCT need, emergency, student_type, lat, lon FROM profile) f CROSS JOIN record r
+  WHERE f.need = lower(r.p_type) OR (f.emergency AND r.p_type = 'PROMO')
+     OR contains(lower(r.p_type || ' ' || r.p_brand || ' ' || r.p_name), f.need)),
+top AS (
+  SELECT *, CASE WHEN km <= {REACH_KM} THEN round(km, 6) END AS distance_km,
+    CAST(row_number() OVER (PARTITION BY need, emergency, student_type, lat, lon ORDER BY urgency_fit, score DESC, authority_fit,
+      eligibility_fit, CASE WHEN km <= {REACH_KM} THEN km END NULLS LAST, verified DESC NULLS LAST, p_name, p_partkey) AS INTEGER) AS rank
+  FROM met QUALIFY rank <= 3)
+SELECT f.o_orderkey, t.rank, t.p_partkey AS record_id, t.score, t.urgency_fit, t.authority_fit, t.eligibility_fit, t.distance_km
+FROM profile f JOIN top t ON t.need = f.need AND t.emergency = f.emergency AND t.student_type = f.student_type
+  AND t.lat IS NOT DISTINCT FROM f.lat AND t.lon IS NOT DISTINCT FROM f.lon""")
+def precedence_by_distance(t: Tables) -> DataFrame:
+    per_part = t.lineitem.groupBy(F.col("l_partkey").alias("record_id")).agg(
+        F.min("l_suppkey").alias("s_suppkey"), F.max("l_shipdate").cast("date").cast("string").alias("last_verified_date"))
+    level = F.element_at(F.create_map(*(F.lit(x) for pair in LEVELS.items() for x in pair)), F.col("r_name"))
+    located = F.col("s_acctbal") >= 0
+    place = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).join(
+        t.region, F.col("n_regionkey") == F.col("r_regionkey")).select(
+        "s_suppkey", level.alias("authority_level"),
+        F.when(located, 45 + F.col("s_nationkey") * F.lit(0.05) + F.col("s_acctbal") / 100000.0).alias("latitude"),
+        F.when(located, F.lit(-73.0) + F.col("s_acctbal") / 20000.0).alias("longitude"))
+    size = t.part.select(
+        F.col("p_partkey").alias("record_id"),
+        F.when(F.col("p_size") <= 15, "BUILDING").when(F.col("p_size") <= 30, "").otherwise("MACHINERY").alias("student_type"))
+    records = written(directory(t).join(size, "record_id").join(per_part, "record_id", "left").join(place, "s_suppkey", "left").drop("s_suppkey"), "directory")
+    people = t.customer.select(
+        F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("student_type"),
+        F.when(F.col("c_acctbal") >= 0, 45 + F.col("c_nationkey") * F.lit(0.05)).alias("lat"),
+        F.when(F.col("c_acctbal") >= 0, F.lit(-73.0) + F.col("c_acctbal") / 20000.0).alias("lon"))
+    asked = intakes(t, F.col("p_type")).join(people, "o_custkey")
+    return rank_by_precedence(asked, records, authority_order(t.spark), F.col("authority_level") == "official_university", 3, REACH_KM, "PROMO", ("ECONOMY",)).select(
+        "o_orderkey", "rank", "record_id", "score", "urgency_fit", "authority_fit", "eligibility_fit", F.round("distance_km", 6).alias("distance_km"))
+
+
 @query("conflicts", """
 SELECT p_name, 'brand' AS field, count(DISTINCT p_brand) AS "values", min(p_brand) AS lowest, max(p_brand) AS highest
 FROM part GROUP BY p_name HAVING count(DISTINCT p_brand) > 1
