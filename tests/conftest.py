@@ -9,7 +9,7 @@ from signpost.session import session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     spark = session(
         "signpost-tests",
         "local[4]",
@@ -17,6 +17,7 @@ def spark():
             "spark.sql.shuffle.partitions": "4",
             "spark.ui.enabled": "false",
             "spark.driver.memory": "4g",
+            "spark.checkpoint.dir": tmp_path_factory.mktemp("shared").as_uri(),
         },
     )
     spark.sparkContext.setLogLevel("ERROR")
