@@ -22,7 +22,7 @@ def column(spark, values, build, kind="string"):
 
 def test_clean_text_matches_every_space_character(spark):
     spaces = [chr(i) for i in range(0x3100) if chr(i).isspace()]
-    values = ["  useful \n service  ", " useful\n sample ", ""] + [f"{s}a{s}{s}b{s}" for s in spaces] + ["a​b", "a﻿b"]
+    values = ["\t\tone  two\r\n\x0bthree", "four", "", " \n "] + [f"{s}a{s}{s}b{s}" for s in spaces] + ["a​b", "a﻿b"]
     assert column(spark, values, X.clean_text) == [re.sub(r"\s+", " ", v).strip() for v in values]
     assert column(spark, values, X.strip) == [v.strip() for v in values]
 
