@@ -87,6 +87,33 @@ def _violations(df: DataFrame, rule: str, key: Column, detail: Column) -> DataFr
     )
 
 
+def broken_rules(df: DataFrame, key: str, rules: Mapping[str, tuple[Column, Column]]) -> DataFrame:
+    """All rules on single rows of a table in one pass: for each rule, whether a row breaks it and the detail.
+
+    A rule whose outcome is unknown is not broken; say so in its condition where it should be.
+    """
+    found = F.array(*(
+        F.when(F.coalesce(broken, F.lit(False)), F.struct(F.lit(rule).alias("rule"), blank(detail.cast("string")).alias("detail")))
+        for rule, (broken, detail) in rules.items()))
+    rows = df.select(blank(F.col(key).cast("string")).alias("key"), F.inline(F.filter(found, lambda v: v.isNotNull())))
+    return rows.select("rule", "key", "detail")
+
+
+def empty_fields(fields: Sequence[str]) -> Column:
+    """The names of a row's empty fields, comma-joined."""
+    return F.concat_ws(",", *[F.when(is_missing(F.col(f).cast("string")), F.lit(f)) for f in fields])
+
+
+def without_place() -> Column:
+    return is_missing(F.col("latitude").cast("string")) | is_missing(F.col("longitude").cast("string"))
+
+
+def with_listed(df: DataFrame, value: str, allowed: DataFrame) -> DataFrame:
+    """The rows with ``_listed``, whether ``value`` is in ``allowed``'s column of that name."""
+    known = allowed.select(value).distinct().withColumn("_known", F.lit(True))
+    return df.join(known, value, "left").withColumn("_listed", F.col("_known").isNotNull()).drop("_known")
+
+
 def set_mismatch(observed: DataFrame, expected: DataFrame, key: str, rule: str) -> DataFrame:
     """Values on one side only, with the side that has them."""
     left = observed.select(key).distinct().withColumn("_seen", F.lit(True))
@@ -104,8 +131,7 @@ def not_unique(df: DataFrame, key: str, rule: str) -> DataFrame:
 
 def required_empty(df: DataFrame, key: str, fields: Sequence[str], rule: str) -> DataFrame:
     """Rows with an empty required field; the detail lists the fields."""
-    empty = F.concat_ws(",", *[F.when(is_missing(F.col(f).cast("string")), F.lit(f)) for f in fields])
-    return _violations(df.withColumn("_empty", empty).where(F.col("_empty") != ""), rule, F.col(key), F.col("_empty"))
+    return _violations(df.withColumn("_empty", empty_fields(fields)).where(F.col("_empty") != ""), rule, F.col(key), F.col("_empty"))
 
 
 def not_matching(df: DataFrame, key: str, condition: Column, detail: Key, rule: str) -> DataFrame:
@@ -124,5 +150,4 @@ def fetch_failures(manifest: DataFrame, key: str = "url", rule: str = "fetch_fai
 
 
 def coordinates_missing(df: DataFrame, key: str, rule: str = "coordinates_missing") -> DataFrame:
-    bad = is_missing(F.col("latitude").cast("string")) | is_missing(F.col("longitude").cast("string"))
-    return _violations(df.where(bad), rule, F.col(key), F.lit(""))
+    return _violations(df.where(without_place()), rule, F.col(key), F.lit(""))

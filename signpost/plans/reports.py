@@ -23,11 +23,15 @@ def guidance_violations(
     return Q.union_all([
         Q.set_mismatch(guidance, expected, "category", "guidance_category_mismatch"),
         Q.not_unique(guidance, "record_id", "guidance_id_repeated"),
-        Q.required_empty(guidance, "record_id", ["source_page_url"], "guidance_source_missing"),
-        Q.not_listed(guidance.where("deep_parsed"), "record_id", "source_page_url", pages, "page_not_allowlisted"),
+        Q.broken_rules(Q.with_listed(guidance, "source_page_url", pages), "record_id", {
+            "guidance_source_missing": (is_missing("source_page_url"), F.lit("source_page_url")),
+            "page_not_allowlisted": (F.col("deep_parsed") & ~F.col("_listed"), F.col("source_page_url")),
+        }),
         Q.not_unique(facilities, "facility_id", "facility_id_repeated"),
-        Q.not_matching(facilities, "facility_id", F.col("csd_uid") == geography_code, "csd_uid", "facility_outside_city"),
-        Q.coordinates_missing(facilities, "facility_id"),
+        Q.broken_rules(facilities, "facility_id", {
+            "facility_outside_city": (~F.coalesce(F.col("csd_uid") == geography_code, F.lit(False)), F.col("csd_uid")),
+            "coordinates_missing": (Q.without_place(), F.lit("")),
+        }),
         Q.fetch_failures(manifest),
     ])
 
@@ -56,10 +60,13 @@ def guidance_metrics(guidance: DataFrame, queue: DataFrame, facilities: DataFram
 
 
 def navigator_violations(candidates: DataFrame, structured: DataFrame) -> DataFrame:
+    empty = Q.empty_fields(["source_url", "service_name"])
     return Q.union_all([
         Q.not_unique(candidates, "record_id", "candidate_id_repeated"),
-        Q.required_empty(candidates, "record_id", ["source_url", "service_name"], "candidate_field_missing"),
-        Q.not_listed(candidates, "record_id", "source_id", structured, "source_not_structured"),
+        Q.broken_rules(Q.with_listed(candidates, "source_id", structured), "record_id", {
+            "candidate_field_missing": (empty != "", empty),
+            "source_not_structured": (~F.col("_listed"), F.col("source_id")),
+        }),
     ])
 
 

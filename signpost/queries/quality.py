@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from signpost.functions.text import digest
+from signpost.functions.text import digest, is_missing
 from signpost.operators import quality as Q
 from signpost.queries.ordering import LATEST_SQL, latest
 from signpost.queries.pages import CANDIDATES_SQL, SAMPLE_SQL, extracted, pages
@@ -122,13 +122,15 @@ def violations(t: Tables) -> DataFrame:
         t.region, F.col("n_regionkey") == F.col("r_regionkey"))
     fetches = latest(t)
     reason = F.coalesce(F.nullif("error", F.lit("")), F.lit("No parseable content found."))
+    empty = Q.empty_fields(["source", "quality"])
     return Q.union_all([
         duplicate_rows(t),
-        Q.required_empty(labelled(t), "doc_id", ["source", "quality"], "label_missing"),
-        Q.not_listed(t.documents, "doc_id", "source", allowed, "source_not_allowed"),
+        Q.broken_rules(Q.with_listed(labelled(t), "source", allowed), "doc_id", {
+            "label_missing": (empty != "", empty), "source_not_allowed": (~F.col("_listed"), F.col("source"))}),
         Q.not_matching(placed, "s_suppkey", F.col("r_name") == "ASIA", "r_name", "wrong_region"),
-        Q.fetch_failures(fetches, "page_id"),
-        Q.not_matching(fetches, "page_id", F.col("http_status") == 200, reason, "url_not_parseable")])
+        Q.broken_rules(fetches, "page_id", {
+            "fetch_failed": (~is_missing("error"), F.col("error")),
+            "url_not_parseable": (~F.coalesce(F.col("http_status") == 200, F.lit(False)), reason)})])
 
 
 def duplicate_rows(t: Tables) -> DataFrame:
