@@ -76,9 +76,9 @@ def test_workers_need_no_installed_package(tmp_path):
         "from signpost.session import session\n"
         "s = session('w', 'local[2]', **{'spark.ui.enabled': 'false', 'spark.sql.shuffle.partitions': '2'})\n"
         "from signpost.llm.queries import QUERIES\n"
-        "for name in ('op1_suffix', 'op3_simhash', 'op4_language', 'op5_neighbours', 'op7_packing', 'op9_passages', 'op10_clusters'):\n"
+        "for name in ('op1_suffix', 'op3_simhash', 'op4_language', 'op5_neighbours', 'op7_packing', 'op9_passages', 'op10_clusters', 'op11_ranking', 'op13_negatives'):\n"
         f"    print('DONE', name, QUERIES[name](s, {FOLDER!r}).count() >= 0)\n"
     )
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=900)
-    assert out.stdout.count("DONE") == 7, out.stderr[-2000:]
+    assert out.stdout.count("DONE") == 9, out.stderr[-2000:]
