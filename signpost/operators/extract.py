@@ -314,13 +314,37 @@ def title_tag() -> Column:
 # -- partner listing and detail -------------------------------------------------------------
 
 
+def _count_before(rising: Column, seq: Column) -> Column:
+    """How many of the rising numbers are less than ``seq``, found by halving; ``rising`` must be a lambda variable."""
+    bits = F.ceil(F.log2(F.size(rising) + 1)).cast("int")
+    powers = F.transform(F.sequence(bits, F.lit(0), F.lit(-1)), lambda k: F.pow(F.lit(2), k).cast("int"))
+    return F.aggregate(powers, F.lit(0), lambda n, p: F.when(
+        (n + p <= F.size(rising)) & (F.get(rising, n + p - 1) < seq), n + p).otherwise(n))
+
+
+def _greatest_so_far(numbers: Column) -> Column:
+    """The greatest of each number and those before it, by doubling the reach; ``numbers`` must be a lambda variable."""
+    bits = F.ceil(F.log2(F.size(numbers) + 1)).cast("int")
+    return F.aggregate(F.sequence(F.lit(0), bits), numbers, lambda best, k: F.transform(
+        best, lambda x, i: F.greatest(x, F.get(best, i - F.pow(F.lit(2), k).cast("int")))))
+
+
+def nodes_under(test: Test, above: Test) -> Column:
+    """Nodes that pass ``test`` and lie below one that passes ``above``, in document order.
+
+    A node lies below one of them if the furthest end of those that begin before it is not before
+    it, so each node is placed once among them and no pair is formed.
+    """
+    def under(tops: Column) -> Column:
+        return let(F.transform(tops, lambda t: t["seq"]), lambda begins: let(
+            let(F.transform(tops, lambda t: t["end_seq"]), _greatest_so_far), lambda ends: select(
+                lambda n: test(n) & F.coalesce(F.get(ends, _count_before(begins, n["seq"]) - 1) >= n["seq"], F.lit(False)))))
+    return let(select(above), under)
+
+
 def listing_cards() -> Column:
     """One struct of listing fields per card."""
-    def card_fields(card: Column, names: Column) -> Column:
-        def named(n: Column) -> Column:
-            return (n["tag"] == "a") & F.exists(
-                names, lambda p: (n["seq"] > p["seq"]) & (n["seq"] <= p["end_seq"]))
-
+    def card_fields(card: Column, named: Column, begins: Column) -> Column:
         def link_where(test) -> Column:
             return first(lambda n: is_link(n) & test(F.lower(raw_text_of(n))), card)["href"]
 
@@ -335,13 +359,12 @@ def listing_cards() -> Column:
                 blank(link_where(lambda t: F.contains(t, F.lit("map")))).alias("map_url"),
                 blank(link_where(lambda t: t == "website")).alias("listing_website"),
             )
-        return let(first(named, card), of)
+        following = let(F.get(named, _count_before(begins, card["seq"])), lambda n: F.when(n["seq"] <= card["end_seq"], n))
+        return let(following, of)
 
-    return let(
-        select(with_class("partner-name")),
-        lambda names: F.transform(
-            select(with_class("partner-element")), lambda card: card_fields(card, names)),
-    )
+    return let(nodes_under(tagged("a"), with_class("partner-name")), lambda named: let(
+        F.transform(named, lambda n: n["seq"]), lambda begins: F.transform(
+            select(with_class("partner-element")), lambda card: card_fields(card, named, begins))))
 
 
 def heading_list(text: str) -> Column:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from signpost.functions import text as X
 from signpost.functions import urls as U
 from signpost.plans.guidance import agency_for_url
 from signpost.queries.registry import Tables, query
+from signpost.sources.tables import decoded
 
 
 @query("record_ids", r"""
@@ -90,3 +91,23 @@ def page_hosts(t: Tables) -> DataFrame:
         "page_id", U.url_host("url").alias("host"), agency_for_url(F.col("url")).alias("agency"),
         agency_for_url(listed).alias("listed_agency"), U.is_http_url("url").alias("well_formed"),
         U.is_http_url(F.lit("")).alias("empty_is_valid"))
+
+
+def _as_bytes(text: str) -> Column:
+    """Text as Windows-1252 bytes; characters that this set lacks or places elsewhere become question marks."""
+    return F.encode(F.regexp_replace(text, r"[^\x00-\x7F\xA0-\xFF]", "?"), "ISO-8859-1")
+
+
+@query("undeclared_charsets", r"""
+SELECT doc_id, ltrim(regexp_replace(text, '[^\x00-\x7F\x{A0}-\x{FF}]', '?', 'g'), chr(65279)) AS html FROM documents""")
+def undeclared_charsets(t: Tables) -> DataFrame:
+    rows = t.documents.select("doc_id", _as_bytes("text").alias("content"), F.lit(None).cast("string").alias("content_type"))
+    return decoded(rows).select("doc_id", "html")
+
+
+@query("undeclared_page_charsets", r"""
+SELECT page_id, regexp_replace(regexp_replace(html, 'charset', 'chars', 'gi'), '[^\x00-\x7F\x{A0}-\x{FF}]', '?', 'g') AS html FROM pages""")
+def undeclared_page_charsets(t: Tables) -> DataFrame:
+    unstated = t.pages.withColumn("bare", F.regexp_replace("html", "(?i)charset", "chars"))
+    rows = unstated.select("page_id", _as_bytes("bare").alias("content"), F.lit("text/html").alias("content_type"))
+    return decoded(rows).select("page_id", "html")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
@@ -12,6 +13,7 @@ from signpost import schemas as S
 from signpost import vocabulary as V
 from signpost.functions.text import fix_windows_1252
 from signpost.functions.urls import is_http_url
+from signpost.sources.records import WESTERN, csv_records
 
 
 def read_csv(
@@ -20,13 +22,17 @@ def read_csv(
     schema: StructType | None = None,
     encoding: str = "UTF-8",
     multi_line: bool = True,
+    whole_files: bool = False,
+    position: str | None = None,
 ) -> DataFrame:
     """CSV with a header; a byte-order mark is dropped and empty cells become ``''``.
 
-    ``multi_line`` allows quoted line breaks and makes a file one task; switch it off for files
-    known to have none, which then split.
+    Files split among tasks. ``multi_line`` allows quoted line breaks, see ``csv_records`` for what
+    that asks of the files; rows then come in no order, and ``position`` names a column that holds each
+    record's place to sort by. ``whole_files`` reads every file in one task instead, for files whose
+    quotes do not pair or whose encoding has no lines of bytes.
     """
-    windows = encoding.lower() in ("cp1252", "windows-1252")
+    windows = encoding.lower() in WESTERN
     reader = (
         spark.read.option("header", True)
         .option("multiLine", multi_line)
@@ -35,19 +41,44 @@ def read_csv(
         .option("enforceSchema", False)
     )
     df = reader.csv(path)
-    if windows:
+    if multi_line and not whole_files:
+        df = _parsed(csv_records(spark, path, encoding), df.columns, position)
+    elif position is not None:
+        raise ValueError("only records that are put together from lines have a position")
+    elif windows:
         df = df.select(*[fix_windows_1252(f"`{c}`").alias(c) for c in df.columns])
     if schema is not None:
-        df = conform(df, schema)
+        place = [] if position is None else [F.col(position)]
+        df = df.select(*place, *conformed(df, schema))
     return df.na.fill("")
 
 
-def conform(df: DataFrame, schema: StructType) -> DataFrame:
-    """Columns of the schema by name, in its order; extra columns go, missing ones become null."""
-    return df.select(*[
+def _parsed(records: DataFrame, names: Sequence[str], position: str | None) -> DataFrame:
+    """Cells of the records by the names of the header, which all files must share."""
+    ddl = ", ".join(f"c{i} STRING" for i in range(len(names)))
+    cells = F.from_csv("record", ddl, {"escape": '"', "multiLine": "true", "maxCharsPerColumn": "-1"})
+    rows = records.withColumn("cells", cells)
+    # Names the reader made up, for empty or repeated ones, are not those of the file.
+    other = F.lit(False)
+    for i, name in enumerate(names):
+        if not re.search(r"\d$", name):
+            other = other | (F.lower(f"cells.c{i}") != name.lower())
+    told = F.raise_error(F.concat(F.lit("another header than that of the first file: "), F.col("file"))).cast("boolean")
+    kept = rows.where(F.when(F.col("first"), F.when(other, told).otherwise(False)).otherwise(True))
+    place = [] if position is None else [F.struct("file", "block", "line").alias(position)]
+    return kept.select(*place, *[F.col(f"cells.c{i}").alias(c) for i, c in enumerate(names)])
+
+
+def conformed(df: DataFrame, schema: StructType) -> list[Column]:
+    return [
         (F.col(f"`{f.name}`") if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
         for f in schema.fields
-    ])
+    ]
+
+
+def conform(df: DataFrame, schema: StructType) -> DataFrame:
+    """Columns of the schema by name, in its order; extra columns go, missing ones become null."""
+    return df.select(*conformed(df, schema))
 
 
 def read_json_array(spark: SparkSession, path: str, fields: Sequence[str]) -> DataFrame:

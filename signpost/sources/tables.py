@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from signpost.functions.charsets import STATED, guessed, in_code_page
 from signpost.functions.text import blank, fix_windows_1252, is_missing, or_else
 
 
@@ -25,15 +26,19 @@ def only_urls(pages: DataFrame, wanted: DataFrame) -> DataFrame:
 def decoded(pages: DataFrame, content: str = "content", content_type: str = "content_type", html: str = "html") -> DataFrame:
     """Pages fetched as bytes, with their markup as text in ``html``, for ``parse_pages``.
 
-    The character set is that of the content type, else of the markup's first kilobyte, else UTF-8.
-    The single-byte Western sets are read as Windows-1252, as browsers do; everything else is read as
-    UTF-8 with a replacement character for every malformed byte.
+    The character set is that of the content type, else of the markup's first kilobyte; where neither
+    states one, it is guessed from the bytes (``charsets.guessed``). Stated single-byte sets are read as
+    browsers do (the Western ones as Windows-1252); everything else is read as UTF-8 with a
+    replacement character for every malformed byte.
     """
     name = r"(?i)charset\s*=\s*[\"']?\s*([-\w]+)"
     head = F.decode(F.substring(F.col(content), 1, 1024), "ISO-8859-1")
-    stated = or_else(F.regexp_extract(blank(content_type), name, 1), F.regexp_extract(head, name, 1))
-    western = F.lower(stated).isin("iso-8859-1", "latin1", "latin-1", "windows-1252", "cp1252", "us-ascii", "ascii")
-    text = F.when(western, fix_windows_1252(F.decode(content, "ISO-8859-1"))).otherwise(F.make_valid_utf8(F.col(content).cast("string")))
+    stated = F.lower(or_else(F.regexp_extract(blank(content_type), name, 1), F.regexp_extract(head, name, 1)))
+    latin = F.decode(content, "ISO-8859-1")
+    text = F.when(stated == "", guessed(F.col(content)))
+    for page, names in STATED.items():
+        text = text.when(stated.isin(*names), fix_windows_1252(latin) if page == "cp1252" else in_code_page(latin, page))
+    text = text.otherwise(F.make_valid_utf8(F.col(content).cast("string")))
     return pages.withColumn(html, F.ltrim(text, F.lit("\ufeff")))
 
 

@@ -110,3 +110,41 @@ def test_run_fails_on_violations(spark):
 def test_sorted_sink(spark, tmp_path):
     K.write_sorted(spark.range(50).orderBy(F.rand(1)), str(tmp_path / "s"), ["id"])
     assert spark.read.parquet(str(tmp_path / "s")).count() == 50
+
+
+@pytest.mark.parametrize("newline", ["\n", "\r\n"])
+def test_split_csv_equals_the_reader_of_whole_files(spark, tmp_path, newline):
+    import csv
+    import random
+    draw = random.Random(5)
+    cell = lambda: "".join(draw.choice(['a', 'é', ' ', ',', '"', newline, 'x y', newline + newline]) for _ in range(draw.choice([0, 1, 3, 40])))
+    for name in ("one", "two"):
+        with open(tmp_path / f"{name}.csv", "w", encoding="utf-8-sig", newline="") as out:
+            rows = csv.writer(out, lineterminator=newline)
+            rows.writerow(["id", "text, a", "b"])
+            for i in range(400):
+                rows.writerow([f"{name}{i}", cell(), cell()])
+            # A record longer than several blocks, and empty lines between records.
+            rows.writerow([f"{name}long", ("line" + newline) * 2000, "end"])
+            out.write(newline)
+            rows.writerow([f"{name}last", "", 'q"'])
+    whole = sorted(map(tuple, R.read_csv(spark, str(tmp_path), whole_files=True).collect()))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in (before, "3000"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        try:
+            split = R.read_csv(spark, str(tmp_path), position="at")
+            assert sorted(tuple(r)[1:] for r in split.collect()) == whole and len(whole) == 804
+            ids = [r.id for r in split.orderBy("at").collect()]
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+        assert ids == [f"{n}{i}" for n in ("one", "two") for i in (*range(400), "long", "last")]
+
+
+def test_csv_files_of_unlike_headers_are_refused(spark, tmp_path):
+    write(tmp_path / "1.csv", "a,b\n1,2\n")
+    write(tmp_path / "2.csv", "a,c\n1,2\n")
+    with pytest.raises(Exception, match="another header"):
+        R.read_csv(spark, str(tmp_path)).collect()

@@ -80,6 +80,18 @@ def test_byte_pages_are_read_in_their_character_set(spark):
     assert {r.id: r.text for r in rows} == {1: "café – “quay”", 2: "café", 3: "é", 4: "caf\ufffd ok", 5: "x", 6: ""}
 
 
+def test_pages_that_state_no_character_set_are_read_by_their_bytes(spark):
+    texts = {
+        1: ("Où est l’été ? Ça coûte 5 €, à côté de l’École", "cp1252"), 2: ("¿Dónde está el niño? mañana, ÑANDÚ", "cp1252"),
+        3: ("Größe, Straße, Übung für Äpfel", "cp1252"), 4: ("Żółć gęślą jaźń, źrebię w Łodzi", "cp1250"),
+        5: ("Привет, где библиотека? Здание РАБОТАЕТ", "cp1251"), 6: ("Καλημέρα, που είναι η βιβλιοθήκη", "cp1253"),
+        7: ("plain words", "ascii"), 8: ("déjà vu, où", "utf-8"), 9: ("", "utf-8")}
+    rows = [(k, t.encode(c), "text/html") for k, (t, c) in texts.items()]
+    rows += [(10, "déjà vu, où é".encode()[:-1], None), (11, None, None), (12, "Привет".encode("koi8-r"), "text/html; charset=KOI8-R")]
+    got = {r.id: r.html for r in decoded(spark.createDataFrame(rows, "id int, content binary, content_type string")).collect()}
+    assert got == {**{k: t for k, (t, _) in texts.items()}, 10: "déjà vu, où \ufffd", 11: None, 12: "Привет"}
+
+
 def test_a_parse_error_shows_in_the_manifests(spark):
     _, extracted = nav(spark)
     broken = extracted.withColumn("parse_error", F.lit("unreadable markup: x"))
@@ -374,3 +386,44 @@ def test_partner_directory(spark):
     assert (one.phone, one.email, one.website, one.address, one.contact_hours, one.source_last_updated) == (
         "514 1", "a@b.c", "https://own.org", "1 St City", "9 to 5", "May 2")
     assert (two.website, two.address, two.services, two.phone) == ("https://p2.org", "2 Main St", [], "")
+
+
+def _card_names(spark, html):
+    parsed = parse_pages(spark.createDataFrame([(html,)], "html string").withColumn("id", F.lit(1)), ["id"], base=None, raw_text=True)
+    return parsed, parsed.select(F.inline(X.listing_cards())).select("name")
+
+
+def test_card_names_equal_all_pairs_of_cards_and_names(spark):
+    import random
+    draw = random.Random(3)
+    parts = ["<div class='partner-element'>", "<div class='partner-name'>", "<span class='partner-name'>", "</div>", "</div>", "</span>",
+             "<a href='/x'>{}</a>", "<a href='/y'>", "</a>", "<p>w</p>"]
+    pages = ["".join(draw.choice(parts).format(i) for i in range(n)) for n in (0, 5, 40, 40, 80, 80, 200)]
+    for page in [*pages, CARD.format(i=1) * 3]:
+        parsed, names = _card_names(spark, page)
+        row = parsed.collect()[0]
+        has = lambda n, c: c in (n.classes or [])
+        tops = [n for n in row.nodes if has(n, "partner-name")]
+        expected = []
+        for card in (n for n in row.nodes if has(n, "partner-element")):
+            named = [n for n in row.nodes if n.tag == "a" and card.seq < n.seq <= card.end_seq and any(t.seq < n.seq <= t.end_seq for t in tops)]
+            expected.append(" ".join("".join(row.raw_pieces[named[0].raw_from:named[0].raw_from + named[0].raw_pieces]).split()) if named else "")
+        assert [r.name for r in names.collect()] == expected
+
+
+def test_listing_cards_grow_in_proportion(spark):
+    import time
+
+    def seconds(cards):
+        parsed = _card_names(spark, "".join(CARD.format(i=i) for i in range(cards)))[0]
+        row = parsed.cache()
+        row.count()
+        best = []
+        for _ in range(3):
+            start = time.perf_counter()
+            assert row.select(F.size(X.listing_cards())).collect()[0][0] == cards
+            best.append(time.perf_counter() - start)
+        row.unpersist()
+        return min(best)
+    seconds(10)
+    assert seconds(4000) < 2.5 * seconds(2000)
