@@ -234,10 +234,38 @@ def earlier_alike(begins: np.ndarray, of: np.ndarray, place: np.ndarray) -> pa.A
     return pa.array(earlier, pa.int64(), mask=earlier < 0)
 
 
-def sampled_blocks(docs: DataFrame, gram: int, block: int, window: int) -> DataFrame:
+#: Words after a block, or before it, whose hashes tell how far two texts agree beyond it: as lengths of stretches.
+AROUND = (4, 4, 8, 16)
+
+
+def words_around(hashes: np.ndarray, at: np.ndarray, ends: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """For each block ``at:end`` of a text ``low:high``, 32 bits on the words after it and 32 on those before it.
+
+    Each byte is of one stretch of :data:`AROUND`, the nearest first, so numbers that share leading bytes are of
+    places that go on alike that far.
+    """
+    starts, stops = [], []
+    after, before = ends, at
+    for n in AROUND:
+        starts.append(after)
+        after = np.minimum(after + n, high)
+        stops.append(after)
+    for n in AROUND:
+        stops.append(before)
+        before = np.maximum(before - n, low)
+        starts.append(before)
+    parts = block_hashes(hashes, np.concatenate(starts), np.concatenate(stops)).reshape(2 * len(AROUND), len(at)) >> np.uint64(56)
+    out = np.zeros(len(at), np.uint64)
+    for part in parts:
+        out = (out << np.uint64(8)) | part
+    return out.view(np.int64)
+
+
+def sampled_blocks(docs: DataFrame, gram: int, block: int, window: int, around: bool = False) -> DataFrame:
     """``(begins, doc, tag, at, earlier)``: words that :func:`sampled_words` picks, with a hash of the ``block`` words from there.
 
-    ``earlier`` is the last place before ``at`` in the same text that begins alike, null where none does.
+    ``earlier`` is the last place before ``at`` in the same text that begins alike, null where none does. With
+    ``around``, a column of that name tells the words beside the block (:func:`words_around`).
     """
     def make():
         def run(batch: pa.RecordBatch):
@@ -251,11 +279,12 @@ def sampled_blocks(docs: DataFrame, gram: int, block: int, window: int) -> DataF
                 if not len(at):
                     continue
                 begins, place = block_hashes(hashes, at, at + block).view(np.int64), at - first[of]
-                yield [begins, doc[row + of], tag[row + of], place, earlier_alike(begins, of, place)]
+                beside = [words_around(hashes, at, at + block, first[of] - first[0], first[1:][of] - first[0])] if around else []
+                yield [begins, doc[row + of], tag[row + of], place, earlier_alike(begins, of, place), *beside]
         return run
 
     return map_arrow(docs.select(*text_keys(), F.col("text").cast("string").alias("text")), make,
-                     "begins long, doc long, tag long, at long, earlier long")
+                     "begins long, doc long, tag long, at long, earlier long" + (", around long" if around else ""))
 
 
 def texts_with_spans(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:

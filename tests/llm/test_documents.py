@@ -341,6 +341,45 @@ def test_fuzzy_passages_survive_changed_words(spark, planted):
     assert 62 not in {r["doc_id"] for r in got}
 
 
+def test_fuzzy_passages_that_two_texts_hold_in_halves_are_whole(spark):
+    own = lambda name, n: [f"{name}{i}" for i in range(n)]
+    shared = own("s", 60)
+    rows = [(1, own("a", 20) + shared[:30] + own("b", 20)), (2, own("c", 20) + shared[30:] + own("d", 20)),
+            (3, own("e", 20) + shared + own("f", 20)), (4, own("g", 20) + shared + own("h", 20))]
+    # Many texts that hold either half keep no two holders of the whole apart.
+    rows += [(k, own(f"x{k}_", 15) + (shared[:30] if k % 2 else shared[30:]) + own(f"y{k}_", 15)) for k in range(10, 40)]
+    rows += [(50, own("i", 20) + shared + own("j", 20))]
+    got = collect(passages.fuzzy_passages(documents(spark, [(k, " ".join(w), "en", "s") for k, w in rows])))
+    found = {(r["doc_id"], r["of_doc_id"], r["words"]) for r in got}
+    assert (4, 3, 60) in found and any(a == 50 and w == 60 for a, _, w in found)
+    assert {a for a, _, _ in found} == {4, 50}
+
+
+@pytest.mark.parametrize("parts", [1, 5, 40])
+def test_neighbours_of_a_seed_are_matched_across_partitions(spark, parts):
+    draw = random.Random(2)
+    rows = [(draw.randrange(6), d, d * 7, draw.randrange(50), draw.randrange(-2**62, 2**62)) for d in range(300)]
+    table = spark.createDataFrame(rows, "begins long, doc long, tag long, at long, around long")
+    before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.enabled", False)
+    try:
+        for side, key in (("after", lambda x: x >> 32), ("before", lambda x: x & 0xFFFFFFFF)):
+            got = {(r["doc"], r["at"], r["of_doc"], r["of_at"]) for r in collect(passages._next_to(table, side))}
+            line = sorted((b, key(x), d, t, at) for b, d, t, at, x in rows)
+            pairs = [sorted([(p[2], p[4]), (q[2], q[4])]) for p, q in zip(line, line[1:]) if p[0] == q[0]]
+            assert got == {(*later, *earlier) for earlier, later in pairs}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before[0])
+        spark.conf.set("spark.sql.adaptive.enabled", before[1])
+
+
+def test_spans_within_solid_ones_are_covered():
+    low, high = np.array([5, 0, 0, 3, 8]), np.array([9, 6, 6, 6, 20])
+    assert passages.covered(low, high, np.array([True, True, True, False, False])).tolist() == [False, False, True, True, False]
+    assert passages.covered(low, high, np.zeros(5, bool)).tolist() == [False] * 5
+
+
 def test_chains_equal_the_slow_recurrence():
     rng = np.random.default_rng(2)
     for _ in range(30):
