@@ -365,7 +365,7 @@ def test_neighbours_of_a_seed_are_matched_across_partitions(spark, parts):
     spark.conf.set("spark.sql.adaptive.enabled", False)
     try:
         for side, key in (("after", lambda x: x >> 32), ("before", lambda x: x & 0xFFFFFFFF)):
-            got = {(r["doc"], r["at"], r["of_doc"], r["of_at"]) for r in collect(passages._next_to(table, side))}
+            got = {(r["doc"], r["at"], r["of_doc"], r["of_at"]) for r in collect(passages._across(passages._next_to(table, side)))}
             line = sorted((b, key(x), d, t, at) for b, d, t, at, x in rows)
             pairs = [sorted([(p[2], p[4]), (q[2], q[4])]) for p, q in zip(line, line[1:]) if p[0] == q[0]]
             assert got == {(*later, *earlier) for earlier, later in pairs}
