@@ -16,6 +16,7 @@ from signpost import vocabulary as V
 from signpost.functions import safety
 from signpost.functions.text import blank, is_missing
 from signpost.operators import matching as M
+from signpost.operators.asof import as_of_join
 from signpost.operators.ordering import top_per_key
 from signpost.session import written
 
@@ -240,6 +241,34 @@ def broken_links(records: DataFrame, fetches: DataFrame, key: str = "record_id",
         key, url, F.coalesce("http_status", F.lit(-1)).alias("http_status"))
 
 
+def _at_moments(records: DataFrame, fetches: DataFrame, moments: Sequence[str], key: str, url: str,
+                tie: Sequence[str]) -> DataFrame:
+    """``key, url, as_of, in_force`` of every record with a URL, at every moment."""
+    instants = F.array(*[F.lit(m).cast(dict(fetches.dtypes)["retrieved_at"]) for m in moments])
+    asked = records.where(~is_missing(url)).select(key, url, F.explode(instants).alias("as_of"))
+    return as_of_join(asked, fetches.withColumn(url, F.col("url")), [url], "as_of", "retrieved_at", tie)
+
+
+def broken_links_as_of(records: DataFrame, fetches: DataFrame, moments: Sequence[str], key: str = "record_id",
+                       url: str = "official_source_url", tie: Sequence[str] = ()) -> DataFrame:
+    """As :func:`broken_links`, at each of several moments, by the fetch in force then.
+
+    ``fetches(url, http_status, retrieved_at)`` is the whole history of fetches.
+    """
+    status = F.coalesce("in_force.http_status", F.lit(-1))
+    found = _at_moments(records, fetches.select("url", "http_status", "retrieved_at", *tie), moments, key, url, tie)
+    return found.where(status != 200).select(key, url, "as_of", status.alias("http_status"))
+
+
+def stale_records_as_of(records: DataFrame, fetches: DataFrame, moments: Sequence[str], max_days: int,
+                        key: str = "record_id", url: str = "official_source_url") -> DataFrame:
+    """Records whose last successful fetch lay more than ``max_days`` before the moment, or was none."""
+    good = fetches.where(F.col("http_status") == 200).select("url", "retrieved_at")
+    age = F.datediff("as_of", "in_force.retrieved_at")
+    return _at_moments(records, good, moments, key, url, ()).select(key, "as_of", age.alias("age_days")).where(
+        F.col("age_days").isNull() | (F.col("age_days") > max_days))
+
+
 def missing_by_rule(df: DataFrame, record_type: str, fields: Sequence[str], rules: DataFrame) -> DataFrame:
     """Missing values per record type and field, marked required, optional or not applicable.
 

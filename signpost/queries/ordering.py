@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from signpost.functions.text import casefold, digest
+from signpost.functions.text import casefold, digest, iso_instant
 from signpost.operators import ordering as G
 from signpost.queries.registry import Tables, query
+from signpost.session import new_folder
 from signpost.sources.tables import listing_until_empty
+from signpost.streaming import feeds
 
 PREVIEW_ROWS = 100
 
@@ -36,11 +38,24 @@ LATEST_SQL = """latest AS (
 WITH {LATEST_SQL}
 SELECT page_id, event_id, http_status, error, strftime(ts, '%Y-%m-%dT%H:%M:%S+00:00') AS retrieved_at FROM latest""")
 def latest_fetch(t: Tables) -> DataFrame:
-    from signpost.functions.text import iso_instant
-
     return latest(t).drop("event_type").withColumn("retrieved_at", iso_instant("retrieved_at"))
 
 
+@query("latest_fetch_feed", f"""
+WITH {LATEST_SQL}
+SELECT page_id, event_id, http_status, error, strftime(ts, '%Y-%m-%dT%H:%M:%S+00:00') AS retrieved_at FROM latest""")
+def latest_fetch_feed(t: Tables) -> DataFrame:
+    """The fetch log as a feed of files in no order of time, a third of them in each micro-batch."""
+    files = int(t.spark.conf.get("spark.sql.shuffle.partitions"))
+    log = fetch_log(t).drop("event_type")
+    folder = new_folder(t.spark, "feed")
+    log.repartition(files, "event_id").write.parquet(f"{folder}/in")
+    stream = feeds.read_feed(t.spark, f"{folder}/in", log.schema, maxFilesPerTrigger=max(1, files // 3))
+    keys, order = ["page_id"], ["retrieved_at", "event_id"]
+    feeds.keep_last(stream, keys, order, f"{folder}/out", f"{folder}/state").awaitTermination()
+    return feeds.last_rows(t.spark, f"{folder}/out", keys, order).withColumn("retrieved_at", iso_instant("retrieved_at"))
+
+
 @query("dedupe_last", """
 SELECT sha256(text) AS record_id, max(doc_id) AS doc_id, arg_max(source, doc_id) AS source FROM documents GROUP BY 1""")
 def dedupe_last(t: Tables) -> DataFrame:

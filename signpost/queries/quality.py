@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from signpost.functions.text import digest, is_missing
+from signpost.operators import merging as M
 from signpost.operators import quality as Q
 from signpost.queries.ordering import LATEST_SQL, latest
 from signpost.queries.pages import CANDIDATES_SQL, SAMPLE_SQL, extracted, pages
 from signpost.queries.registry import ORACLES, Tables, query
+from signpost.session import written
 
 DOCUMENT_FIELDS = ("doc_id", "lang", "source", "quality", "toxic")
 
@@ -52,6 +54,24 @@ def distinct_counts(t: Tables) -> DataFrame:
         "repeated_users": Q.duplicate_count("user_id")})
 
 
+SECOND_LOAD = "2024-01-16"
+
+
+@query("distinct_counts_merged", """
+SELECT 'users' AS section, event_type AS key, count(DISTINCT user_id) AS value, count(*) AS rows FROM events GROUP BY event_type
+UNION ALL SELECT 'props', event_type, count(DISTINCT props), count(*) FROM events GROUP BY event_type""")
+def distinct_counts_merged(t: Tables) -> DataFrame:
+    """Two loads of the log, each reduced to its bitmaps; the report joins what is stored."""
+    loads = [t.events.where(F.col("ts") < SECOND_LOAD), t.events.where(F.col("ts") >= SECOND_LOAD)]
+    parts, numbers = [], {"user_id": None, "props": None}
+    for load in loads:
+        for section, value in (("users", "user_id"), ("props", "props")):
+            numbers[value] = M.extended_ids(numbers[value], load, value)
+            rows = M.with_ids(load.select(F.lit(section).alias("section"), F.col("event_type").alias("key"), value), numbers[value], value)
+            parts.append(written(M.distinct_parts(rows, ["section", "key"], "id"), "bitmaps"))
+    return M.distinct_totals(M.merged_parts(*parts), ["section", "key"]).withColumnRenamed("values", "value")
+
+
 @query("duplicate_ids", """
 SELECT 'text_repeated' AS rule, sha256(text) AS key, CAST(count(*) AS VARCHAR) AS detail FROM documents GROUP BY text HAVING count(*) > 1""")
 def duplicate_ids(t: Tables) -> DataFrame:

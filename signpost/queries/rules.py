@@ -10,7 +10,7 @@ from signpost.operators import nearest as N
 from signpost.plans import specified as P
 from signpost.plans.precedence import authority_order, rank_by_precedence
 from signpost.queries.matching import FIRST_LINE_SQL, directory, intakes
-from signpost.queries.ordering import LATEST_SQL, latest
+from signpost.queries.ordering import LATEST_SQL, fetch_log, latest
 from signpost.queries.quality import labelled
 from signpost.queries.registry import Tables, query
 from signpost.session import written
@@ -46,6 +46,45 @@ def broken_links(t: Tables) -> DataFrame:
     return P.broken_links(records, fetches)
 
 
+RUN_MOMENTS = ("2024-01-03", "2024-01-12 06:30:00", "2024-01-29")
+MOMENTS_SQL = "moments AS (SELECT unnest([" + ", ".join(f"TIMESTAMP '{m}'" for m in RUN_MOMENTS) + "]) AS as_of)"
+
+
+def _fetch_history(t: Tables) -> tuple[DataFrame, DataFrame]:
+    records = t.pages.select(F.col("page_id").alias("record_id"), F.col("url").alias("official_source_url"))
+    return records, t.pages.select("page_id", "url").join(fetch_log(t), "page_id")
+
+
+def _day(moment: str = "as_of"):
+    return F.date_format(moment, "yyyy-MM-dd HH:mm:ss").alias("as_of")
+
+
+@query("broken_links_as_of", f"""
+WITH {MOMENTS_SQL},
+f AS (
+  SELECT g.page_id, g.url, m.as_of, CASE WHEN e.event_id IS NULL THEN -1 WHEN e.event_type = 'error' THEN 0 ELSE 200 END AS http_status
+  FROM pages g CROSS JOIN moments m LEFT JOIN events e ON e.user_id = g.page_id AND e.ts <= m.as_of
+  QUALIFY row_number() OVER (PARTITION BY g.page_id, m.as_of ORDER BY e.ts DESC NULLS LAST, e.event_id DESC) = 1)
+SELECT page_id AS record_id, url AS official_source_url, strftime(as_of, '%Y-%m-%d %H:%M:%S') AS as_of, http_status
+FROM f WHERE http_status <> 200""")
+def broken_links_as_of(t: Tables) -> DataFrame:
+    records, fetches = _fetch_history(t)
+    return P.broken_links_as_of(records, fetches, RUN_MOMENTS, tie=["event_id"]).withColumn("as_of", _day())
+
+
+@query("freshness_as_of", f"""
+WITH {MOMENTS_SQL},
+f AS (
+  SELECT g.page_id, m.as_of, max(e.ts) AS ts FROM pages g CROSS JOIN moments m
+  LEFT JOIN events e ON e.user_id = g.page_id AND e.ts <= m.as_of AND e.event_type <> 'error' GROUP BY ALL)
+SELECT page_id AS record_id, strftime(as_of, '%Y-%m-%d %H:%M:%S') AS as_of,
+  CAST(CAST(as_of AS DATE) - CAST(ts AS DATE) AS INTEGER) AS age_days
+FROM f WHERE ts IS NULL OR CAST(as_of AS DATE) - CAST(ts AS DATE) > 1""")
+def freshness_as_of(t: Tables) -> DataFrame:
+    records, fetches = _fetch_history(t)
+    return P.stale_records_as_of(records, fetches, RUN_MOMENTS, 1).withColumn("as_of", _day())
+
+
 @query("coverage", """
 WITH taxonomy AS (SELECT DISTINCT p_type AS category_id FROM part UNION SELECT n_name FROM nation)
 SELECT x.category_id, count(p_partkey) AS records, count(CASE WHEN p_size <= 10 THEN 1 END) AS own_records
