@@ -91,6 +91,34 @@ def test_empty_tables(spark):
     assert [tuple(r) for r in clusters.near_duplicates(frame(spark, [(20, None)])).collect()] == [(20, 0, 20, True)]
 
 
+def test_forest_keeps_links_of_a_large_family_at_any_depth():
+    """A third of all rows one family, whatever the depth: no link lost, copies of rows bounded."""
+    rng = np.random.default_rng(1)
+    n, d = 3_000, 64
+    line = rng.standard_normal((1, d))
+    family = line / np.linalg.norm(line) + 0.33 * rng.standard_normal((n // 3, d)) / np.sqrt(d)
+    rows = np.concatenate([family, rng.standard_normal((n - n // 3, d))])
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    i, j = np.nonzero(np.triu(rows @ rows.T >= 0.9, 1))
+    assert len(i) > 100_000
+    for depth in (3, 7, 10):
+        found, copies = np.zeros(len(i), bool), 0
+        for t in range(clusters.trees_for(depth)):
+            tree = clusters.Tree(*clusters.Tree(t, depth, clusters.SPILL * np.sqrt(0.2 / d)).fitted(rows, n / 2 ** depth))
+            row, leaf, _ = tree.leaves(rows)
+            kinds, leaf = np.unique(leaf, return_inverse=True)
+            inside = np.zeros((n, len(kinds)), np.float32)
+            inside[row, leaf] = 1
+            found |= (inside @ inside.T > 0)[i, j]
+            copies += len(row)
+        assert found.mean() >= 0.9999 and copies <= 50 * n
+
+
+def test_trees_grow_with_depth():
+    assert [clusters.trees_for(depth) for depth in (0, 1, 11, 30, 60)] == sorted(clusters.trees_for(depth) for depth in (0, 1, 11, 30, 60))
+    assert clusters.trees_for(0) == 1 and clusters.trees_for(11) == 8 and clusters.trees_for(30) > 8
+
+
 def test_components_of_chains_stars_and_pairs(spark):
     links = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(1, 40)] + [(5001, 5000), (5000, 5001), (7, 7)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
