@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from signpost import vocabulary as V
 from signpost.operators import nearest as N
+from signpost.operators.linkage import with_entity
 from signpost.plans import specified as P
 from signpost.plans.precedence import authority_order, rank_by_precedence
 from signpost.queries.matching import FIRST_LINE_SQL, directory, intakes
@@ -258,6 +259,30 @@ def conflicts(t: Tables) -> DataFrame:
     return P.conflicting_claims(claims, ["p_name"], "field", "value")
 
 
+# Claims of three spellings: as they are, in capitals with a hyphen, with the last letter doubled.
+_LINKED_SQL = """
+WITH RECURSIVE claims AS (
+  SELECT CASE p_partkey % 3 WHEN 2 THEN p_name || right(p_name, 1) ELSE p_name END AS name, p_brand AS value FROM part),
+names AS (SELECT DISTINCT name, list_distinct(list_transform(range(1, length(name) + 1), lambda i: substr(' ' || name || ' ', i, 3))) AS g FROM claims),
+pairs AS (
+  SELECT x.name AS a, y.name AS b FROM names x JOIN names y ON x.name <> y.name
+  WHERE len(list_intersect(x.g, y.g)) >= 0.7 * (len(x.g) + len(y.g) - len(list_intersect(x.g, y.g)))),
+reach AS (SELECT name AS a, name AS b FROM names UNION SELECT r.a, p.b FROM reach r JOIN pairs p ON p.a = r.b),
+entities AS (SELECT a AS name, min(b) AS entity FROM reach GROUP BY a)
+SELECT entity, 'brand' AS field, count(DISTINCT value) AS "values", min(value) AS lowest, max(value) AS highest
+FROM claims JOIN entities USING (name) GROUP BY entity HAVING count(DISTINCT value) > 1"""
+
+
+@query("linked_conflicts", _LINKED_SQL)
+def linked_conflicts(t: Tables) -> DataFrame:
+    """Conflicts between claims whose names are the same entity in other spellings."""
+    name, kind = F.col("p_name"), F.col("p_partkey") % 3
+    spelled = F.when(kind == 1, F.upper(F.replace(name, F.lit(" "), F.lit(" - ")))).when(
+        kind == 2, F.concat(name, F.right(name, F.lit(1)))).otherwise(name)
+    claims = t.part.select(spelled.alias("name"), F.lit("brand").alias("field"), F.col("p_brand").alias("value"))
+    return P.conflicting_claims(with_entity(claims, "name"), ["entity"], "field", "value")
+
+
 @query("facets", """
 WITH r AS (SELECT * FROM part WHERE p_type IN ('PROMO', 'LARGE', 'SMALL'))
 SELECT 'p_type' AS facet, p_type AS value, count(*) AS records FROM r GROUP BY ALL
