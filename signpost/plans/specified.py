@@ -233,39 +233,49 @@ def page_dates(value: Column | str) -> Column:
     return F.try_to_timestamp(value, F.lit("MMMM d, yyyy")).cast("date")
 
 
-def broken_links(records: DataFrame, fetches: DataFrame, key: str = "record_id", url: str = "official_source_url") -> DataFrame:
-    """Record URLs whose fetch failed or that were never fetched; ``fetches`` has one row per URL."""
-    status = fetches.select(F.col("url").alias(url), "http_status")
-    joined = records.where(~is_missing(url)).select(key, url).join(status, url, "left")
+def _by(fetches: DataFrame, key: str, url: str, own: bool) -> tuple[DataFrame, str]:
+    """Fetches with the column by which they belong to records, and its name."""
+    return (fetches, key) if own else (fetches.withColumn(url, F.col("url")), url)
+
+
+def broken_links(records: DataFrame, fetches: DataFrame, key: str = "record_id", url: str = "official_source_url",
+                 own: bool = False) -> DataFrame:
+    """Record URLs whose fetch failed or that were never fetched; ``fetches`` has one row per URL.
+
+    With ``own`` it has one row per record instead, under ``key``: records may share a URL.
+    """
+    known, on = _by(fetches, key, url, own)
+    joined = records.where(~is_missing(url)).select(key, url).join(known.select(on, "http_status"), on, "left")
     return joined.where(F.coalesce("http_status", F.lit(-1)) != 200).select(
         key, url, F.coalesce("http_status", F.lit(-1)).alias("http_status"))
 
 
 def _at_moments(records: DataFrame, fetches: DataFrame, moments: Sequence[str], key: str, url: str,
-                tie: Sequence[str]) -> DataFrame:
+                tie: Sequence[str], values: Sequence[str], own: bool) -> DataFrame:
     """``key, url, as_of, in_force`` of every record with a URL, at every moment."""
     instants = F.array(*[F.lit(m).cast(dict(fetches.dtypes)["retrieved_at"]) for m in moments])
     asked = records.where(~is_missing(url)).select(key, url, F.explode(instants).alias("as_of"))
-    return as_of_join(asked, fetches.withColumn(url, F.col("url")), [url], "as_of", "retrieved_at", tie)
+    known, on = _by(fetches, key, url, own)
+    return as_of_join(asked, known.select(on, "retrieved_at", *values, *tie), [on], "as_of", "retrieved_at", tie)
 
 
 def broken_links_as_of(records: DataFrame, fetches: DataFrame, moments: Sequence[str], key: str = "record_id",
-                       url: str = "official_source_url", tie: Sequence[str] = ()) -> DataFrame:
+                       url: str = "official_source_url", tie: Sequence[str] = (), own: bool = False) -> DataFrame:
     """As :func:`broken_links`, at each of several moments, by the fetch in force then.
 
     ``fetches(url, http_status, retrieved_at)`` is the whole history of fetches.
     """
     status = F.coalesce("in_force.http_status", F.lit(-1))
-    found = _at_moments(records, fetches.select("url", "http_status", "retrieved_at", *tie), moments, key, url, tie)
+    found = _at_moments(records, fetches, moments, key, url, tie, ["http_status"], own)
     return found.where(status != 200).select(key, url, "as_of", status.alias("http_status"))
 
 
 def stale_records_as_of(records: DataFrame, fetches: DataFrame, moments: Sequence[str], max_days: int,
-                        key: str = "record_id", url: str = "official_source_url") -> DataFrame:
+                        key: str = "record_id", url: str = "official_source_url", own: bool = False) -> DataFrame:
     """Records whose last successful fetch lay more than ``max_days`` before the moment, or was none."""
-    good = fetches.where(F.col("http_status") == 200).select("url", "retrieved_at")
+    good = fetches.where(F.col("http_status") == 200)
     age = F.datediff("as_of", "in_force.retrieved_at")
-    return _at_moments(records, good, moments, key, url, ()).select(key, "as_of", age.alias("age_days")).where(
+    return _at_moments(records, good, moments, key, url, (), (), own).select(key, "as_of", age.alias("age_days")).where(
         F.col("age_days").isNull() | (F.col("age_days") > max_days))
 
 

@@ -62,6 +62,18 @@ def test_links_and_freshness_at_several_dates(spark):
         ("r", 6, 5), ("s", 4, None), ("s", 6, None), ("s", 10, None)]
 
 
+def test_records_that_share_a_url_are_judged_by_their_own_fetches(spark):
+    records = spark.createDataFrame([("r", "u"), ("s", "u"), ("t", "u")], "record_id string, official_source_url string")
+    fetches = spark.createDataFrame(
+        [("r", 200, "2026-01-01"), ("s", 404, "2026-01-02")], "record_id string, http_status int, at string"
+    ).withColumn("retrieved_at", F.col("at").cast("timestamp")).drop("at")
+    assert {(r.record_id, r.http_status) for r in P.broken_links(records, fetches, own=True).collect()} == {("s", 404), ("t", -1)}
+    broken = P.broken_links_as_of(records, fetches, ["2026-01-04"], own=True).collect()
+    assert {(r.record_id, r.http_status) for r in broken} == {("s", 404), ("t", -1)}
+    stale = P.stale_records_as_of(records, fetches, ["2026-01-10"], 3, own=True).collect()
+    assert {(r.record_id, r.age_days) for r in stale} == {("r", 9), ("s", None), ("t", None)}
+
+
 def test_counts_of_two_loads_equal_those_of_their_union(spark):
     rng = random.Random(5)
     rows = [(rng.choice("abc"), f"v{rng.randrange(50_000)}" if rng.random() < 0.9 else None) for _ in range(60_000)] + [("d", None)]
