@@ -34,29 +34,34 @@ def useful_records(
     organisation: str = "",
     stable_hash: bool = False,
     fragments: Sequence[str] | None = None,
+    key: str = "source_url",
 ) -> DataFrame:
     """A record per spec whose page has meaningful content.
 
     ``fetches(url, http_status, error)`` and ``pages(url, html)`` hold one row per URL; fetches serve
-    both the source pages and the next-step status. The hash covers status and verification date
+    both the source pages and the next-step status. Where specs that share a URL have fetches and pages
+    of their own, both carry ``service_id`` and ``key`` names it: the spec's own fetch must have succeeded
+    and its own page is read, while the status of a URL stays that of every fetch of it. The hash covers status and verification date
     unless ``stable_hash`` is set. Only the excerpts read from a page are joined, never its markup.
     """
     fragments = V.boilerplate_fragments(organisation) if fragments is None else fragments
-    wanted = only_urls(pages, specs.select(F.col("source_url").alias("url")))
+    keyed = pages.withColumn("source_url", F.col("url"))
     content = (
-        parse_pages(wanted, ["url"])
-        .select("url", "text_pieces", "nodes", F.explode(present(X.first_root_with_paragraphs(fragments))).alias("content"))
+        parse_pages(only_urls(keyed, specs, key), [key])
+        .select(key, "text_pieces", "nodes", F.explode(present(X.first_root_with_paragraphs(fragments))).alias("content"))
         .select(
-            F.col("url").alias("source_url"),
+            key,
             X.leading_paragraphs(F.col("content.paragraphs")).alias("leading"),
             X.access_methods(F.col("content.root")).alias("methods"),
         )
     )
-    reached = fetches.where(is_missing("error")).select(
+    reached = fetches.where(is_missing("error")).withColumn("source_url", F.col("url")).select(key)
+    source_status = fetches.select(
         F.col("url").alias("source_url"), F.col("http_status").alias("source_http_status"))
     status = fetches.select(
         F.col("url").alias("next_step_url"), F.col("http_status").alias("next_step_http_status"))
-    found = specs.join(reached, "source_url").join(content, "source_url").join(status, "next_step_url", "left")
+    found = specs.join(reached, key, "left_semi").join(source_status, "source_url").join(content, key).join(
+        status, "next_step_url", "left")
     rows = found.withColumns({
         "service_description": F.substring(F.array_join("leading", " "), 1, 900),
         "source_evidence_excerpt": F.substring(F.get("leading", F.lit(0)), 1, 500),
@@ -76,16 +81,16 @@ def specs_without_content(specs: DataFrame, records: DataFrame) -> DataFrame:
     return specs.join(records.select("service_id"), "service_id", "left_anti")
 
 
-def read_samples(bodies: DataFrame) -> DataFrame:
-    """Sample of each body ``(url, content_type, body, n_bytes)``; only HTML bodies are parsed."""
+def read_samples(bodies: DataFrame, key: str = "url") -> DataFrame:
+    """Sample of each body ``(url, content_type, body, n_bytes)`` by its ``key``; only HTML bodies are parsed."""
     flagged = bodies.withColumn("is_html", looks_like_html("content_type", "body")).withColumn(
         "html", F.when(F.col("is_html"), F.col("body")))
-    parsed = parse_pages(flagged, ["url", "content_type", "n_bytes", "is_html"])
+    parsed = parse_pages(flagged, [key, "content_type", "n_bytes", "is_html"])
     other = F.struct(
         F.lit("non_html_metadata").alias("sample_type"),
         non_html_summary(media_type("content_type"), "n_bytes").alias("parsed_sample"))
     return parsed.select(
-        "url", media_type("content_type").alias("content_type"),
+        key, media_type("content_type").alias("content_type"),
         F.when(F.col("is_html"), X.parse_sample()).otherwise(other).alias("sample"),
         F.when(F.col("is_html"), X.title_tag()).otherwise("").alias("page_title"),
         F.when(F.col("is_html"), X.headings_found()).otherwise(0).alias("headings_found"),
@@ -93,17 +98,19 @@ def read_samples(bodies: DataFrame) -> DataFrame:
     )
 
 
-def url_parse_samples(inventory: DataFrame, fetches: DataFrame, bodies: DataFrame) -> DataFrame:
+def url_parse_samples(inventory: DataFrame, fetches: DataFrame, bodies: DataFrame, key: str = "url") -> DataFrame:
     """One parse sample per inventoried URL, a failure row where the fetch failed.
 
     ``fetches(url, final_url, http_status, retrieved_at, error)`` and
-    ``bodies(url, content_type, body, n_bytes)`` hold one row per URL.
+    ``bodies(url, content_type, body, n_bytes)`` hold one row per URL. Where sources that share a URL
+    have fetches and bodies of their own, both carry ``source_id`` and ``key`` names it.
     """
     facts = ("content_type", "sample", "page_title", "headings_found", "links_found")
-    read = read_samples(only_urls(bodies, inventory))
-    listed = inventory.select(*SAMPLE_SOURCE).join(fetches, "url", "left")
+    read = read_samples(only_urls(bodies, inventory, key), key)
+    outcome = fetches.select(key, "final_url", "http_status", "retrieved_at", "error")
+    listed = inventory.select(*SAMPLE_SOURCE).join(outcome, key, "left")
     ok = F.col("http_status").isNotNull() & is_missing("error")
-    rows = with_fetch_outcome(listed, read, facts)
+    rows = with_fetch_outcome(listed, read, facts, key)
     sample = F.when(ok, blank(F.col("sample.parsed_sample"))).otherwise("")
 
     def fetched(value: Column, default) -> Column:

@@ -66,18 +66,19 @@ def extract_items(
     )
 
 
-def extract_sources(registry: DataFrame, fetches: DataFrame, pages: DataFrame, **options) -> DataFrame:
+def extract_sources(registry: DataFrame, fetches: DataFrame, pages: DataFrame, key: str = "url", **options) -> DataFrame:
     """One row per fetch of an approved structured source, with its page facts and capped ``items``.
 
     ``fetches(url, http_status, retrieved_at, error)``, ``pages(url, html)`` with one page per URL;
-    ``options`` as for ``extract_items``. Pages are read where they lie, and only what was read from
+    ``options`` as for ``extract_items``. Where sources that share a URL have fetches and pages of their
+    own, both carry ``source_id`` and ``key`` names it. Pages are read where they lie, and only what was read from
     them is joined to registry and fetches. Manifest and candidates both read this frame; write or
     persist it when both are wanted.
     """
     sources = structured_sources(registry)
-    read = extract_items(only_urls(pages, sources), **options)
-    fetched = sources.join(fetches, "url").select(*SOURCE_COLUMNS)
-    return with_fetch_outcome(fetched, read, PAGE_FACTS)
+    read = extract_items(only_urls(pages, sources, key), tuple(dict.fromkeys((key, "url"))), **options)
+    fetched = sources.join(fetches.select(key, "http_status", "retrieved_at", "error"), key).select(*SOURCE_COLUMNS)
+    return with_fetch_outcome(fetched, read, PAGE_FACTS, key)
 
 
 def candidates(extracted: DataFrame, cap: int = CAP) -> DataFrame:

@@ -114,9 +114,15 @@ items AS (
 
 
 def page_fetches(t: Tables) -> DataFrame:
-    """Latest fetch of each page by URL (narrow columns only)."""
+    """Latest fetch of each page by its id as a source, with its URL (narrow columns only)."""
     urls = t.pages.select("page_id", "url")
-    return urls.join(latest(t), "page_id").select("url", "http_status", "retrieved_at", "error", "event_type")
+    return urls.join(latest(t), "page_id").select(
+        F.col("page_id").cast("string").alias("source_id"), "url", "http_status", "retrieved_at", "error")
+
+
+def own_pages(t: Tables) -> DataFrame:
+    """Pages by their ids as sources: pages may share a URL."""
+    return pages(t).withColumn("source_id", F.col("page_id").cast("string"))
 
 
 def extracted(t: Tables) -> DataFrame:
@@ -126,7 +132,7 @@ def extracted(t: Tables) -> DataFrame:
         F.lit("services").alias("category"), F.lit("general").alias("authority_level"),
         F.startswith("url", F.lit("https:")).alias("own_organisation"), F.lit("approved").alias("scope_status"),
         F.lit("structured_html").alias("extraction_method"))
-    return navigator.extract_sources(registry, page_fetches(t), pages(t), cap=30, heading_tags=("h1",))
+    return navigator.extract_sources(registry, page_fetches(t), own_pages(t), "source_id", cap=30, heading_tags=("h1",))
 
 
 @query("page_candidates", CANDIDATES_SQL + """
@@ -244,11 +250,11 @@ def sample_rows(t: Tables) -> DataFrame:
         F.col("page_id").cast("string").alias("source_id"), F.lit("approved").alias("scope_status"),
         F.lit("Example").alias("organization"), F.lit("services").alias("category"), "url")
     html = ~F.contains("url", F.lit("//blog."))
-    bodies = pages(t).select(
-        "url", F.when(html, "text/html; charset=utf-8").otherwise("application/pdf").alias("content_type"),
+    bodies = own_pages(t).select(
+        "source_id", "url", F.when(html, "text/html; charset=utf-8").otherwise("application/pdf").alias("content_type"),
         F.when(html, F.col("html")).otherwise("%PDF").alias("body"), F.octet_length("html").alias("n_bytes"))
     fetches = page_fetches(t).withColumn("final_url", F.col("url"))
-    return evidence.url_parse_samples(inventory, fetches, bodies)
+    return evidence.url_parse_samples(inventory, fetches, bodies, "source_id")
 
 
 FRAGMENTS = ("copyright", "ououan")
@@ -339,4 +345,5 @@ def service_specs(t: Tables) -> DataFrame:
 def useful_rows(t: Tables) -> DataFrame:
     """``ououan`` stands for the organisation's own boilerplate."""
     run = F.to_timestamp(F.lit("2024-02-01 00:00:00"))
-    return evidence.useful_records(service_specs(t), page_fetches(t), pages(t), run, fragments=FRAGMENTS)
+    fetches, own = (df.withColumnRenamed("source_id", "service_id") for df in (page_fetches(t), own_pages(t)))
+    return evidence.useful_records(service_specs(t), fetches, own, run, fragments=FRAGMENTS, key="service_id")

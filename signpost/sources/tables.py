@@ -15,12 +15,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def only_urls(pages: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Pages whose ``url`` is wanted, ahead of parsing.
+def only_urls(pages: DataFrame, wanted: DataFrame, key: str = "url") -> DataFrame:
+    """Pages whose ``url`` (or other ``key``) is wanted, ahead of parsing.
 
-    The optimizer sends a short list to the pages; with a long one both sides shuffle on ``url``.
+    The optimizer sends a short list to the pages; with a long one both sides shuffle on the key.
     """
-    return pages.join(wanted.select("url").distinct(), "url", "left_semi")
+    return pages.join(wanted.select(key).distinct(), key, "left_semi")
 
 
 def decoded(pages: DataFrame, content: str = "content", content_type: str = "content_type", html: str = "html") -> DataFrame:
@@ -42,13 +42,15 @@ def decoded(pages: DataFrame, content: str = "content", content_type: str = "con
     return pages.withColumn(html, F.ltrim(text, F.lit("\ufeff")))
 
 
-def with_fetch_outcome(fetch_log: DataFrame, extracted: DataFrame, page_columns: Sequence[str]) -> DataFrame:
+def with_fetch_outcome(
+    fetch_log: DataFrame, extracted: DataFrame, page_columns: Sequence[str], key: str = "url"
+) -> DataFrame:
     """One row per fetch with what was read from its page, null where the fetch failed.
 
     ``fetch_log(url, error, …)`` is the outer side, so a failed fetch keeps its row. The page side is
-    the small result of reading, never the markup.
+    the small result of reading, never the markup. ``key`` names the column that fetches and pages share.
     """
-    joined = fetch_log.join(extracted.select("url", *page_columns), "url", "left")
+    joined = fetch_log.join(extracted.select(key, *page_columns), key, "left")
     return joined.withColumns({c: F.when(is_missing("error"), F.col(c)) for c in page_columns})
 
 

@@ -363,6 +363,35 @@ def test_useful_records(spark):
     assert [x.service_id for x in evidence.specs_without_content(specs, rows).collect()] == ["b"]
 
 
+def test_sources_that_share_a_url_keep_their_own_fetches_and_pages(spark):
+    rows = [(k, "O", "https://a.ca/x", "c", "a", True, "approved", "structured_html") for k in ("one", "two", "three")]
+    reg = registry(spark, rows)
+    para = "Visitors may ask the harbour office about berths, tides and the weather, says"
+    own = spark.createDataFrame([
+        ("one", "https://a.ca/x", f"<body><h2>Topic of one</h2><p>{para} one</p></body>", 200, ""),
+        ("two", "https://a.ca/x", f"<body><h2>Topic of two</h2><p>{para} two</p></body>", 0, "offline")],
+        "source_id string, url string, html string, http_status int, error string").withColumn(
+        "retrieved_at", F.lit("2026-06-12").cast("timestamp"))
+    extracted = navigator.extract_sources(reg, own.drop("html"), own.select("source_id", "url", "html"), "source_id")
+    assert {(r.source_id, r.error) for r in navigator.manifest(extracted).collect()} == {("one", ""), ("two", "offline")}
+    assert [(r.source_id, r.service_name) for r in navigator.candidates(extracted).collect()] == [("one", "Topic of one")]
+
+    inv = reg.select("source_id", "scope_status", "organization", "category", "url")
+    bodies = own.select("source_id", "url", F.lit("text/html").alias("content_type"), F.col("html").alias("body"), F.lit(1).alias("n_bytes"))
+    samples = evidence.url_parse_samples(inv, own.withColumn("final_url", F.col("url")), bodies, "source_id").collect()
+    assert sorted((r.source_id, r.parsed_sample, r.error) for r in samples) == [
+        ("one", f"{para} one", ""), ("three", "", ""), ("two", "", "offline")]
+
+    specs = spark.createDataFrame(
+        [(k, k, "c", "https://a.ca/x", "users", "online", "step", "https://a.ca/next", "limit") for k in ("one", "two", "three")],
+        "service_id string, service_name string, category string, source_url string, intended_users string, delivery_context string,"
+        " recommended_next_step string, next_step_url string, limitation string")
+    fetched, read = (own.where("error = ''").withColumnRenamed("source_id", "service_id"), own.withColumnRenamed("source_id", "service_id"))
+    useful = evidence.useful_records(specs, fetched, read, F.lit("2026-06-12").cast("timestamp"), "O", key="service_id")
+    assert [(r.service_id, r.service_description) for r in useful.collect()] == [("one", f"{para} one")]
+    assert sorted(r.service_id for r in evidence.specs_without_content(specs, useful).collect()) == ["three", "two"]
+
+
 CARD = ("<div class='partner-element'><div class='partner-name'><a href='/en/p/{i}'>Partner <b>{i}</b></a></div>"
         "<p>label</p><p>{i} Main <i>St</i></p><div><p>nested</p></div><a href='https://maps.example/{i}'>View map</a>"
         "<a href='https://p{i}.org'>Website</a><span class='langs'>French, English</span></div>")
