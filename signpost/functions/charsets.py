@@ -31,6 +31,20 @@ _UNLIKELY = (
     r"\p{IsLatin}(?=[\p{IsCyrillic}\p{IsGreek}])|[\p{IsCyrillic}\p{IsGreek}](?=\p{IsLatin})|\p{Ll}(?=\p{Lu})"
     r"|\p{L}(?=[\p{S}\p{No}&&[^\x00-\x7F]])|[\p{S}\p{No}&&[^\x00-\x7F]](?=\p{L})|\p{L}(?=[¡¿]\p{L})|[\p{IsLatin}&&[^\x00-\x7F]](?=[\p{IsLatin}&&[^\x00-\x7F]])|[�\x80-\x9F]")
 
+# Letters of other scripts stand in words of their own, of more letters than accented ones have in a row.
+_OTHER_SCRIPT = r"[\p{IsCyrillic}\p{IsGreek}]"
+_OTHER_PAGES = ("cp1251", "cp1253")
+_SHORT_WORD = 3
+
+
+def unlikely(text: Column, page: str) -> Column:
+    """How much of a text read by a code page writing seldom holds; letters of another script in short runs all count."""
+    seldom = F.regexp_count(text, F.lit(_UNLIKELY))
+    if page not in _OTHER_PAGES:
+        return seldom
+    runs = F.regexp_count(text, F.lit(_OTHER_SCRIPT + "+"))
+    return seldom + let(F.regexp_count(text, F.lit(_OTHER_SCRIPT)), lambda n: F.when(n < _SHORT_WORD * runs, n).otherwise(0))
+
 
 def in_code_page(latin: Column, name: str) -> Column:
     """Text of a code page whose bytes were read as ISO-8859-1; bytes it does not use become U+FFFD."""
@@ -44,7 +58,7 @@ def guessed(content: Column, pages: Sequence[str] = CODE_PAGES) -> Column:
 
     UTF-8 where the well-formed characters beyond ASCII outnumber the malformed bytes, which become U+FFFD
     (so a page cut within a character stays UTF-8), or there are none of these. Else the one of
-    ``pages`` that gives the fewest unlikely neighbours over the whole text, the first of equals. Null stays null.
+    ``pages`` whose reading is the least :func:`unlikely` over the whole text, the first of equals. Null stays null.
     """
     def chosen(utf8: Column) -> Column:
         malformed = F.regexp_count(utf8, F.lit("�"))
@@ -52,11 +66,11 @@ def guessed(content: Column, pages: Sequence[str] = CODE_PAGES) -> Column:
         return F.when(F.is_valid_utf8(content.cast("string")) | (malformed < beyond), utf8).otherwise(
             let(F.decode(content, "ISO-8859-1"), likeliest))
 
+    def reading(latin: Column, name: str, nth: int) -> Column:
+        return let(in_code_page(latin, name), lambda t: F.struct(
+            unlikely(t, name).alias("unlikely"), F.lit(nth).alias("nth"), t.alias("text")))
+
     def likeliest(latin: Column) -> Column:
-        read = F.array(*[
-            let(in_code_page(latin, name), lambda t, i=i: F.struct(
-                F.regexp_count(t, F.lit(_UNLIKELY)).alias("unlikely"), F.lit(i).alias("nth"), t.alias("text")))
-            for i, name in enumerate(pages)])
-        return F.array_min(read)["text"]
+        return F.array_min(F.array(*[reading(latin, name, i) for i, name in enumerate(pages)]))["text"]
 
     return let(F.make_valid_utf8(content.cast("string")), chosen)

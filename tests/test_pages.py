@@ -92,6 +92,15 @@ def test_pages_that_state_no_character_set_are_read_by_their_bytes(spark):
     assert got == {**{k: t for k, (t, _) in texts.items()}, 10: "déjà vu, où \ufffd", 11: None, 12: "Привет"}
 
 
+def test_a_few_accents_in_a_row_are_no_greek(spark):
+    texts = {1: ("Aionon on èê, le paeuxelle", "cp1252"), 2: ("una una óí. óí. óí. una", "cp1252"), 3: ("Vireè ççè trement", "cp1252"),
+             4: ("Eniebe öö, getzte", "cp1252"), 5: ("see also the word είναι in the list of words", "cp1253"),
+             6: ("open the file и нажмите кнопку in the window of settings", "cp1251")}
+    rows = [(k, t.encode(c), None) for k, (t, c) in texts.items()]
+    got = {r.id: r.html for r in decoded(spark.createDataFrame(rows, "id int, content binary, content_type string")).collect()}
+    assert got == {k: t for k, (t, _) in texts.items()}
+
+
 def test_a_parse_error_shows_in_the_manifests(spark):
     _, extracted = nav(spark)
     broken = extracted.withColumn("parse_error", F.lit("unreadable markup: x"))
