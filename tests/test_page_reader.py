@@ -72,3 +72,20 @@ def test_character_references():
 def test_bad_link_targets_do_not_stop_a_page():
     reader, error = _read_page("<a href='http://[bad'>x</a><a href>y</a><a>z</a>", "https://a.ca/b/")
     assert error is None and [n[7] for n in reader.nodes] == [None, "https://a.ca/b/", None]
+
+
+def test_rows_are_handed_on_by_the_size_of_their_pages():
+    """A batch of very many rows (as the session may ask for) is not held as parsed pages all at once."""
+    import pyarrow as pa
+    from pyspark.sql.types import StructType
+
+    from signpost import schemas as S
+    from signpost.operators.page_reader import batch_reader
+
+    pages = [f"<p>{i} " + "word " * 2_000 + "</p>" for i in range(400)]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(range(400), pa.int64()), pa.array(pages), pa.array([len(p) for p in pages], pa.int32())], names=["id", "_html", "_bytes"])
+    run = batch_reader(1, False, False, StructType([*StructType().add("id", "long").fields, *S.PARSED.fields]))
+    parts = list(run(iter([batch])))
+    assert [i for p in parts for i in p.column(0).to_pylist()] == list(range(400))
+    assert max(sum(p.column(p.num_columns - 1).to_pylist()) for p in parts) < 1_100_000
