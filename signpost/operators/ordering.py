@@ -63,7 +63,8 @@ def with_position(df: DataFrame, order: Keys, position: str = "position") -> Dat
     """Every row with its place, from 1, in a total order, without a window over all rows.
 
     The rows are range-partitioned and sorted, and written with their partition and their place in
-    it; a partition begins after the rows of those before it, of which there are few.
+    it; a partition begins after the rows of those before it, of which there are few. All columns are
+    written: hand in those that are wanted.
     """
     placed = written(df.orderBy(*order).select(
         "*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_row")), "sorted")

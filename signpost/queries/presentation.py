@@ -22,25 +22,29 @@ def _places(of: str, columns: str, order: str) -> str:
 
 @query("catalogue_order", _places("guidance_catalogue", "record_id", f"category, record_type, {_folded('action_title')}, record_id"))
 def catalogue_order(t: Tables) -> DataFrame:
-    return with_position(catalogue(t), guidance.catalogue_order()).select("record_id", "position")
+    rows = catalogue(t).select("category", "record_type", "action_title", "record_id")
+    return with_position(rows, guidance.catalogue_order()).select("record_id", "position")
 
 
 @query("review_order", _places("review_queue", "record_id", f"category, {_folded('action_title')}, record_id"))
 def review_order(t: Tables) -> DataFrame:
-    return with_position(review_queue.build(t), guidance.review_order()).select("record_id", "position")
+    rows = review_queue.build(t).select("category", "action_title", "record_id")
+    return with_position(rows, guidance.review_order()).select("record_id", "position")
 
 
 @query("manifest_order", _places("source_manifest", "source_type, url", "source_type, url"))
 def manifest_order(t: Tables) -> DataFrame:
-    return with_position(source_manifest.build(t), guidance.manifest_order()).select("source_type", "url", "position")
+    rows = source_manifest.build(t).select("source_type", "url")
+    return with_position(rows, guidance.manifest_order()).select("source_type", "url", "position")
 
 
 @query("candidate_order", _places("page_candidates", "record_id", f"NOT own_organisation, source_id, {_folded('service_name')}, record_id"))
 def candidate_order(t: Tables) -> DataFrame:
-    rows = navigator.candidates(extracted(t)).drop("position")
+    rows = navigator.candidates(extracted(t)).select("own_organisation", "source_id", "service_name", "record_id")
     return with_position(rows, [*navigator.candidate_order(), F.col("record_id")]).select("record_id", "position")
 
 
 @query("partner_order", _places("partner_directory", "detail_url", f"{_folded('name')}, {_folded('address')}, detail_url"))
 def partner_order(t: Tables) -> DataFrame:
-    return with_position(partner_directory.build(t), [*partners.partner_order(), F.col("detail_url")]).select("detail_url", "position")
+    rows = partner_directory.build(t).select("name", "address", "detail_url")
+    return with_position(rows, [*partners.partner_order(), F.col("detail_url")]).select("detail_url", "position")

@@ -107,11 +107,11 @@ def read_service_specs(spark: SparkSession, path: str, multi_line: bool = True)
 
 
 def vocabulary_table(spark: SparkSession, rows, columns: Sequence[str]) -> DataFrame:
-    """A fixed vocabulary as a table."""
+    """A fixed vocabulary as a table that joins send to the other side, whose few values would not spread."""
     schema = StructType().add(columns[0], StringType(), False)
     for name in columns[1:]:
         schema = schema.add(name, StringType())
-    return spark.createDataFrame([tuple(map(str, r)) for r in rows], schema)
+    return F.broadcast(spark.createDataFrame([tuple(map(str, r)) for r in rows], schema))
 
 
 def taxonomy(spark: SparkSession) -> DataFrame:

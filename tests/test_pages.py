@@ -101,6 +101,16 @@ def test_a_few_accents_in_a_row_are_no_greek(spark):
     assert got == {k: t for k, (t, _) in texts.items()}
 
 
+def test_detail_pages_of_few_urls_are_not_dealt_by_url(spark):
+    from signpost.sources.files import detail_pages
+
+    url = V.DETAIL_PAGE_CATEGORIES[0][0]
+    rows = guidance.detail_records(fetches(spark, (url, "<main><h1>T</h1><h2>Do this</h2><p>text</p></main>")), detail_pages(spark))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning(url" not in plan
+    assert {r.source_page_url for r in rows.collect()} == {url}
+
+
 def test_a_parse_error_shows_in_the_manifests(spark):
     _, extracted = nav(spark)
     broken = extracted.withColumn("parse_error", F.lit("unreadable markup: x"))
