@@ -67,6 +67,25 @@ def test_scenarios(spark):
     assert (total.scenarios, total.passed, total.failed, total.meets_target) == (5, 1, 4, False)
 
 
+def test_scenarios_alike_are_evaluated_once(spark):
+    scenarios = spark.createDataFrame(
+        [(f"s{i}", "tax" if i < 7 else None, ["tax"], ["Desk" if i < 4 else "Other"], False, False) for i in range(9)],
+        "scenario_id string, main_need string, expected_categories array<string>, acceptable_services array<string>, "
+        "must_include_safety_note boolean, must_include_source_link boolean")
+    cases = P.scenario_cases(scenarios)
+    assert {r.scenario_id: r.scenarios for r in cases.collect()} == {"s0": 4, "s4": 3, "s7": 2}
+    matches = cases.where("main_need = 'tax'").select(
+        "scenario_id", F.lit("tax").alias("category_id"), F.lit("Desk").alias("service_name"), F.lit("u").alias("official_source_url"),
+        F.lit(False).alias("limitation_required"))
+    results = P.evaluate_scenarios(cases, matches)
+    each = {r.scenario_id: (r.returned, r.passed) for r in P.results_of_cases(scenarios, cases, results).collect()}
+    assert each == {f"s{i}": (int(i < 7), i < 4) for i in range(9)}
+    counted = results.join(cases.select("scenario_id", "main_need", "scenarios"), "scenario_id")
+    rows = {r.main_need: r for r in P.evaluation_by(counted, "main_need", 0.5, "scenarios").collect()}
+    assert (rows["tax"].scenarios, rows["tax"].passed, rows["tax"].failed, rows["tax"].meets_target) == (7, 4, 3, True)
+    assert (rows[None].scenarios, rows[None].passed, rows[None].failed, rows[None].meets_target) == (2, 0, 2, False)
+
+
 def test_fallback_rows_name_no_service(spark):
     intakes = spark.createDataFrame([(1, "tax"), (2, "housing"), (3, "weather")], "id int, main_need string")
     matches = spark.createDataFrame([(1, 1, "r", "Desk", 3)], "id int, rank int, record_id string, service_name string, score int")
