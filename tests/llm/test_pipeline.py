@@ -82,3 +82,22 @@ def test_workers_need_no_installed_package(tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=900)
     assert out.stdout.count("DONE") == 9, out.stderr[-2000:]
+
+
+def test_long_texts_go_to_python_in_batches_of_few_bytes(spark):
+    from signpost.llm.common import map_arrow, written
+    from signpost.session import BATCH_BYTES
+
+    docs = spark.range(0, 60, 1, 1).selectExpr("id AS doc_id", "repeat('word ', 20000) AS text", "'en' AS lang")
+
+    def sizes(batch):
+        yield [[batch.num_rows]]
+
+    batches = [r.n for r in written(map_arrow(docs, lambda: sizes, "n long"), "sizes").collect()]
+    assert sum(batches) == 60 and max(batches) <= 12
+    assert spark.conf.get(BATCH_BYTES, None) is None
+    try:
+        corpus_pipeline.identify(spark, docs, "")
+        assert spark.conf.get(BATCH_BYTES) == "1m"
+    finally:
+        spark.conf.unset(BATCH_BYTES)
