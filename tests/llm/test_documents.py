@@ -547,3 +547,32 @@ def test_empty_tables(spark):
                      suffix.repeated_passages, suffix.without_repeats, passages.fuzzy_passages, mixing.mix_report, mixing.mixed_documents,
                      packing.packed_documents, packing.packed_sequences):
         assert operator(docs).collect() == []
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    import time
+
+    from signpost.session import CLEANUP, written
+
+    def shuffled():
+        return spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ").count(".data")
+
+    df = spark.range(1000).repartition(3, "id").groupBy("id").count()
+    df.write.format("noop").mode("overwrite").save()
+    before = shuffled()
+    assert before
+    table = written(df.where("id < 500"), "counts")
+    until = time.time() + 10
+    while shuffled() > before and time.time() < until:
+        time.sleep(0.1)
+    assert shuffled() <= before
+    assert table.count() == 500
+    assert spark.conf.get(CLEANUP, None) is None
+
+
+def test_passages_of_rows_that_repeat_id_and_text(spark):
+    passage = " ".join(f"w{i}" for i in range(70))
+    rows = [(1, f"a b {passage} c"), (2, f"x y  z {passage} d"), (2, f"x y  z {passage} d"), (None, passage)]
+    found = passages.fuzzy_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 9, r.first_word, r.words, r.start, r.end, r.of_doc_id, r.of_first_word) for r in found) == [
+        (2, 3, 70, 7, 7 + len(passage), 1, 2), (2, 3, 70, 7, 7 + len(passage), 1, 2), (9, 0, 70, 0, len(passage), 1, 2)]
