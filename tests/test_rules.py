@@ -160,6 +160,56 @@ def test_nearest_equals_brute_force_everywhere(spark):
         assert got == {k: v for k, v in want.items() if v}
 
 
+def test_cells_list_the_nearest_of_all_their_places(spark, monkeypatch):
+    """Places of a cell go down the pyramid as one box; the lists hold the nearest of each, in parts too and at every level."""
+    from signpost.operators import nearest as module
+
+    def km(p, q):
+        (a, b), (c, d) = ([math.radians(x) for x in xy] for xy in (p, q))
+        h = math.sin((c - a) / 2) ** 2 + math.cos(a) * math.cos(c) * math.sin((d - b) / 2) ** 2
+        return 2 * EARTH_KM * math.asin(min(1, math.sqrt(h)))
+
+    rng = random.Random(17)
+    centres = [(45.5, -73.6), (89.9, 10.0), (-12.0, 180.0)]
+    spot = lambda: (max(-90.0, min(90.0, rng.choice(centres)[0] + rng.gauss(0, 0.2))), rng.choice(centres)[1] + rng.gauss(0, 0.2))
+    places = [(i, rng.choice("ab"), *spot()) for i in range(300)] + [(1000, "a", None, 10.0), (1001, "b", float("nan"), 1.0)]
+    facilities = [(i, rng.choice("ab"), *(str(x) for x in spot())) for i in range(400)] + [(900, "a", "", "x")]
+    df = spark.createDataFrame(places, "place_id int, kind string, lat double, lon double")
+    fac = spark.createDataFrame(facilities, "facility_id int, kind string, latitude string, longitude string")
+    levels = set()
+    for shared, points in ((4, 4096), (10_000, 7), (0, 4096)):
+        monkeypatch.setattr(module, "SHARED", shared)
+        monkeypatch.setattr(module, "POINTS", points)
+        listed, level = module.around(df, fac, 3, 60.0, by=["kind"])
+        levels.add(level)
+        held, boxes = {}, listed.collect()
+        for r in boxes:
+            held.setdefault((r.kind, r.cell), []).extend((p.latitude, p.longitude, p.facility_id) for p in r.points)
+        assert len(boxes) >= len(held) and all(len(h) == len(set(h)) for h in held.values())
+        for r in df.withColumn("cell", module.cell_of(F.col("lat"), F.col("lon"), 60.0, level)).collect():
+            assert (r.cell is None) == (r.place_id >= 1000)
+            if r.cell is not None:
+                best = lambda rows: sorted(x for x in ((km((r.lat, r.lon), (a, b)), i) for a, b, i in rows) if x[0] <= 60)[:3]
+                assert best(held.get((r.kind, r.cell), [])) == best([(float(a), float(b), i) for i, k, a, b in facilities if k == r.kind and a])
+    assert len(levels) == 3
+
+
+def test_only_cells_of_places_are_shuffled(spark, monkeypatch):
+    """Ten times the places in the same cells hand on no more rows to the steps down the pyramid."""
+    from signpost.operators import nearest as module
+
+    rng = random.Random(5)
+    fac = spark.createDataFrame([(i, 45 + rng.random() / 5, -73 + rng.random() / 5) for i in range(200)], "facility_id int, latitude double, longitude double")
+    rows, kept = {}, []
+    monkeypatch.setattr(module, "written", lambda df, name: kept.append((name, df)) or df)
+    for times in (1, 10):
+        kept.clear()
+        spots = [(45 + (i % 20) / 100 + rng.random() / 1e4, -73 + (i % 13) / 100 + rng.random() / 1e4) for i in range(260 * times)]
+        listed, _ = module.around(spark.createDataFrame(spots, "lat double, lon double"), fac, 3, 30.0)
+        rows[times] = dict(kept)["cells"].count(), listed.count()
+    assert rows[10][0] <= 4 * rows[1][0] and rows[10][0] < 2600 / 2
+
+
 def test_nearest_forms_few_pairs_among_many_at_one_point(spark, monkeypatch):
     """A third of the facilities stand at one point, the places beside the others and far from all."""
     from signpost.operators import nearest as module
