@@ -23,3 +23,13 @@ def spark(tmp_path_factory):
     spark.sparkContext.setLogLevel("ERROR")
     yield spark
     spark.stop()
+
+
+@pytest.fixture(autouse=True)
+def own_settings(request):
+    """The language stage leaves its batch size in the session; no test hands it on to the next."""
+    yield
+    if "spark" in request.fixturenames:
+        from signpost.session import BATCH_BYTES
+
+        request.getfixturevalue("spark").conf.unset(BATCH_BYTES)

@@ -374,6 +374,15 @@ def test_fuzzy_passages_are_found_among_many_holders_of_their_seeds(spark):
     assert found <= pairs and len(found) >= 8, len(found)
 
 
+def test_fuzzy_passages_beside_unlike_words_are_each_reported(spark):
+    """The gap joins the two passages into one chain, which is too unlike as a whole."""
+    own = lambda name, n: [f"{name}{i}" for i in range(n)]
+    rows = [(k, " ".join(own(f"a{k}_", 15) + own("s", 60) + own(f"b{k}_", 40) + own("t", 60) + own(f"c{k}_", 15)), "en", "s") for k in (1, 2)]
+    got = collect(passages.fuzzy_passages(documents(spark, rows)))
+    assert sorted((r["doc_id"], r["of_doc_id"], r["first_word"], r["words"], r["of_first_word"], r["similarity"]) for r in got) == [
+        (2, 1, 15, 60, 15, 1.0), (2, 1, 115, 60, 115, 1.0)]
+
+
 def test_fuzzy_passages_that_two_texts_hold_in_halves_are_whole(spark):
     own = lambda name, n: [f"{name}{i}" for i in range(n)]
     shared = own("s", 60)
